@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import packing, recompression, simhash
 from .storage import table
 
 
@@ -16,8 +16,18 @@ def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.repeated_passages(table(spark, sf_dir, "documents"))[0].drop("key")
+
+
+def op7_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_trie": op4_simhash_trie,
+    "op5_recompression": op5_recompression,
+    "op7_minimum_bin_slack": op7_minimum_bin_slack,
 }
 
 ORACLES: dict[str, str] = {}

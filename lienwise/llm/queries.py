@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, recompression, simhash
+from . import decontaminate, packing, recompression, simhash
 from .storage import table
 
 
+def op2_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -25,6 +29,7 @@ def op7_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash_windows": op2_simhash_windows,
     "op4_simhash_trie": op4_simhash_trie,
     "op5_recompression": op5_recompression,
     "op7_minimum_bin_slack": op7_minimum_bin_slack,

@@ -215,7 +215,8 @@ def neardup_components(fingerprints: DataFrame, budget: int = 3, id_col: str = "
     gives an empty result."""
     own = written(fingerprints.where(F.col(id_col).isNotNull()).select(id_col, "fp"), "fingerprints")
     nodes = written(own.groupBy("fp").agg(F.min(id_col).alias("low")), "nodes")
-    roots = written(components(fingerprint_links(nodes.select("fp"), budget)), "roots")
+    links = written(fingerprint_links(nodes.select("fp"), budget), "links")
+    roots = written(components(links), "roots")
     linked = roots.join(nodes, roots["node"] == nodes["fp"]).select("node", "root", "low")
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     moved = linked.join(lows, "root").select(F.col("node").alias("fp"), "component_id")

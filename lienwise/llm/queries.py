@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, recompression, simhash
-from .storage import table
+from . import chat, decontaminate, packing, recompression, simhash
+from .storage import table, written
 
 
 def op2_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +28,29 @@ def op7_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
 
 
+def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.sql("select -7L as conv_id, n as turn, if(n = 0, 'user', 'assistant') as role, '</s>[INST] ok [/INST]' as text from (select explode(array(0L, 1L)) as n)")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(extra)
+    messages = written(chat.conversation_messages(rows), "messages")
+    out = chat.format_paths(chat.reply_paths(messages), messages)
+    turns, loss = chat.read_turns(F.col("formatted")), chat.read_loss(F.col("formatted"), F.col("loss_spans"))
+    out = out.select(F.col("root.conv_id").alias("conv_id"), turns.alias("turns"), loss.alias("loss"), "formatted")
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_windows": op2_simhash_windows,
     "op4_simhash_trie": op4_simhash_trie,
     "op5_recompression": op5_recompression,
     "op7_minimum_bin_slack": op7_minimum_bin_slack,
+    "op9_reply_trees": op9_reply_trees,
 }
 
 ORACLES: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, recompression, simhash
+from . import chat, decontaminate, packing, quality, recompression, simhash
 from .storage import table, written
 
 
@@ -28,6 +28,12 @@ def op7_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
 
 
+def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, quality.grades(table(spark, sf_dir, "labels"))))
+    return scored.select("doc_id", "expected_grade", "top_probability", (F.col("top_probability") >= 0.5).alias("keep"))
+
+
 def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql("select -7L as conv_id, n as turn, if(n = 0, 'user', 'assistant') as role, '</s>[INST] ok [/INST]' as text from (select explode(array(0L, 1L)) as n)")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(extra)
@@ -50,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_trie": op4_simhash_trie,
     "op5_recompression": op5_recompression,
     "op7_minimum_bin_slack": op7_minimum_bin_slack,
+    "op8_ordinal_quality": op8_ordinal_quality,
     "op9_reply_trees": op9_reply_trees,
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, quality, recompression, simhash
+from . import chat, decontaminate, licenses, packing, quality, recompression, simhash
 from .storage import table, written
 
 
@@ -51,6 +51,10 @@ def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_conditional_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_notices(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_windows": op2_simhash_windows,
     "op4_simhash_trie": op4_simhash_trie,
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minimum_bin_slack": op7_minimum_bin_slack,
     "op8_ordinal_quality": op8_ordinal_quality,
     "op9_reply_trees": op9_reply_trees,
+    "op10_conditional_compression": op10_conditional_compression,
 }
 
 ORACLES: dict[str, str] = {}

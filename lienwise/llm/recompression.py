@@ -7,8 +7,8 @@ alphabet and whose second falls into the right half become one. Names are
 equal names and a round needs no shuffle. Which symbols arise strictly inside a
 word sequence depends on that sequence alone: a round can change only the
 outermost symbol at either end. So each ``window``-word window owns an anchor,
-the first symbol of the highest level that is settled by its own words, and
-equal windows have equal anchors.
+the longest of the few highest symbols that its own words settle, and equal
+windows have equal anchors.
 
 Spark groups the anchors of different texts; only windows whose anchor occurs
 in two different texts are compared, by 128-bit hashes of all their words.
@@ -31,6 +31,8 @@ from . import words as W
 from .storage import written
 
 BROADCAST_IDS = 1 << 20
+#: Symbols among which a window chooses its anchor, from the level where no more are left.
+FEW = 4
 _LEFT, _RIGHT, _RUN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -39,7 +41,7 @@ def anchors(names: np.ndarray, ptr: np.ndarray, window: int) -> tuple[np.ndarray
     owner = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
     at = np.arange(len(names))
     starts = at[at + window <= np.repeat(ptr[1:], np.diff(ptr))]
-    out = names[starts]
+    out, reach, size = names[starts], np.ones(len(starts), np.int64), np.ones(len(names), np.int64)
     live, lo, hi = np.arange(len(starts)), starts, starts + window
     level = 0
     while len(live):
@@ -52,7 +54,7 @@ def anchors(names: np.ndarray, ptr: np.ndarray, window: int) -> tuple[np.ndarray
         length = np.diff(np.append(first, len(names)))
         run = np.cumsum(new) - 1
         names = np.where(length == 1, names[first], W.mix(names[first] + length.astype(np.uint64) * _RUN))
-        owner = owner[first]
+        owner, size = owner[first], np.add.reduceat(size, first)
         lo, hi = run[lo] + 1, run[hi - 1]
         ok = lo < hi
         live, lo, hi = live[ok], lo[ok], hi[ok]
@@ -70,8 +72,17 @@ def anchors(names: np.ndarray, ptr: np.ndarray, window: int) -> tuple[np.ndarray
         symbol = np.cumsum(keep) - 1
         after = np.append(names[1:], np.uint64(0))
         names, owner = np.where(pair, W.mix(names * _LEFT + after * _RIGHT), names)[keep], owner[keep]
+        size = np.add.reduceat(size, np.flatnonzero(keep))
         lo, hi = symbol[lo], symbol[hi - 1] + 1
-        out[live] = names[lo]
+        few = hi - lo <= FEW
+        who, a, z = live[few], lo[few], hi[few]
+        for _ in range(FEW):
+            inside = a < z
+            who, a, z = who[inside], a[inside], z[inside]
+            name, words = names[a], size[a]
+            better = (words > reach[who]) | (words == reach[who]) & (name < out[who])
+            out[who[better]], reach[who[better]] = name[better], words[better]
+            a = a + 1
     return starts, out
 
 

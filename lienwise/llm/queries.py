@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, packing, quality, recompression, simhash, wrapper
+from . import chat, decontaminate, licenses, packing, quality, recompression, simhash, topk, wrapper
 from .storage import table, written
 
 
@@ -19,6 +19,10 @@ def op2_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -62,6 +66,7 @@ def op10_conditional_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wrapper_induction": op1_wrapper_induction,
     "op2_simhash_windows": op2_simhash_windows,
+    "op3_branch_and_bound": op3_branch_and_bound,
     "op4_simhash_trie": op4_simhash_trie,
     "op5_recompression": op5_recompression,
     "op7_minimum_bin_slack": op7_minimum_bin_slack,

@@ -72,7 +72,9 @@ def reply_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
         if not jump.where("up is not null").head(1):
             break
         far = jump.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"), F.col("top").alias("top2"))
-        jump = jump.join(far, "up", "left").select("node", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), F.coalesce("top2", "top").alias("top"))
+        # only those that have not met their root yet move on
+        moved = jump.where("up is not null").join(far, "up").select("node", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("total") + F.col("total2")).alias("total"), F.col("top2").alias("top"))
+        jump = moved.unionByName(jump.where("up is null"))
     # what still has an ancestor lies on a cycle or hangs from one
     settled = jumps[-1].where("up is null").select(F.col("node").alias("leaf"), F.col("top").alias("root"), F.col("steps").alias("length"), "total")
     chosen = leaves.join(settled, "leaf")

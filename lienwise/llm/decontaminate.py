@@ -6,9 +6,9 @@ SimHash of its ``k``-word shingles. A multi-index over the items' fingerprints
 every item within the Hamming radius of a window; the weighted Jaccard
 similarity of the two shingle multisets then decides exactly.
 
-A window can only reach the threshold if it shares a shingle with an item, so
-fingerprints are taken where a document holds shingles of some item; all other
-windows have similarity zero.
+A window of an item's length reaches the threshold t only if 2t/(1+t) of its
+shingles are shingles of the item, so fingerprints are taken where a document
+holds that many close together; no other window can match.
 """
 
 from __future__ import annotations
@@ -40,12 +40,13 @@ class Items:
     tables: list[list[np.ndarray]]
     k: int
     radius: int
+    need: np.ndarray
 
 
 _POP = np.array([bin(x).count("1") for x in range(256)])
 
 
-def index_items(ids: list, texts: list, k: int, radius: int) -> Items:
+def index_items(ids: list, texts: list, k: int, radius: int, threshold: float) -> Items:
     """Items without words match nothing and are left out."""
     words = W.split_words(pa.array(texts, pa.large_string()))
     has = words.counts > 0
@@ -66,7 +67,9 @@ def index_items(ids: list, texts: list, k: int, radius: int) -> Items:
     keys = np.concatenate([s[0] for s in sets]) if sets else np.zeros(0, np.uint64)
     owners = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets]) if sets else np.zeros(0, np.int64)
     order = np.argsort(keys, kind="stable")
-    return Items([ids[i] for i in rows], words.counts[rows], fps, sets, keys[order], owners[order], tables, k, radius)
+    lengths = words.counts[rows]
+    need = np.ceil(2 * threshold / (1 + threshold) * np.maximum(lengths - k + 1, 1) - 1e-9).astype(np.int64)
+    return Items([ids[i] for i in rows], lengths, fps, sets, keys[order], owners[order], tables, k, radius, need)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -76,36 +79,52 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(common) / float(a[1].sum() + b[1].sum() - common)
 
 
-def document_matches(words: np.ndarray, found: np.ndarray, items: Items, threshold: float) -> dict[int, tuple[float, int]]:
-    """Best (similarity, first word) of each item in one document. ``found``:
-    the words at which a shingle of some item starts."""
-    n, out = len(words), {}
-    for length in np.unique(items.lengths):
-        span = length - items.k + 1 if length > items.k else 1
-        if n < length:
-            continue
-        # windows that hold the start of a found shingle inside
-        cover = np.zeros(n + 2, np.int64)
-        np.add.at(cover, np.maximum(0, found - span + 1), 1)
-        np.add.at(cover, np.maximum(np.minimum(found, n - length) + 1, np.maximum(0, found - span + 1)), -1)
-        starts = np.flatnonzero(np.cumsum(cover) > 0)
-        if not len(starts):
-            continue
-        width = min(items.k, int(length))
-        h, _ = W.shingles(words, np.array([0, n]), width)
+def document_matches(words: np.ndarray, starts_by_length: dict[int, np.ndarray], items: Items, threshold: float) -> dict[int, tuple[float, int]]:
+    """Best (similarity, first word) of each item among the windows of one
+    document that start at the given words, by window length."""
+    out: dict[int, tuple[float, int]] = {}
+    for length, starts in starts_by_length.items():
+        width = min(items.k, length)
+        span = length - width + 1
+        h, _ = W.shingles(words, np.array([0, len(words)]), width)
         for part in np.array_split(starts, max(1, len(starts) * span // (1 << 18))):
             at = (part[:, None] + np.arange(span)).ravel()
             fps = W.majority(h[at], np.arange(len(part) + 1) * span)[:, 0]
             for start, fp in zip(part.tolist(), fps.tolist(), strict=True):
                 near = np.unique(np.concatenate([items.tables[b][fp >> 8 * b & 255] for b in range(8)]))
                 near = near[(items.lengths[near] == length) & (np.bitwise_count(items.fps[near] ^ np.uint64(fp)) <= items.radius)]
+                if not len(near):
+                    continue
+                window = np.unique(h[start : start + span], return_counts=True)
                 for item in near.tolist():
-                    score = weighted_jaccard(np.unique(h[start : start + span], return_counts=True), items.shingles[item])
+                    score = weighted_jaccard(window, items.shingles[item])
                     if score >= threshold and (item not in out or score > out[item][0]):
                         out[item] = (score, start)
     return out
 
 
+def _possible(item: np.ndarray, at: np.ndarray, n: int, items: Items, threshold: float) -> dict[int, np.ndarray]:
+    """Window starts, by length, that can reach the threshold in a document of
+    ``n`` words. ``at`` are the words where a shingle of ``item`` starts."""
+    out: dict[int, list[np.ndarray]] = {}
+    for x in np.unique(item).tolist():
+        length = int(items.lengths[x])
+        span = length - min(items.k, length) + 1
+        need = max(1, int(np.ceil(2 * threshold / (1 + threshold) * span - 1e-9)))
+        own = np.sort(at[item == x])
+        if len(own) < need or n < length:
+            continue
+        low = np.maximum(own[need - 1 :] - span + 1, 0)
+        high = np.minimum(own[: len(own) - need + 1], n - length)
+        ok = low <= high
+        if ok.any():
+            cover = np.zeros(n + 1, np.int64)
+            np.add.at(cover, low[ok], 1)
+            np.add.at(cover, high[ok] + 1, -1)
+            out.setdefault(length, []).append(np.flatnonzero(np.cumsum(cover) > 0))
+    return {length: np.unique(np.concatenate(parts)) for length, parts in sorted(out.items())}
+
+
 def _matches(docs: DataFrame, items: Items, threshold: float, item_type: str) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(items)
     short = sorted({min(items.k, int(x)) for x in items.lengths})
@@ -121,21 +140,31 @@ def _matches(docs: DataFrame, items: Items, threshold: float, item_type: str) ->
             for width in short:
                 h, ptr = W.shingles(hashes, words.ptr, width)
                 at = np.flatnonzero(mask[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-                place = np.minimum(np.searchsorted(own.keys, h[at]), len(own.keys) - 1)
-                at = at[own.keys[place] == h[at]]
+                first, last = (np.searchsorted(own.keys, h[at], side=x) for x in ("left", "right"))
+                at, first, many = at[last > first], first[last > first], (last - first)[last > first]
+                owner = own.owners[np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+                at = np.repeat(at, many)
+                fits = np.minimum(own.lengths[owner], own.k) == width
+                at, owner = at[fits], owner[fits]
                 doc = np.searchsorted(ptr, at, side="right") - 1
-                hits.append(np.stack([doc, at - ptr[doc]]))
-            doc, at = np.concatenate(hits, axis=1)
-            order = np.lexsort((at, doc))
-            doc, at = doc[order], at[order]
+                hits.append(np.stack([doc, at - ptr[doc], owner]))
+            doc, at, item = np.concatenate(hits, axis=1)
+            # too few shingles of an item in the whole document: no window of it can match
+            pair, back, many = np.unique(doc * len(own.ids) + item, return_inverse=True, return_counts=True)
+            enough = (many >= own.need[pair % len(own.ids)])[back]
+            doc, at, item = doc[enough], at[enough], item[enough]
+            order = np.argsort(doc, kind="stable")
+            doc, at, item = doc[order], at[order], item[order]
             rows, who, score, start = [], [], [], []
             for d in np.unique(doc).tolist():
-                found = document_matches(hashes[words.ptr[d] : words.ptr[d + 1]], np.unique(at[doc == d]), own, threshold)
-                for item, (s, a) in found.items():
+                a, z = np.searchsorted(doc, [d, d + 1])
+                mine = hashes[words.ptr[d] : words.ptr[d + 1]]
+                found = document_matches(mine, _possible(item[a:z], at[a:z], len(mine), own, threshold), own, threshold)
+                for x, (s, first_word) in found.items():
                     rows.append(d)
-                    who.append(own.ids[item])
+                    who.append(own.ids[x])
                     score.append(s)
-                    start.append(a)
+                    start.append(first_word)
             kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type]
             yield pa.record_batch([b.column("i").take(pa.array(rows, pa.int64())), pa.array(who, kind), pa.array(score, pa.float64()), pa.array(start, pa.int64())], ["i", "item_id", "similarity", "first_word"])
 
@@ -161,7 +190,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: f
     count, out, after = rows.count(), None, 0
     while out is None or after < count:
         part = rows.offset(after).limit(ITEMS).collect()
-        items = index_items([r["item_id"] for r in part], [r["text"] for r in part], k, radius)
+        items = index_items([r["item_id"] for r in part], [r["text"] for r in part], k, radius, threshold)
         after += ITEMS
         if items.ids:
             found = _matches(texts, items, threshold, item_type)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, packing, quality, recompression, simhash, topk, wrapper
+from . import chat, decontaminate, language_model, licenses, packing, quality, recompression, simhash, topk, wrapper
 from .storage import table, written
 
 
@@ -32,6 +32,11 @@ def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.repeated_passages(table(spark, sf_dir, "documents"))[0].drop("key")
 
 
+def op6_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    return language_model.score_texts(table(spark, sf_dir, "documents"), training)
+
+
 def op7_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_branch_and_bound": op3_branch_and_bound,
     "op4_simhash_trie": op4_simhash_trie,
     "op5_recompression": op5_recompression,
+    "op6_elias_fano": op6_elias_fano,
     "op7_minimum_bin_slack": op7_minimum_bin_slack,
     "op8_ordinal_quality": op8_ordinal_quality,
     "op9_reply_trees": op9_reply_trees,

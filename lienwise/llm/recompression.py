@@ -55,25 +55,24 @@ def anchors(names: np.ndarray, ptr: np.ndarray, window: int) -> tuple[np.ndarray
         run = np.cumsum(new) - 1
         names = np.where(length == 1, names[first], W.mix(names[first] + length.astype(np.uint64) * _RUN))
         owner, size = owner[first], np.add.reduceat(size, first)
-        lo, hi = run[lo] + 1, run[hi - 1]
-        ok = lo < hi
-        live, lo, hi = live[ok], lo[ok], hi[ok]
-        if not len(live):
-            break
         # pairs of a left and a right symbol; an outer right (left) symbol may pair outside
         right = (W.mix(names ^ salt) >> np.uint64(17)) & np.uint64(1) == 1
         pair = np.zeros(len(names), bool)
         pair[:-1] = ~right[:-1] & right[1:] & (owner[:-1] == owner[1:])
-        lo, hi = lo + right[lo], hi - ~right[hi - 1]
-        ok = lo < hi
-        live, lo, hi = live[ok], lo[ok], hi[ok]
         keep = np.ones(len(names), bool)
         keep[1:] = ~pair[:-1]
         symbol = np.cumsum(keep) - 1
+        # where a window that starts (ends) with a symbol starts (ends) in the new names: one map for each, looked up by all windows
+        n = np.arange(len(names))
+        start = np.append(symbol, symbol[-1] + 1)[np.append(n + right, len(names))][run + 1]
+        end = np.concatenate([[0], symbol + 1])[n - np.concatenate([[False], ~right[:-1]])][run]
         after = np.append(names[1:], np.uint64(0))
         names, owner = np.where(pair, W.mix(names * _LEFT + after * _RIGHT), names)[keep], owner[keep]
         size = np.add.reduceat(size, np.flatnonzero(keep))
-        lo, hi = symbol[lo], symbol[hi - 1] + 1
+        lo, hi = start[lo], end[hi - 1]
+        ok = lo < hi
+        if not ok.all():
+            live, lo, hi = live[ok], lo[ok], hi[ok]
         few = hi - lo <= FEW
         who, a, z = live[few], lo[few], hi[few]
         for _ in range(FEW):
@@ -207,7 +206,8 @@ def repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
         source = source.join(F.broadcast(wanted.select("i").distinct()), "i", "left_semi")
     chosen = written(_own(source.join(wanted, "i")), "chosen")
     found = _windows(chosen, window).repartition("a", "b")
-    first = found.groupBy("a", "b").agg(F.min("i").alias("low"), F.max("i").alias("high")).where("low < high").drop("high")
+    # both sides read all columns, so that they share one exchange
+    first = found.groupBy("a", "b").agg(F.min("i").alias("low"), F.max("i").alias("high"), F.max("tag").alias("any")).where("low < high and any is not null").drop("high", "any")
     covered = found.join(first.hint("merge"), ["a", "b"]).where("i > low")
     places = covered.groupBy("i", F.shiftright("tag", 32).alias("bits")).agg(F.collect_list("tag").alias("tags"))
     cut = written(_cut(chosen.withColumn("bits", F.col("key").bitwiseAND(F.lit(0x7FFFFFFF))).join(places, ["i", "bits"]), window), "cut").distinct()

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
+from .storage import by_id, written
 
 #: Items that a broadcast may hold; larger benchmarks are taken in parts.
 ITEMS = 20_000
@@ -204,5 +205,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: f
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """Documents, all columns, that hold no benchmark item."""
-    bad = contaminated(docs, benchmark, id_col=id_col, **options).select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti").select(docs.columns)
+    bad = written(contaminated(docs, benchmark, id_col=id_col, **options).select(id_col).distinct(), "contaminated")
+    return by_id(docs, bad, id_col, "left_anti")

@@ -29,7 +29,7 @@ def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recompression.repeated_passages(table(spark, sf_dir, "documents"))[0].drop("key")
+    return recompression.repeated_passages(table(spark, sf_dir, "documents"))[0].drop("key", "sha")
 
 
 def op6_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .storage import written
+from .storage import by_id, written
 
 BROADCAST_IDS = 1 << 20
 #: Symbols among which a window chooses its anchor, from the level where no more are left.
@@ -183,7 +183,7 @@ def repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     """Words covered by a window that also starts in a document of a smaller id.
 
     Returns two frames. The first has a row per input row: ``(id_col, n_words,
-    n_removed, kept_sha256, key)``. The second has ``(id_col, key, kept)``, the
+    n_removed, kept_sha256, key, sha)``. The second has ``(id_col, key, kept)``, the
     kept words joined by one space, for rows that lose some but not all words;
     the others keep their text or nothing. ``key`` tells rows of equal id apart.
 
@@ -220,5 +220,19 @@ def repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
         "key",
+        "sha",
     )
     return out, cut.select(F.col("i").alias(id_col), "key", "kept")
+
+
+def without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with the covered words gone: a text that loses
+    words becomes its kept words joined by one space, any other stays as it is.
+    No row goes."""
+    rows, kept = repeated_passages(docs, window, id_col, text_col)
+    changed = rows.where("n_removed > 0").join(kept, [id_col, "key"], "left").select(id_col, F.col("sha").alias("_sha"), F.coalesce("kept", F.lit("")).alias("_kept")).distinct()
+    changed = written(changed, "changed")
+    words = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
+    touched = by_id(docs, changed, id_col, "left_semi").withColumn("_sha", F.sha2(F.array_join(words, " "), 256))
+    touched = touched.join(changed, [id_col, "_sha"], "left").withColumn(text_col, F.coalesce("_kept", text_col)).select(docs.columns)
+    return by_id(docs, changed, id_col, "left_anti").unionByName(touched)

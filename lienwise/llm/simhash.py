@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .storage import written
+from .storage import by_id, written
 
 HOT = 4096
+SKETCH = ("s0", "s1", "s2", "s3")
 FRONTIER = 1 << 18
 
 
@@ -124,16 +125,21 @@ def trie_links(fp: np.ndarray, bucket: np.ndarray, budget: int) -> Iterator[tupl
                 stack.append((bit - 1, x[keep], y[keep], u[keep], v[keep], e[keep]))
 
 
-def _forest(rows: pa.Table, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(rows: pa.Table, budget: int, limit: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and roots of the links among the rows of some sub-tries."""
+    columns = {c: rows[c].to_numpy() for c in ("table", "mask", "part", "node")}
     fp = rows["fp"].to_numpy().view(np.uint64)
-    key = np.stack([rows["mask"].to_numpy().view(np.uint64), rows["part"].to_numpy().view(np.uint64)])
-    order = np.lexsort((fp, key[1], key[0]))
-    fp, key = fp[order], key[:, order]
-    new = np.concatenate([[False], (key[:, 1:] != key[:, :-1]).any(0)]) if len(fp) else np.zeros(0, bool)
-    bucket = np.cumsum(new)
-    unique, own = np.unique(fp, return_inverse=True)
+    order = np.lexsort((fp, columns["part"], columns["mask"], columns["table"]))
+    fp = fp[order]
+    key = np.stack([columns[c][order] for c in ("table", "mask", "part")])
+    bucket = np.cumsum(np.concatenate([[False], (key[:, 1:] != key[:, :-1]).any(0)])) if len(fp) else np.zeros(0, np.int64)
+    unique, own = np.unique(columns["node"][order], return_inverse=True)
+    sketch = None if limit is None else np.stack([rows[c].to_numpy().view(np.uint64)[order] for c in SKETCH])
     label, waiting, held = np.arange(len(unique)), [], 0
     for i, j in trie_links(fp, bucket, budget):
+        if sketch is not None:
+            near = np.bitwise_count(sketch[:, i] ^ sketch[:, j]).astype(np.int64).sum(0) <= limit
+            i, j = i[near], j[near]
         waiting.append((own[i], own[j]))
         held += len(i)
         if held > 4 * FRONTIER:
@@ -162,48 +168,51 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def sub_tries(fps: DataFrame, budget: int, hot: int = HOT) -> DataFrame:
-    """``(mask, part, fp)``: each fingerprint under every sub-trie that it may
-    share with a fingerprint within the budget. Sub-tries of over ``hot``
-    fingerprints are cut again, up to three times in all."""
+def sub_tries(rows: DataFrame, budget: int, hot: int = HOT) -> DataFrame:
+    """``rows`` (table, fp and more) with mask and part: each under every
+    sub-trie of its table that it may share with a fingerprint within the
+    budget. Sub-tries of over ``hot`` rows are cut again, up to three times in
+    all."""
+    names = rows.columns
 
     def cut(frame: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
         choice = None
         for old, new in masks.items():
             values = F.array(*[F.lit(_signed(m)) for m in new])
             choice = values if choice is None else F.when(F.col("mask") == F.lit(_signed(old)), values).otherwise(choice)
-        out = frame.select("fp", F.explode(choice).alias("mask"))
-        return out.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("part"), "fp")
+        return frame.select(*names, F.explode(choice).alias("mask")).withColumn("part", F.col("mask").bitwiseAND(F.col("fp")))
 
+    keys = ["table", "mask", "part"]
     masks = {0: _groups(0, budget + 1)}
-    rows = cut(fps.select("fp", F.lit(0).cast("long").alias("mask")), masks)
+    now = cut(rows.withColumn("mask", F.lit(0).cast("long")), masks)
     done = None
     for _ in range(2):
-        sizes = rows.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
-        if not sizes.head(1):
-            break
+        sizes = now.groupBy(keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
         big = written(sizes, "hot-tries")
-        rows = written(rows, "tries")
-        small = rows.join(big, ["mask", "part"], "left_anti")
+        if not big.head(1):
+            break
+        now = written(now, "tries")
+        small = now.join(big, keys, "left_anti")
         done = small if done is None else done.unionByName(small)
         masks = {m: _groups(m, budget + 1) for new in masks.values() for m in new}
-        rows = cut(rows.join(big, ["mask", "part"], "left_semi"), masks).distinct()
-    return rows if done is None else done.unionByName(rows)
+        now = cut(now.join(big, keys, "left_semi"), masks).distinct()
+    return now if done is None else done.unionByName(now)
 
 
-def fingerprint_links(fps: DataFrame, budget: int = 3, hot: int = HOT) -> DataFrame:
-    """``(a, b)``: links whose closure joins exactly the fingerprints (distinct,
-    column fp) that chains of ``budget`` or fewer differing bits join."""
+def fingerprint_links(rows: DataFrame, budget: int = 3, hot: int = HOT, limit: int | None = None) -> DataFrame:
+    """``(a, b)``: links of nodes whose closure joins what chains of
+    fingerprints of one table at ``budget`` or fewer differing bits join; with
+    a ``limit``, only pairs count whose sketches differ in no more bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if held:
-            a, b = _forest(pa.Table.from_batches(held), budget)
-            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            a, b = _forest(pa.Table.from_batches(held), budget, limit)
+            yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
     if not 0 <= budget < 64:
         raise ValueError("the budget is a number of bits from 0 to 63")
-    return sub_tries(fps, budget, hot).repartition("mask", "part").mapInArrow(run, "a long, b long")
+    return sub_tries(rows, budget, hot).repartition("table", "mask", "part").mapInArrow(run, "a long, b long")
 
 
 def neardup_components(fingerprints: DataFrame, budget: int = 3, id_col: str = "doc_id") -> DataFrame:
@@ -215,7 +224,7 @@ def neardup_components(fingerprints: DataFrame, budget: int = 3, id_col: str = "
     gives an empty result."""
     own = written(fingerprints.where(F.col(id_col).isNotNull()).select(id_col, "fp"), "fingerprints")
     nodes = written(own.groupBy("fp").agg(F.min(id_col).alias("low")), "nodes")
-    links = written(fingerprint_links(nodes.select("fp"), budget), "links")
+    links = written(fingerprint_links(nodes.select(F.lit(0).alias("table"), "fp", F.col("fp").alias("node")), budget), "links")
     roots = written(components(links), "roots")
     linked = roots.join(nodes, roots["node"] == nodes["fp"]).select("node", "root", "low")
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -227,3 +236,59 @@ def neardup_components(fingerprints: DataFrame, budget: int = 3, id_col: str = "
 def near_duplicates(docs: DataFrame, k: int = 3, budget: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint and component of every document; see the two parts."""
     return neardup_components(xxh64_fingerprints(docs, k, seed, id_col, text_col), budget, id_col)
+
+
+def _sketches(docs: DataFrame, k: int, tables: int) -> DataFrame:
+    """(i, fps, s0 to s3): ``tables`` fingerprints of the distinct words, and 256
+    bits of the ``k``-word shingles, each under hashes of its own."""
+
+    def salted(h: np.ndarray, n: int) -> np.ndarray:
+        return W.mix(h[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in W.pieces(batches, "t", W.CHUNK_BYTES // 2):
+            words = W.split_words(b.column("t"))
+            h, owner = words.hashes(), words.owner()
+            order = np.lexsort((h, owner))
+            first = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])]) if len(h) else np.zeros(0, bool)
+            distinct = np.sort(order[first])
+            ptr = np.searchsorted(owner[distinct], np.arange(b.num_rows + 1))
+            fps = W.majority(salted(h[distinct], tables), ptr)
+            runs, at = W.shingles(h, words.ptr, k)
+            sketch = W.majority(salted(runs, len(SKETCH)), at)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * tables, pa.int32()), pa.array(fps.ravel().view(np.int64)))
+            yield pa.record_batch([b.column("i"), lists, *(pa.array(np.ascontiguousarray(sketch[:, c]).view(np.int64)) for c in range(len(SKETCH)))], ["i", "fps", *SKETCH])
+
+    kind = docs.schema["i"].dataType.simpleString()
+    return docs.mapInArrow(run, f"i {kind}, fps array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
+
+
+def similar_documents(docs: DataFrame, k: int = 5, tables: int = 5, budget: int = 4, limit: int = 44, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id_col, component_id)``: groups of documents whose ``k``-word shingles
+    are similar, 0.8 or more in Jaccard's measure.
+
+    Candidates differ in ``budget`` or fewer bits in one of ``tables``
+    fingerprints of the distinct words, which a changed word moves less than it
+    moves shingles; the trie join finds all of them. A pair links if its 256-bit
+    shingle SimHashes differ in ``limit`` bits or fewer; a similarity of 0.8
+    gives 39 on average. Texts without words are copies of each other. Rows
+    without an id are left out; the smallest id names a group."""
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    own = written(_sketches(texts, k, tables), "sketches")
+    nodes = written(own.groupBy("fps", *SKETCH).agg(F.min("i").cast("long").alias("node")), "nodes")
+    rows = nodes.select(F.posexplode("fps").alias("table", "fp"), "node", *SKETCH)
+    roots = written(components(written(fingerprint_links(rows, budget, hot, limit), "links")), "roots")
+    named = nodes.join(roots, "node", "left").select("fps", *SKETCH, F.coalesce("root", "node").alias("component_id"))
+    return own.join(named, ["fps", *SKETCH]).select(F.col("i").alias(id_col), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs``, all columns, with one document of each group: the one of the
+    smallest id (of repeated ids one row). Rows without an id stay."""
+    groups = written(similar_documents(docs, id_col=id_col, **options), "groups")
+    out = by_id(docs, groups.where(F.col(id_col) != F.col("component_id")), id_col, "left_anti")
+    again = written(groups.groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
+    if again.head(1):
+        some = by_id(out, again, id_col, "left_semi").dropDuplicates([id_col])
+        out = by_id(out, again, id_col, "left_anti").unionByName(some)
+    return out

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _OWN: list[str] = []
@@ -33,3 +34,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+#: Ids that a broadcast may hold; beyond that, joins shuffle.
+BROADCAST_IDS = 1 << 20
+
+
+def by_id(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+    """A semi or anti join by id, all columns of ``docs`` kept. Ids whose count
+    is checked to be low are broadcast, so that texts need not move."""
+    ids = ids.select(id_col).distinct()
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, how).select(docs.columns)

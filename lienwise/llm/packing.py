@@ -129,11 +129,11 @@ def slack_plan(histogram: dict[int, int], width: int) -> np.ndarray:
 
 
 def pack(pieces: DataFrame, width: int = 1024, id_col: str = "doc_id") -> DataFrame:
-    """``pieces`` with sequence_id and offset: every piece lies in one sequence
+    """``pieces`` with new sequence_id and offset: every piece lies in one sequence
     of at most ``width`` tokens, offsets run from 0 without gaps. Extra columns
     stay; an empty table gives an empty result; repeated rows are pieces of
     their own. Lengths outside 1 to ``width`` are an error."""
-    pieces = written(pieces, "pieces")
+    pieces = written(pieces.drop("sequence_id", "offset"), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     if any(x is None or not 1 <= x <= width for x in histogram):
         raise ValueError(f"a piece's length is outside 1 to {width}")

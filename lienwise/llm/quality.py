@@ -198,23 +198,25 @@ def train(docs: DataFrame, rated: DataFrame, sample: int = SAMPLE, penalty: floa
     return fit(ptr, lists.flatten().to_numpy().astype(np.int64), got["value"].combine_chunks().flatten().to_numpy().astype(np.float64), got["grade"].to_numpy().astype(np.int64), penalty)
 
 
-def score(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, with expected_grade (0 to 2) and top_probability.
-    Null texts count as empty; an empty text has the prior's grade."""
+def score(docs: DataFrame, model: Ordinal, text_col: str = "text", names: tuple[str, str] = ("expected_grade", "top_probability")) -> DataFrame:
+    """``docs``, all columns, with the expected grade (0 to 2) and the
+    probability of the top one under ``names``, which replace columns of these
+    names. Null texts count as empty; an empty text has the prior's grade."""
     weights = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Ordinal(*weights.value)
         for b in W.pieces(batches, "_t"):
             tails = own.tails(*features(b.column("_t")))
-            yield pa.record_batch([*b.columns[:-1], pa.array(tails.sum(1)), pa.array(tails[:, -1])], [*b.schema.names[:-1], "expected_grade", "top_probability"])
+            yield pa.record_batch([*b.columns[:-1], pa.array(tails.sum(1)), pa.array(tails[:, -1])], [*b.schema.names[:-1], *names])
 
-    names = [c for c in docs.columns if c not in ("expected_grade", "top_probability")]
-    held = docs.select(*names, F.col(text_col).alias("_t"))
+    held = docs.select(*[c for c in docs.columns if c not in names], F.col(text_col).alias("_t"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema if f.name != "_t")
-    return held.mapInArrow(run, f"{schema}, expected_grade double, top_probability double")
+    return held.mapInArrow(run, f"{schema}, {names[0]} double, {names[1]} double")
 
 
 def select_good(docs: DataFrame, rated: DataFrame, least: float = 0.5, **options) -> DataFrame:
-    """The documents whose probability of the top grade is ``least`` or more."""
-    return score(docs, train(docs, rated, **options)).where(F.col("top_probability") >= least).select(docs.columns)
+    """The documents, all columns, whose probability of the top grade is
+    ``least`` or more. Repeated rows stay repeated."""
+    names = ("_expected", "_top")
+    return score(docs, train(docs, rated, **options), names=names).where(F.col(names[1]) >= least).select(docs.columns)

@@ -158,7 +158,7 @@ def majority(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     in over half of them; zero for a text without hashes.
 
     Eight bit counters share one 64-bit lane word, so blocks hold 255 rows."""
-    h = h.reshape(len(h), -1)
+    h = h.reshape(len(h), 1) if h.ndim == 1 else h
     width, counts = h.shape[1], np.diff(ptr)
     out = np.zeros((len(counts), width), np.uint64)
     if not len(h):

@@ -11,7 +11,7 @@ from .functions import scalars as S
 from .operators import behaviour, blockstate, evaluate, features, graph, intent, ledger, log, predicates, reputation, training, vault
 from .operators import labels as labelling
 from .params import Params
-from .plans import verdicts
+from .plans import replay, scenario, verdicts
 from .sources import connectors
 from .sources import testdata as T
 
@@ -702,3 +702,14 @@ def win_feature_lastwrite(spark, d):
     w = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     rows = log.dedupe(T.deposits(spark, d)).withColumn("n", F.last("network_risk", ignorenulls=True).over(w))
     return rows.groupBy("key").agg(F.max_by("occurred_at", "seq").alias("computed_at"), F.round(F.max_by("n", "seq"), 6).alias("network_risk"))
+
+
+# --- replay of a synthetic world
+
+
+@query("SELECT NULL AS family, 78 AS n, 1.0 AS decision_accuracy, 1.0 AS code_accuracy")
+def scenario_replay(spark, d):
+    w = scenario.world(spark)
+    verdict = replay.replay(w["requests"].drop("family"), w["tokens"], w["overlays"], scenario.NOW, Params(interruption_cost=scenario.COST))
+    rows = evaluate.per_debit(w["expected"], verdict.select("evaluation_id", F.col("answer").alias("actual_decision"), F.col("code").alias("actual_code")))
+    return evaluate.accuracy(rows).where("family is null").select("family", "n", "decision_accuracy", "code_accuracy")

@@ -22,10 +22,12 @@ from ..params import DEFAULT, Params
 class MarkerQuantile:
     """The P-square estimate (Jain and Chlamtac 1985) of one quantile."""
 
-    __slots__ = ("q", "first", "height", "place")
+    __slots__ = ("first", "height", "place", "q", "share", "wish")
 
     def __init__(self, q: float) -> None:
         self.q, self.first, self.height, self.place = q, [], None, None
+        self.share = (0.0, q / 2, q, (1 + q) / 2, 1.0)
+        self.wish = [2 * q, 4 * q, 2 + 2 * q]
 
     def estimate(self) -> float:
         if self.height is not None:
@@ -43,10 +45,9 @@ class MarkerQuantile:
         cell = next((i for i in range(3) if x < h[i + 1]), 3)
         for i in range(cell + 1, 5):
             at[i] += 1
-        seen = at[4]  # observations so far, less one
-        for i, share in ((1, self.q / 2), (2, self.q), (3, (1 + self.q) / 2)):
-            # the wish grows with each observation from its place among the first five
-            lag = 4 * share + (seen - 4) * share - at[i]
+        for i in (1, 2, 3):
+            self.wish[i - 1] += self.share[i]
+            lag = self.wish[i - 1] - at[i]
             before, after = at[i] - at[i - 1], at[i + 1] - at[i]
             move = 1 if lag >= 1 and after > 1 else -1 if lag <= -1 and before > 1 else 0
             if not move:

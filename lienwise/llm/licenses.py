@@ -47,7 +47,8 @@ BEST = 4
 
 
 def normal(block: bytes) -> list[bytes]:
-    return block.lower().split()
+    """Lower-cased words without the punctuation around them."""
+    return [w for w in (x.strip(b".,;:!?\"'()*#/<>") for x in block.lower().split()) if w]
 
 
 class Scanner:

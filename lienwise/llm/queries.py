@@ -81,4 +81,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_conditional_compression": op10_conditional_compression,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_ESCAPED = r"regexp_replace(coalesce({0}, ''), '" + chat._pattern("") + r"', '\1\\\2', 'g')"
+_ROLE = "replace(replace(" + _ESCAPED.format("role") + ", '%', '%25'), chr(10), '%0A')"
+
+ORACLES: dict[str, str] = {
+    "op3_branch_and_bound": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS c FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.c, v.c) AS BIGINT) AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+    "op5_recompression": f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50)),
+low AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)),
+cov AS (SELECT DISTINCT doc_id, i + unnest(range(0, 50)) AS j FROM win JOIN low USING (s) WHERE m < doc_id),
+each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS t FROM each ANTI JOIN cov USING (doc_id, j) GROUP BY doc_id),
+gone AS (SELECT doc_id, count(*) AS n FROM cov GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)""",
+    "op9_reply_trees": f"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x, length({_ROLE}) + length({_ESCAPED.format("text")}) + 24 AS n FROM c WHERE conv_id IS NOT NULL)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn, r, x)) AS turns_sha256,
+  CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(x, '' ORDER BY turn, r, x) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id""",
+}

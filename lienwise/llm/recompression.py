@@ -10,8 +10,9 @@ outermost symbol at either end. So each ``window``-word window owns an anchor,
 the longest of the few highest symbols that its own words settle, and equal
 windows have equal anchors.
 
-Spark groups the anchors of different texts; only windows whose anchor occurs
-in two different texts are compared, by 128-bit hashes of all their words.
+Spark sorts the anchors by name; only windows whose anchor occurs in two
+different texts are compared, by 96-bit hashes of all their words, which are
+sorted too: the first row of a group decides, so no group is ever gathered.
 Texts of equal words are one text: of these, all but the smallest id lose every
 window at once.
 """
@@ -28,9 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .storage import by_id, written
+from .storage import beside, by_id, written
 
-BROADCAST_IDS = 1 << 20
 #: Symbols among which a window chooses its anchor, from the level where no more are left.
 FEW = 4
 _LEFT, _RIGHT, _RUN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -117,20 +117,18 @@ def _sketch(docs: DataFrame, window: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)), pa.int32()), pa.array(names.view(np.int64)))
             yield pa.record_batch([b.column("i"), pa.array(words.counts), pa.array([x for x, _ in keys]), pa.array([x for _, x in keys], pa.int64()), lists], ["i", "n_words", "sha", "key", "anchors"])
 
-    kind = docs.schema["i"].dataType.simpleString()
-    return docs.mapInArrow(run, f"i {kind}, n_words long, sha string, key long, anchors array<long>")
+    return docs.mapInArrow(run, "i long, n_words long, sha string, key long, anchors array<long>")
 
 
-def _own(docs: DataFrame) -> DataFrame:
-    """Without rows that met the key of another text of the same id."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(i, t, names) with the key of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.pieces(batches, "t"):
-            same = [_key((x or "").encode("utf-8", "surrogatepass").split())[1] == k for x, k in zip(b.column("t").to_pylist(), b.column("key").to_pylist(), strict=True)]
-            yield b.filter(pa.array(same, pa.bool_()))
+            keys = [_key((x or "").encode("utf-8", "surrogatepass").split())[1] for x in b.column("t").to_pylist()]
+            yield b.append_column("key", pa.array(keys, pa.int64()))
 
-    kind = docs.schema["i"].dataType.simpleString()
-    return docs.select("i", "t", "key", "names").mapInArrow(run, f"i {kind}, t string, key long, names array<long>")
+    return docs.select("i", "t", "names").mapInArrow(run, "i long, t string, names array<long>, key long")
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
@@ -149,11 +147,57 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
             hit = np.isin(W.mix(names + doc.astype(np.uint64) * _LEFT), mine)
             starts, doc = starts[hit], doc[hit]
             tag = (starts - words.ptr[doc]) | (b.column("key").to_numpy()[doc] & 0x7FFFFFFF) << 32
-            hashes = [pa.array(_window_hash(h, starts, window).view(np.int64)) for h in (first, words.hashes(2))]
-            yield pa.record_batch([*hashes, b.column("i").take(pa.array(doc)), pa.array(tag)], ["a", "b", "i", "tag"])
-
-    kind = docs.schema["i"].dataType.simpleString()
-    return docs.select("i", "t", "key", "names").mapInArrow(run, f"a long, b long, i {kind}, tag long")
+            a, z = (_window_hash(h, starts, window).view(np.int64) for h in (first, words.hashes(2)))
+            yield pa.record_batch([pa.array(a), pa.array((z >> 32).astype(np.int32)), b.column("i").take(pa.array(doc)), pa.array(tag)], ["a", "b", "i", "tag"])
+
+    return docs.select("i", "t", "key", "names").mapInArrow(run, "a long, b int, i long, tag long")
+
+
+def _starts(columns: list[np.ndarray], last: tuple | None) -> np.ndarray:
+    """Where a new group of equal values starts, ``last`` being the row before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    new[0] = last is None or any(c[0] != x for c, x in zip(columns, last, strict=True))
+    return new
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order (name, i), the distinct ones of names with two
+    ids or more; what is carried from batch to batch is one row."""
+    group: tuple | None = None  # name, first id, whether that is out, last id
+    for b in batches:
+        if not b.num_rows:
+            continue
+        name, own = b.column("name").to_numpy(), b.column("i").to_numpy()
+        new = _starts([name], group and group[:1])
+        at = np.cumsum(new)  # 0: the group that came before
+        first = np.concatenate([[group[1] if group else 0], own[new]])
+        differ = own != first[at]
+        fresh = np.ones(len(own), bool)
+        fresh[1:] = (own[1:] != own[:-1]) | new[1:]
+        fresh[0] = new[0] or own[0] != group[3]
+        many = np.bincount(at[differ], minlength=len(first)) > 0
+        owed = many.copy()
+        owed[0] &= group is not None and not group[2]
+        names = np.concatenate([[group[0] if group else 0], name[new]])
+        out = differ & fresh
+        yield pa.record_batch([pa.array(np.concatenate([first[owed], own[out]])), pa.array(np.concatenate([names[owed], name[out]]))], ["i", "name"])
+        here = at[-1]
+        group = (name[-1], first[here], bool(many[here] or (here == 0 and group is not None and group[2])), own[-1])
+
+
+def _after_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order (a, b, i), those of a larger i than the first of
+    their (a, b)."""
+    last, lowest = None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        pair, i = [b.column(c).to_numpy() for c in ("a", "b")], b.column("i").to_numpy(zero_copy_only=False)
+        new = _starts(pair, last)
+        first = np.concatenate([i[:1] if lowest is None else np.array([lowest], i.dtype), i[new]])[np.cumsum(new)]
+        last, lowest = (pair[0][-1], pair[1][-1]), first[-1]
+        yield b.filter(pa.array(np.asarray(i > first, bool))).select(["i", "tag"])
 
 
 def _cut(docs: DataFrame, window: int) -> DataFrame:
@@ -175,8 +219,7 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
                 kept.append(rest)
             yield pa.record_batch([b.column("i"), b.column("key"), pa.array(removed, pa.int64()), pa.array(sha), pa.array(kept, pa.binary()).cast(pa.string())], ["i", "key", "n_removed", "kept_sha256", "kept"])
 
-    kind = docs.schema["i"].dataType.simpleString()
-    return docs.select("i", "t", "key", "tags").mapInArrow(run, f"i {kind}, key long, n_removed long, kept_sha256 string, kept string")
+    return docs.select("i", "t", "key", "tags").mapInArrow(run, "i long, key long, n_removed long, kept_sha256 string, kept string")
 
 
 def repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -187,32 +230,26 @@ def repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     kept words joined by one space, for rows that lose some but not all words;
     the others keep their text or nothing. ``key`` tells rows of equal id apart.
 
-    Null texts are empty. A row without an id is never a smaller document and
+    Ids are integers. Null texts are empty. A row without an id is never a smaller document and
     loses nothing. Repeated rows (equal id) do not cover each other. An empty
     table gives empty frames; extra columns are ignored."""
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     sketch = written(_sketch(texts, window), "sketch")
     long = sketch.where((F.col("n_words") >= window) & F.col("i").isNotNull())
-    lows = written(long.groupBy("sha", "key").agg(F.min("i").alias("low"), F.count(F.lit(1)).alias("n")), "texts")
-
-    # one shuffle by name serves both the grouping and the join
-    named = long.select("key", F.explode("anchors").alias("name")).repartition("name")
-    shared = named.groupBy("name").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("name")
-    hits = named.join(shared.hint("merge"), "name").groupBy("key").agg(F.collect_set("name").alias("names"))
-    wanted = written(hits.join(lows.select("key", F.col("low").alias("i")), "key"), "wanted")
-
-    source = texts.where(F.col("i").isNotNull())
-    if wanted.count() <= BROADCAST_IDS:  # ids only; beyond that, the join below does without
-        source = source.join(F.broadcast(wanted.select("i").distinct()), "i", "left_semi")
-    chosen = written(_own(source.join(wanted, "i")), "chosen")
-    found = _windows(chosen, window).repartition("a", "b")
-    # both sides read all columns, so that they share one exchange
-    first = found.groupBy("a", "b").agg(F.min("i").alias("low"), F.max("i").alias("high"), F.max("tag").alias("any")).where("low < high and any is not null").drop("high", "any")
-    covered = found.join(first.hint("merge"), ["a", "b"]).where("i > low")
-    places = covered.groupBy("i", F.shiftright("tag", 32).alias("bits")).agg(F.collect_list("tag").alias("tags"))
-    cut = written(_cut(chosen.withColumn("bits", F.col("key").bitwiseAND(F.lit(0x7FFFFFFF))).join(places, ["i", "bits"]), window), "cut").distinct()
-
-    rows = sketch.drop("anchors").join(lows.where("n > 1").select("sha", "low"), "sha", "left").join(cut.drop("kept"), ["i", "key"], "left")
+    lows = written(long.groupBy("sha").agg(F.min("i").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "low"), "texts")
+    copies = written(long.select("i", "sha").join(lows, "sha").where("i > low").select("i", "sha").distinct(), "copies")
+
+    once = long.join(beside(copies), ["i", "sha"], "left_anti").select("i", F.explode("anchors").alias("name"))
+    hits = once.repartition("name").sortWithinPartitions("name", "i").mapInArrow(_shared, "i long, name long")
+    wanted = written(hits.groupBy("i").agg(F.collect_set("name").alias("names")), "wanted")
+    chosen = written(_keyed(by_id(texts, wanted, "i", "left_semi").join(wanted, "i")), "chosen")
+    found = _windows(chosen, window)
+    covered = found.repartition("a", "b").sortWithinPartitions("a", "b", "i").mapInArrow(_after_first, "i long, tag long")
+    places = written(covered.groupBy("i", F.shiftright("tag", 32).alias("bits")).agg(F.collect_list("tag").alias("tags")), "places")
+    losing = by_id(chosen, places, "i", "left_semi").withColumn("bits", F.col("key").bitwiseAND(F.lit(0x7FFFFFFF)))
+    cut = written(_cut(losing.join(places, ["i", "bits"]), window), "cut").distinct()
+
+    rows = sketch.drop("anchors").join(lows, "sha", "left").join(cut.drop("kept"), ["i", "key"], "left")
     copy = F.coalesce(F.col("i") > F.col("low"), F.lit(False))
     out = rows.select(
         F.col("i").alias(id_col),

@@ -40,8 +40,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BROADCAST_IDS = 1 << 20
 
 
+def beside(rows: DataFrame) -> DataFrame:
+    """``rows`` of a few short columns, for a join: to be broadcast where their
+    checked count is low."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
 def by_id(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
     """A semi or anti join by id, all columns of ``docs`` kept. Ids whose count
     is checked to be low are broadcast, so that texts need not move."""
-    ids = ids.select(id_col).distinct()
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, how).select(docs.columns)
+    return docs.join(beside(ids.select(id_col).distinct()), id_col, how).select(docs.columns)

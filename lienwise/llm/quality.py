@@ -141,18 +141,21 @@ def fit(ptr: np.ndarray, dim: np.ndarray, value: np.ndarray, grade: np.ndarray,
         g[size + 1 :] = gaps * np.cumsum(by_cut[1:GRADES][::-1])[::-1][1:]
         return -np.log(p).sum() + penalty / 2 * float(w @ w), g
 
+    def dot(a: np.ndarray, b: np.ndarray) -> float:  # plain sums: threaded products of short vectors are slower on busy cores
+        return float((a * b).sum())
+
     held: list[tuple[np.ndarray, np.ndarray]] = []
     f, g = loss(x)
     for _ in range(rounds):
         q, alphas = g.copy(), []
         for s, y in reversed(held):
-            a = float(s @ q) / float(s @ y)
+            a = dot(s, q) / dot(s, y)
             alphas.append(a)
             q -= a * y
-        q *= float(held[-1][0] @ held[-1][1]) / float(held[-1][1] @ held[-1][1]) if held else 1 / max(1.0, float(np.linalg.norm(g)))
+        q *= dot(held[-1][0], held[-1][1]) / dot(held[-1][1], held[-1][1]) if held else 1 / max(1.0, float(np.linalg.norm(g)))
         for (s, y), a in zip(held, reversed(alphas), strict=True):
-            q += (a - float(y @ q) / float(s @ y)) * s
-        slope, rate = float(g @ q), 1.0
+            q += (a - dot(y, q) / dot(s, y)) * s
+        slope, rate = dot(g, q), 1.0
         while True:
             new = x - rate * q
             f2, g2 = loss(new)
@@ -160,7 +163,7 @@ def fit(ptr: np.ndarray, dim: np.ndarray, value: np.ndarray, grade: np.ndarray,
                 break
             rate /= 2
         s, y = new - x, g2 - g
-        if float(s @ y) > 1e-12:
+        if dot(s, y) > 1e-12:
             held = [*held, (s, y)][-8:]
         done = f - f2 < 1e-4 * max(1.0, abs(f))
         x, f, g = new, f2, g2

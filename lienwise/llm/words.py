@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -45,7 +45,7 @@ class _Polynomial:
 
     def slices(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if len(self.up) <= len(data):
-            n = 2 * len(data) + 1
+            n = len(data) + len(data) // 4 + 1
             step = np.full(n, self.base)
             step[0] = 1
             self.up = np.cumprod(step)

@@ -112,7 +112,7 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - z[:, None], -60, 60)))
 
 
-def fit(ptr: np.ndarray, dim: np.ndarray, value: np.ndarray, grade: np.ndarray, penalty: float = 0.01, rounds: int = 60) -> Ordinal:
+def fit(ptr: np.ndarray, dim: np.ndarray, value: np.ndarray, grade: np.ndarray, penalty: float = 0.02, rounds: int = 80) -> Ordinal:
     """Penalised maximum likelihood by limited-memory BFGS."""
     if len(np.unique(grade)) < 2:
         return Ordinal(np.zeros(DIMENSIONS), np.zeros(0))
@@ -165,7 +165,7 @@ def fit(ptr: np.ndarray, dim: np.ndarray, value: np.ndarray, grade: np.ndarray,
         s, y = new - x, g2 - g
         if dot(s, y) > 1e-12:
             held = [*held, (s, y)][-8:]
-        done = f - f2 < 1e-4 * max(1.0, abs(f))
+        done = f - f2 < 1e-5 * max(1.0, abs(f))
         x, f, g = new, f2, g2
         if done:
             break
@@ -180,7 +180,7 @@ def grades(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null and toxic is not null").select("doc_id", F.when(F.col("toxic") != 0, 0).when(F.col("quality") == 0, 1).otherwise(2).alias("grade"))
 
 
-def train(docs: DataFrame, rated: DataFrame, sample: int = SAMPLE, penalty: float = 0.01, text_col: str = "text") -> Ordinal:
+def train(docs: DataFrame, rated: DataFrame, sample: int = SAMPLE, penalty: float = 0.02, text_col: str = "text") -> Ordinal:
     """A model from the rated documents (doc_id, grade 0 to 2), at most
     ``sample`` of them; what reaches the driver is their sparse features."""
     some = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)

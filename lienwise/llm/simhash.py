@@ -24,7 +24,9 @@ from . import words as W
 from .components import components
 from .storage import by_id, written
 
-HOT = 4096
+HOT = 1024
+#: Two nodes with so few pairs of fingerprints are leaves: their pairs are compared at once.
+LEAF = 1024
 SKETCH = ("s0", "s1", "s2", "s3")
 FRONTIER = 1 << 18
 
@@ -94,7 +96,7 @@ def trie_links(fp: np.ndarray, bucket: np.ndarray, budget: int) -> Iterator[tupl
                 stack.append((bit, alo[part], ahi[part], blo[part], bhi[part], err[part]))
             continue
         sizes = (ahi - alo) * (bhi - blo)
-        small = (sizes <= 16) if bit >= 0 else np.ones(len(sizes), bool)
+        small = (sizes <= LEAF) if bit >= 0 else np.ones(len(sizes), bool)
         if small.any():
             for part in np.array_split(np.flatnonzero(small), max(1, int(sizes[small].sum()) // (4 * FRONTIER))):
                 size, width = sizes[part], (bhi - blo)[part]
@@ -263,7 +265,7 @@ def _sketches(docs: DataFrame, k: int, tables: int) -> DataFrame:
     return docs.mapInArrow(run, f"i {kind}, fps array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
-def similar_documents(docs: DataFrame, k: int = 5, tables: int = 5, budget: int = 4, limit: int = 44, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, k: int = 5, tables: int = 5, budget: int = 4, limit: int = 46, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, component_id)``: groups of documents whose ``k``-word shingles
     are similar, 0.8 or more in Jaccard's measure.
 

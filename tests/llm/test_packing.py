@@ -25,6 +25,20 @@ def test_ids_are_those_of_the_json_form(text):
     assert packing.encoding(packing.default_vocabulary()).encode_to_numpy(text, disallowed_special=()).tolist() == json_ids(text)
 
 
+def default_ids(text):
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+
+
+MARKED = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", " <|endoftext|>\n\n z", "<|endoftext|", "it's<|ENDOFTEXT|> <|endoftext|>'s"]
+
+
+@pytest.mark.parametrize("text", [*ODD, *MARKED])
+def test_special_token_in_a_text_is_one_id(spark, text):
+    ids = np.array([*default_ids(text), 0], "<u4")
+    (row,) = packing.token_pieces(spark.createDataFrame([(1, text)], "doc_id long, text string"), width=1 << 20).collect()
+    assert (row["length"], row["doc_tokens"], row["ids_crc32"]) == (len(ids), len(ids), zlib.crc32(ids.tobytes()))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=80))
 def test_ids_agree_on_any_text(text):

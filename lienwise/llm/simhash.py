@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .storage import by_id, written
+from .storage import beside, by_id, written
 
 HOT = 1024
 #: Two nodes with so few pairs of fingerprints are leaves: their pairs are compared at once.
 LEAF = 1024
 SKETCH = ("s0", "s1", "s2", "s3")
+#: Sets of similarity 0.8 agree in one of so many bands of so many minima but once in 2800.
+BANDS, BAND_ROWS = 20, 5
 FRONTIER = 1 << 18
 
 
@@ -78,6 +80,20 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = jumped
 
 
+def _blocks(alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(first start, pairs, second width, second start) of the pairs of ranges,
+    in blocks of a bounded number of pairs; a large pair is cut over several."""
+    width = bhi - blo
+    step = np.maximum(1, 4 * FRONTIER // width)
+    times = -(-(ahi - alo) // step)
+    of = np.repeat(np.arange(len(alo)), times)
+    lo = alo[of] + (np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)) * step[of]
+    size = (np.minimum(lo + step[of], ahi[of]) - lo) * width[of]
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // (4 * FRONTIER))) + 1
+    for part in np.split(np.arange(len(of)), cuts):
+        yield lo[part], size[part], width[of[part]], blo[of[part]]
+
+
 def trie_links(fp: np.ndarray, bucket: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of ``fp`` (unsigned, sorted in each bucket; buckets are
     contiguous) at ``budget`` or fewer differing bits, bucket by bucket."""
@@ -98,11 +114,10 @@ def trie_links(fp: np.ndarray, bucket: np.ndarray, budget: int) -> Iterator[tupl
         sizes = (ahi - alo) * (bhi - blo)
         small = (sizes <= LEAF) if bit >= 0 else np.ones(len(sizes), bool)
         if small.any():
-            for part in np.array_split(np.flatnonzero(small), max(1, int(sizes[small].sum()) // (4 * FRONTIER))):
-                size, width = sizes[part], (bhi - blo)[part]
+            for clo, size, width, dlo in _blocks(alo[small], ahi[small], blo[small], bhi[small]):
                 at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 wide = np.repeat(width, size)
-                i, j = np.repeat(alo[part], size) + at // wide, np.repeat(blo[part], size) + at % wide
+                i, j = np.repeat(clo, size) + at // wide, np.repeat(dlo, size) + at % wide
                 keep = i < j
                 i, j = i[keep], j[keep]
                 near = np.bitwise_count(fp[i] ^ fp[j]) <= budget
@@ -127,21 +142,22 @@ def trie_links(fp: np.ndarray, bucket: np.ndarray, budget: int) -> Iterator[tupl
                 stack.append((bit - 1, x[keep], y[keep], u[keep], v[keep], e[keep]))
 
 
-def _forest(rows: pa.Table, budget: int, limit: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes and roots of the links among the rows of some sub-tries."""
-    columns = {c: rows[c].to_numpy() for c in ("table", "mask", "part", "node")}
+def _sorted(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of rows for ``trie_links``, their fingerprints and buckets."""
+    columns = {c: rows[c].to_numpy() for c in ("table", "mask", "part")}
     fp = rows["fp"].to_numpy().view(np.uint64)
     order = np.lexsort((fp, columns["part"], columns["mask"], columns["table"]))
-    fp = fp[order]
     key = np.stack([columns[c][order] for c in ("table", "mask", "part")])
     bucket = np.cumsum(np.concatenate([[False], (key[:, 1:] != key[:, :-1]).any(0)])) if len(fp) else np.zeros(0, np.int64)
-    unique, own = np.unique(columns["node"][order], return_inverse=True)
-    sketch = None if limit is None else np.stack([rows[c].to_numpy().view(np.uint64)[order] for c in SKETCH])
+    return order, fp[order], bucket
+
+
+def _forest(rows: pa.Table, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and roots of the links among the rows of some sub-tries."""
+    order, fp, bucket = _sorted(rows)
+    unique, own = np.unique(rows["node"].to_numpy()[order], return_inverse=True)
     label, waiting, held = np.arange(len(unique)), [], 0
     for i, j in trie_links(fp, bucket, budget):
-        if sketch is not None:
-            near = np.bitwise_count(sketch[:, i] ^ sketch[:, j]).astype(np.int64).sum(0) <= limit
-            i, j = i[near], j[near]
         waiting.append((own[i], own[j]))
         held += len(i)
         if held > 4 * FRONTIER:
@@ -151,6 +167,56 @@ def _forest(rows: pa.Table, budget: int, limit: int | None) -> tuple[np.ndarray,
     return unique[linked], unique[label[linked]]
 
 
+def _lightest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The edges of a spanning forest of least weight, by Boruvka's rounds."""
+    label, chosen, ids = np.arange(n), [], np.argsort(weight, kind="stable")
+    while True:
+        la, lb = label[a[ids]], label[b[ids]]
+        differ = la != lb
+        ids, la, lb = ids[differ], la[differ], lb[differ]
+        if not len(ids):
+            return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+        best = np.full(n, len(ids))
+        np.minimum.at(best, la, np.arange(len(ids)))
+        np.minimum.at(best, lb, np.arange(len(ids)))
+        pick = np.unique(best[best < len(ids)])
+        chosen.append(ids[pick])
+        label = _joined(label, [(a[ids[pick]], b[ids[pick]])])
+
+
+def _candidates(rows: pa.Table, budget: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of some sub-tries, both within the budget and with
+    sketches that differ in ``limit`` or fewer bits: those between different
+    groups if rows have a group, else a spanning forest, nearest sketches first."""
+    order, fp, bucket = _sorted(rows)
+    unique, own = np.unique(rows["node"].to_numpy()[order], return_inverse=True)
+    sketch = np.stack([rows[c].to_numpy().view(np.uint64)[order] for c in SKETCH])
+    group = rows["group"].to_numpy()[order] if "group" in rows.column_names else None
+    kept, waiting, held = [np.zeros(0, np.int64)] * 3, [], 0
+    for i, j in trie_links(fp, bucket, budget):
+        away = np.bitwise_count(sketch[:, i] ^ sketch[:, j]).astype(np.int64).sum(0)
+        near = (away <= limit) & (own[i] != own[j])
+        if group is not None:
+            near &= group[i] != group[j]
+        i, j, away = own[i[near]], own[j[near]], away[near]
+        if group is not None:
+            yield unique[np.minimum(i, j)], unique[np.maximum(i, j)]
+            continue
+        waiting.append((i, j, away))
+        held += len(i)
+        if held > 4 * FRONTIER:
+            kept, waiting, held = _kept(len(unique), kept, waiting), [], 0
+    if group is None:
+        i, j, _ = _kept(len(unique), kept, waiting)
+        yield unique[np.minimum(i, j)], unique[np.maximum(i, j)]
+
+
+def _kept(n: int, kept: list, waiting: list) -> list:
+    a, b, away = (np.concatenate(x) for x in zip(kept, *waiting, strict=True))
+    few = _lightest(n, a, b, away)
+    return [a[few], b[few], away[few]]
+
+
 def _joined(label: np.ndarray, links: list) -> np.ndarray:
     if not links:
         return label
@@ -201,15 +267,14 @@ def sub_tries(rows: DataFrame, budget: int, hot: int = HOT) -> DataFrame:
     return now if done is None else done.unionByName(now)
 
 
-def fingerprint_links(rows: DataFrame, budget: int = 3, hot: int = HOT, limit: int | None = None) -> DataFrame:
+def fingerprint_links(rows: DataFrame, budget: int = 3, hot: int = HOT) -> DataFrame:
     """``(a, b)``: links of nodes whose closure joins what chains of
-    fingerprints of one table at ``budget`` or fewer differing bits join; with
-    a ``limit``, only pairs count whose sketches differ in no more bits."""
+    fingerprints of one table at ``budget`` or fewer differing bits join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if held:
-            a, b = _forest(pa.Table.from_batches(held), budget, limit)
+            a, b = _forest(pa.Table.from_batches(held), budget)
             yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
     if not 0 <= budget < 64:
@@ -240,9 +305,45 @@ def near_duplicates(docs: DataFrame, k: int = 3, budget: int = 3, seed: int = 42
     return neardup_components(xxh64_fingerprints(docs, k, seed, id_col, text_col), budget, id_col)
 
 
+def _distinct(h: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's different hashes and their pointers."""
+    owner = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    first = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.zeros(0, bool)
+    return h[first], np.searchsorted(owner[first], np.arange(len(ptr)))
+
+
+def _set_digest(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each text's set of hashes; 0 for an empty set."""
+    out, has = np.zeros(len(ptr) - 1, np.uint64), np.flatnonzero(np.diff(ptr))
+    if len(has):
+        out[has] = W.mix(np.add.reduceat(W.mix(h), ptr[:-1][has]) + np.diff(ptr)[has].astype(np.uint64))
+    return out
+
+
+def _bands(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """``BANDS`` hashes of each text, each of ``BAND_ROWS`` minima of its set."""
+    out, has = np.zeros((len(ptr) - 1, BANDS), np.uint64), np.flatnonzero(np.diff(ptr))
+    if len(has):
+        start, odd = ptr[:-1][has], np.random.default_rng(7).integers(0, 2**63, (BANDS, BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for c in range(BANDS):
+            key = np.zeros(len(has), np.uint64)
+            for m in odd[c]:
+                key = W.mix(key + np.minimum.reduceat(h * m, start))
+            out[has, c] = key
+    return out
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(values.ravel().view(np.int64)))
+
+
 def _sketches(docs: DataFrame, k: int, tables: int) -> DataFrame:
-    """(i, fps, s0 to s3): ``tables`` fingerprints of the distinct words, and 256
-    bits of the ``k``-word shingles, each under hashes of its own."""
+    """(i, node, fps, bands, s0 to s3): a hash of the set of ``k``-word shingles,
+    ``tables`` fingerprints of the distinct words, bands of minima of the
+    shingles, and 256 bits of the distinct shingles, each under hashes of its own."""
 
     def salted(h: np.ndarray, n: int) -> np.ndarray:
         return W.mix(h[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -250,38 +351,87 @@ def _sketches(docs: DataFrame, k: int, tables: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.pieces(batches, "t", W.CHUNK_BYTES // 2):
             words = W.split_words(b.column("t"))
-            h, owner = words.hashes(), words.owner()
-            order = np.lexsort((h, owner))
-            first = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])]) if len(h) else np.zeros(0, bool)
-            distinct = np.sort(order[first])
-            ptr = np.searchsorted(owner[distinct], np.arange(b.num_rows + 1))
-            fps = W.majority(salted(h[distinct], tables), ptr)
-            runs, at = W.shingles(h, words.ptr, k)
+            h = words.hashes()
+            distinct, ptr = _distinct(h, words.ptr)
+            fps = W.majority(salted(distinct, tables), ptr)
+            runs, at = _distinct(*W.shingles(h, words.ptr, k))
             sketch = W.majority(salted(runs, len(SKETCH)), at)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * tables, pa.int32()), pa.array(fps.ravel().view(np.int64)))
-            yield pa.record_batch([b.column("i"), lists, *(pa.array(np.ascontiguousarray(sketch[:, c]).view(np.int64)) for c in range(len(SKETCH)))], ["i", "fps", *SKETCH])
+            yield pa.record_batch([b.column("i"), pa.array(_set_digest(runs, at).view(np.int64)), _lists(fps), _lists(_bands(runs, at)), *(pa.array(np.ascontiguousarray(sketch[:, c]).view(np.int64)) for c in range(len(SKETCH)))], ["i", "node", "fps", "bands", *SKETCH])
 
     kind = docs.schema["i"].dataType.simpleString()
-    return docs.mapInArrow(run, f"i {kind}, fps array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
+    return docs.mapInArrow(run, f"i {kind}, node long, fps array<long>, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
+
 
+def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """(node, set): the distinct ``k``-word shingles of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in W.pieces(batches, "t", W.CHUNK_BYTES // 2):
+            words = W.split_words(b.column("t"))
+            runs, at = _distinct(*W.shingles(words.hashes(), words.ptr, k))
+            yield pa.record_batch([pa.array(_set_digest(runs, at).view(np.int64)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(runs.view(np.int64)))], ["node", "set"])
+
+    return docs.mapInArrow(run, "node long, set array<long>")
 
-def similar_documents(docs: DataFrame, k: int = 5, tables: int = 5, budget: int = 4, limit: int = 46, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, component_id)``: groups of documents whose ``k``-word shingles
-    are similar, 0.8 or more in Jaccard's measure.
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """``pairs`` (a, b) with whether their shingle sets are ``similarity`` or
+    more alike in Jaccard's measure."""
+    ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+    some = nodes.join(beside(ends), "node", "left_semi").select(F.col("low").alias("i"))
+    sets = written(_shingle_sets(by_id(texts, some, "i", "left_semi"), k), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    sure = common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - 1e-9
+    return written(both.select("a", "b", sure.alias("same")).distinct(), "verified")
+
+
+def similar_documents(docs: DataFrame, k: int = 5, tables: int = 5, budget: int = 4, limit: int = 72, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """``(id_col, component_id)``: groups of documents that chains of pairs join
+    whose sets of ``k``-word shingles are ``similarity`` or more alike in
+    Jaccard's measure; every such link is checked over the sets themselves.
 
     Candidates differ in ``budget`` or fewer bits in one of ``tables``
-    fingerprints of the distinct words, which a changed word moves less than it
-    moves shingles; the trie join finds all of them. A pair links if its 256-bit
-    shingle SimHashes differ in ``limit`` bits or fewer; a similarity of 0.8
-    gives 39 on average. Texts without words are copies of each other. Rows
-    without an id are left out; the smallest id names a group."""
+    fingerprints of the distinct words, found by the trie join, or agree in one
+    band of minima of their shingles; their 256-bit shingle SimHashes differ in
+    ``limit`` bits or fewer (a similarity of 0.8 gives 39 on average). Spanning
+    forests of the candidates are checked first; where one of their links
+    fails, all candidates between the groups so far are checked. Texts without
+    words are copies of each other. Rows without an id are left out; the
+    smallest id names a group."""
+
+    def pairs(nodes: DataFrame, name: str) -> DataFrame:
+        more = [*SKETCH, *(["group"] if "group" in nodes.columns else [])]
+        tries = sub_tries(nodes.select(F.posexplode("fps").alias("table", "fp"), "node", *more), budget, hot)
+        bands = nodes.select((F.posexplode("bands")).alias("table", "fp"), "node", *more)
+        bands = bands.select((F.col("table") + tables).alias("table"), "fp", "node", *more, F.lit(-1).cast("long").alias("mask"), F.col("fp").alias("part"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = list(batches)
+            if held:
+                for a, b in _candidates(pa.Table.from_batches(held), budget, limit):
+                    yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+        rows = tries.unionByName(bands).repartition("table", "mask", "part")
+        return written(rows.mapInArrow(run, "a long, b long").distinct(), name)
+
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     own = written(_sketches(texts, k, tables), "sketches")
-    nodes = written(own.groupBy("fps", *SKETCH).agg(F.min("i").cast("long").alias("node")), "nodes")
-    rows = nodes.select(F.posexplode("fps").alias("table", "fp"), "node", *SKETCH)
-    roots = written(components(written(fingerprint_links(rows, budget, hot, limit), "links")), "roots")
-    named = nodes.join(roots, "node", "left").select("fps", *SKETCH, F.coalesce("root", "node").alias("component_id"))
-    return own.join(named, ["fps", *SKETCH]).select(F.col("i").alias(id_col), "component_id")
+    nodes = written(own.groupBy("node").agg(F.min("i").alias("low"), *(F.first(c).alias(c) for c in ("fps", "bands", *SKETCH))), "nodes")
+    first = _verified(pairs(nodes, "forest"), nodes, texts, k, similarity)
+    links = first.where("same").select("a", "b")
+    failed = first.where("not same").select("a", "b")
+    if failed.head(1):
+        roots = written(components(first.select("a", "b")), "candidate-roots")
+        open_roots = failed.join(roots, F.col("a") == F.col("node")).select("root").distinct()
+        sure = components(links).select("node", F.col("root").alias("group"))
+        open_nodes = written(roots.join(open_roots, "root", "left_semi").join(sure, "node", "left").select("node", F.coalesce("group", "node").alias("group")), "open")
+        rest = pairs(written(nodes.join(beside(open_nodes), "node"), "open-nodes"), "crossing").join(failed, ["a", "b"], "left_anti")
+        links = links.unionByName(_verified(written(rest, "rest"), nodes, texts, k, similarity).where("same").select("a", "b"))
+    roots = written(components(written(links, "links")), "roots")
+    placed = written(nodes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "placed")
+    lows = placed.groupBy("root").agg(F.min("low").cast("long").alias("component_id"))
+    return own.select("i", "node").join(placed.join(lows, "root").select("node", "component_id"), "node").select(F.col("i").alias(id_col), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

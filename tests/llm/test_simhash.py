@@ -93,3 +93,35 @@ def test_one_of_each_keeps_clean_documents(odd_docs):
     assert kept.columns == odd_docs.columns
     ids = sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x))
     assert ids == [1, 4, 7, 8, 9, 10, 11, None]
+
+
+def shingle_set(text, k=5):
+    w = (text or "").lower().split()
+    return {tuple(w[a : a + k]) for a in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_groups_are_those_of_exact_shingle_similarity(spark):
+    rng, docs = np.random.default_rng(8), []
+    for g in range(60):  # one run of words replaced, so that similarity lies around 0.8
+        words = [f"w{x}" for x in rng.integers(0, 4000, 150)]
+        docs.append(" ".join(words))
+        for n in (8, 11, 13, 16, 20, 26):
+            at = int(rng.integers(0, 150 - n))
+            docs.append(" ".join(words[:at] + [f"v{x}" for x in rng.integers(0, 4000, n)] + words[at + n :]))
+        docs.append(" ".join(words[:40] + "so it goes on and on ".split() * (20 + g)))
+        docs.append(" ".join(words[75:115] + "so it goes on and on ".split() * (20 + g)))
+    sets = [shingle_set(x) for x in docs]
+    root = list(range(len(docs)))
+    for j in range(len(docs)):
+        for i in range(j - j % 9, j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    got = simhash.similar_documents(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(root))
+
+
+def test_equal_fingerprints_are_walked_in_blocks(monkeypatch):
+    monkeypatch.setattr(simhash, "FRONTIER", 64)
+    blocks = [len(i) for i, _ in simhash.trie_links(np.zeros(1000, np.uint64), np.zeros(1000, int), 3)]
+    assert sum(blocks) == 1000 * 999 // 2 and max(blocks) <= 1000

@@ -63,19 +63,26 @@ def shared_attributes(edge: DataFrame) -> DataFrame:
 
 
 def components(edge: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, component, size): the smallest node that is reachable. Labels
-    fall along edges and jump along themselves, so rounds grow slowly."""
+    """(node, component, size): the smallest node that is reachable. Each round
+    hooks the label of a node, not only the node, under the smallest label
+    beside it, and labels jump along themselves, so rounds grow slowly. It is
+    an error if labels have not settled after ``max_rounds``."""
     near = _settled(neighbours(edge))
     label = _settled(near.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")))
     for _ in range(max_rounds):
         other = label.select(F.col("node").alias("other"), F.col("label").alias("l"))
         low = near.join(other, "other").groupBy("node").agg(F.min("l").alias("m"))
+        seen = label.join(low, "node")
+        hooks = seen.where("m < label").groupBy(F.col("label").alias("node")).agg(F.min("m").alias("hook"))
         hop = label.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = label.join(low, "node", "left").join(hop, "label", "left").select("node", F.least("label", F.coalesce("m", "label"), F.coalesce("up", "label")).alias("next"), F.col("label").alias("was"))
+        new = seen.join(hop, "label", "left").join(hooks, "node", "left")
+        new = new.select("node", F.least("label", "m", F.coalesce("up", "label"), F.coalesce("hook", "label")).alias("next"), F.col("label").alias("was"))
         new = _settled(new)
         label = new.select("node", F.col("next").alias("label"))
         if not new.where("next <> was").head(1):
             break
+    else:
+        raise RuntimeError("components did not settle")
     sizes = label.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     return label.join(sizes, "label").select("node", F.col("label").alias("component"), "size")
 

@@ -280,3 +280,11 @@ def test_connectors(spark, tmp_path):
     assert (good.count(), bad.count()) == (1, 3)
     raw = spark.createDataFrame([('{"k": 5}',), ("broken",), (None,)], "payload string")
     assert [r[0] for r in L.decode(raw, "k long").select("payload.k").collect()] == [5]
+
+
+def test_components_of_a_long_falling_path(spark):
+    at = ["token:000", *(f"token:{i:03d}" for i in range(120, 0, -1))]
+    path = spark.createDataFrame([(min(x), max(x), 0) for x in zip(at, at[1:])], "a string, b string, ts long")
+    assert {(r["component"], r["size"]) for r in graph.components(path).collect()} == {("token:000", 121)}
+    with pytest.raises(RuntimeError):
+        graph.components(path, max_rounds=2)

@@ -34,6 +34,12 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def default_json() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 _ENCODINGS: dict = {}
 
 
@@ -51,18 +57,32 @@ def encoding(path: str):
     return _ENCODINGS[path]
 
 
-def token_pieces(docs: DataFrame, width: int = 1024, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_ids(text: str, ranks: str, json: str) -> np.ndarray:
+    """The ids of a text. The fast library's pattern gives up on white space of
+    about a million characters in a row; such a text goes to the JSON form."""
+    try:
+        return encoding(ranks).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        if json not in _ENCODINGS:
+            from tokenizers import Tokenizer
+
+            _ENCODINGS[json] = Tokenizer.from_file(json)
+        return np.array(_ENCODINGS[json].encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+def token_pieces(docs: DataFrame, width: int = 1024, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary_json: str | None = None) -> DataFrame:
     """``(id_col, start, length, ids_crc32, doc_tokens)``: each document's ids
     and a closing id 0, cut every ``width`` ids. Null texts are empty: one piece
-    of one id. The vocabulary file has to be readable on every executor."""
-    path = vocabulary or default_vocabulary()
+    of one id; texts of any length and any run of one character are encoded
+    whole. The two forms of the vocabulary (ranks and JSON) have to be readable
+    on every executor."""
+    path, json = vocabulary or default_vocabulary(), vocabulary_json or default_json()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
         for b in W.pieces(batches, "t"):
             row, start, length, crc, total = [], [], [], [], []
             for i, text in enumerate(b.column("t").to_pylist()):
-                ids = np.append(enc.encode_to_numpy(text or "", allowed_special="all"), np.uint32(END_ID)).astype("<u4")
+                ids = np.append(token_ids(text or "", path, json), np.uint32(END_ID)).astype("<u4")
                 raw = memoryview(ids).cast("B")
                 for a in range(0, len(ids), width):
                     z = min(a + width, len(ids))

@@ -39,6 +39,51 @@ def test_special_token_in_a_text_is_one_id(spark, text):
     assert (row["length"], row["doc_tokens"], row["ids_crc32"]) == (len(ids), len(ids), zlib.crc32(ids.tobytes()))
 
 
+LONG = [" " * 2_000_000, "x" + "\n" * 1_200_000 + " y", "a" * 1_000_000, "ab \t\n" * 100_000]
+
+
+@pytest.mark.parametrize("text", LONG)
+def test_ids_of_very_long_runs(text):
+    assert packing.token_ids(text, packing.default_vocabulary(), packing.default_json()).tolist() == default_ids(text)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(list(" \t\n\r\xa0aZ1é!'漢") + ["<|endoftext|>", "'s"]), st.integers(1, 400)), max_size=5))
+def test_ids_agree_on_long_runs(runs):
+    text = "".join(c * n for c, n in runs)
+    assert packing.token_ids(text, packing.default_vocabulary(), packing.default_json()).tolist() == default_ids(text)
+
+
+def test_contract_of_the_query(odd_docs):
+    width = 64
+    rows = packing.pack(packing.token_pieces(odd_docs, width), width).collect()
+    ids = defaultdict(list)
+    for r in odd_docs.collect():
+        ids[r["doc_id"]].append(np.array([*default_ids(r["text"] or ""), 0], "<u4"))
+    for r in rows:  # every column against the ids of its own document
+        own = [x for x in ids[r["doc_id"]] if len(x) == r["doc_tokens"]]
+        assert own and r["ids_crc32"] in {zlib.crc32(x[r["start"] : r["start"] + r["length"]].tobytes()) for x in own}
+    pieces, windows = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"], r["doc_tokens"]].append((r["start"], r["length"]))
+        windows[r["sequence_id"]].append((r["offset"], r["length"]))
+    for (doc, tokens), parts in pieces.items():
+        copies = sum(len(x) == tokens for x in ids[doc])
+        cover = np.zeros(tokens, int)
+        for start, length in parts:
+            cover[start : start + length] += 1
+        assert (cover == copies).all()
+    assert sorted(windows) == list(range(len(windows)))
+    for parts in windows.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= width
+    padding = sum(width - sum(n for _, n in p) for p in windows.values())
+    assert padding < 0.02 * width * len(windows) + width
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=80))
 def test_ids_agree_on_any_text(text):

@@ -88,7 +88,8 @@ _ROLE = "replace(replace(" + _ESCAPED.format("role") + ", '%', '%25'), chr(10),
 ORACLES: dict[str, str] = {
     "op3_branch_and_bound": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS c FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.c, v.c) AS BIGINT) AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+q AS (SELECT vec_id, min(c) AS c FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.c, v.c) AS BIGINT) AS score FROM q JOIN v ON v.vec_id <> q.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
     "op5_recompression": f"""

@@ -1,11 +1,13 @@
 """Exact top-k inner products by columnar branch and bound.
 
-Vectors lie dimension by dimension (vertically). Against a block of queries the
-scores grow by a block of dimensions at a time; what the remaining dimensions
-can still add is at most the product of the remaining masses (Cauchy-Schwarz).
-A candidate whose bound falls below the query's k-th best so far is dropped, and
-the survivors are compacted before the next dimensions. All components are
-integers, so scores are exact.
+Vectors lie dimension by dimension (vertically). For one query the dimensions
+are taken in the order of its own mass, a block at a time, over all candidates
+at once. What the dimensions to come can still add is at most the product of
+the remaining masses of query and candidate (Cauchy-Schwarz); a candidate whose
+bound falls below the query's k-th best so far is dropped and the survivors are
+compacted before the next block. The k-th best starts from a first small block
+of candidates that is scored whole. All components are integers, so scores are
+exact.
 
 Queries are broadcast in parts of at most ``QUERIES`` rows; every task keeps k
 rows a query, and a ranking merges the tasks.
@@ -21,8 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERIES = 1 << 16
-DIMS, ROWS, BLOCK = 16, 4096, 256
-DENSE = 0.25
+#: Dimensions after which the bound is looked at again: many at first, when it can't prune yet.
+FIRST, DIMS = 32, 8
+SEED, ROWS = 256, 4096
 _LOW = np.iinfo(np.int64).min
 
 
@@ -48,84 +51,79 @@ def columns_of(lists: pa.Array, width: int | None = None) -> np.ndarray:
 
 
 class Search:
-    """The k best candidates so far of a block of queries."""
+    """The k best candidates so far of some queries. ``work`` counts the
+    products that were taken, ``whole`` those of a search without a bound."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
-        self.k, self.ids = k, ids
-        self.order = np.argsort(-(vectors**2).sum(1), kind="stable")  # dimensions of most mass first
-        self.q = vectors[self.order]
+        self.k, self.ids, self.q = k, ids, vectors
+        self.order = np.argsort(-np.abs(vectors), axis=0, kind="stable")
+        self.mass = np.take_along_axis(vectors, self.order, 0) ** 2
+        self.left = np.sqrt(np.maximum(self.mass.sum(0) - np.cumsum(self.mass, axis=0), 0))
         self.peak = float(np.abs(vectors).max(initial=0))
         self.best = np.full((len(ids), k), _LOW, np.int64)
         self.who = np.full((len(ids), k), np.iinfo(np.int64).max, np.int64)
+        self.work = self.whole = 0
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        if vectors.shape[0] < len(self.order):
-            vectors = np.vstack([vectors, np.zeros((len(self.order) - vectors.shape[0], vectors.shape[1]))])
-        vectors = vectors[self.order]  # dimensions beyond every query's add nothing
+        dims = self.q.shape[0]
+        if vectors.shape[0] < dims:
+            vectors = np.vstack([vectors, np.zeros((dims - vectors.shape[0], vectors.shape[1]))])
+        vectors = vectors[:dims]  # dimensions beyond every query's add nothing
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[:, order]
-        top = len(self.order) * self.peak * float(np.abs(vectors).max(initial=0))
-        for a in range(0, len(ids), ROWS):
-            for b in range(0, len(self.ids), BLOCK):
-                self._block(slice(b, b + BLOCK), ids[a : a + ROWS], vectors[:, a : a + ROWS], top)
-
-    def _block(self, part: slice, ids: np.ndarray, v: np.ndarray, top: float) -> None:
-        q, mine = self.q[:, part], self.ids[part]
+        top = dims * self.peak * float(np.abs(vectors).max(initial=0))
+        at = 0
+        while at < len(ids):
+            end = at + (SEED if (self.best[:, -1] == _LOW).any() else ROWS)
+            self._rows(ids[at:end], vectors[:, at:end], top)
+            at = end
+
+    def _rows(self, ids: np.ndarray, v: np.ndarray, top: float) -> None:
+        self.whole += v.size * len(self.ids)
         if top >= 2**53:  # beyond exact floating point
-            whole = q.T.astype(int).astype(object) @ v.astype(int).astype(object) if len(q) else np.zeros((len(mine), len(ids)), object)
-            score = np.clip(whole, _LOW + 1, np.iinfo(np.int64).max).astype(np.int64)
-            self._keep(part, *np.nonzero(np.ones_like(score, bool)), score.ravel(), ids)
+            big = v.astype(int).astype(object)
+            for n in range(len(self.ids)):
+                score = self.q[:, n].astype(int).astype(object) @ big if len(big) else np.zeros(len(ids), object)
+                self._keep(n, np.clip(score, _LOW + 1, np.iinfo(np.int64).max).astype(np.int64), ids)
             return
         kind = np.float32 if top < 2**24 else np.float64
-        q, v = q.astype(kind), v.astype(kind)
-        floor = self.best[part, -1]
-        bound = np.maximum(floor, -(2**62)).astype(np.float64)
-        acc = np.zeros((len(mine), len(ids)), kind)
-        d = 0
-        while d < len(q):
-            acc += q[d : d + DIMS].T @ v[d : d + DIMS]
-            d += DIMS
-            if d >= len(q) or not (floor > _LOW).any():
-                continue
-            rest = np.sqrt((q[d:].astype(np.float64) ** 2).sum(0))[:, None] * np.sqrt((v[d:].astype(np.float64) ** 2).sum(0))
-            alive = acc + rest * (1 + 1e-6) + 1 >= bound[:, None]
-            if alive.mean() <= DENSE:
-                i, j = np.nonzero(alive)
-                score = acc[i, j].astype(np.float64)
-                while d < len(q) and len(i):  # survivors only, in compact form
-                    score += (q[d : d + DIMS, i].astype(np.float64) * v[d : d + DIMS, j]).sum(0)
-                    d += DIMS
-                    if d < len(q):
-                        keep = score + rest_of(q, i, d) * rest_of(v, j, d) * (1 + 1e-6) + 1 >= bound[i]
-                        i, j, score = i[keep], j[keep], score[keep]
-                self._keep(part, i, j, score.astype(np.int64), ids)
+        v = np.ascontiguousarray(v, kind)
+        square = v * v
+        total = square.sum(0, dtype=np.float64)
+        for n in range(len(self.ids)):
+            self._one(n, ids, v, square, total, kind)
+
+    def _one(self, n: int, ids: np.ndarray, v: np.ndarray, square: np.ndarray, total: np.ndarray, kind: type) -> None:
+        order, floor, dims = self.order[:, n], self.best[n, -1], len(self.q)
+        q = self.q[order, n].astype(kind)
+        d = min(FIRST if floor > _LOW else dims, dims)
+        score = q[:d] @ v[order[:d]]
+        seen = square[order[:d]].sum(0) if d < dims else None
+        self.work += d * len(ids)
+        at, bound = None, float(floor)
+        while d < dims:
+            rest = total - seen if at is None else total[at] - seen
+            # the margins cover the rounding of masses; scores themselves are exact
+            alive = np.flatnonzero(score + self.left[d - 1, n] * np.sqrt(np.maximum(rest, 0) * (1 + 1e-5)) + 1 >= bound)
+            at = alive if at is None else at[alive]
+            if not len(at):
                 return
-        score = acc.astype(np.int64)
-        if score.shape[1] > self.k and not (floor > _LOW).all():
-            least = -np.partition(-score, self.k, axis=1)[:, self.k]  # one more than k, as the own row may be among them
-            floor = np.maximum(floor, np.minimum(least, np.iinfo(np.int64).max))
-        i, j = np.nonzero(score >= floor[:, None])
-        self._keep(part, i, j, score[i, j], ids)
-
-    def _keep(self, part: slice, i: np.ndarray, j: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        mine, best, who = self.ids[part], self.best[part], self.who[part]
-        better = (score > best[i, -1]) | (score == best[i, -1]) & (ids[j] < who[i, -1])
-        better &= ids[j] != mine[i]
-        i, score, found = i[better], score[better], ids[j[better]]
-        if not len(i):
+            new = order[d : d + DIMS]
+            score = score[alive] + q[d : d + DIMS] @ v[new[:, None], at]
+            d += len(new)
+            self.work += len(new) * len(at)
+            if d < dims:
+                seen = seen[alive] + square[new[:, None], at].sum(0)
+        self._keep(n, score.astype(np.int64), ids if at is None else ids[at])
+
+    def _keep(self, n: int, score: np.ndarray, found: np.ndarray) -> None:
+        better = (score > self.best[n, -1]) | (score == self.best[n, -1]) & (found < self.who[n, -1])
+        better &= found != self.ids[n]
+        if not better.any():
             return
-        rows = np.unique(i)
-        i = np.concatenate([i, np.repeat(rows, self.k)])
-        score, found = np.concatenate([score, best[rows].ravel()]), np.concatenate([found, who[rows].ravel()])
-        order = np.lexsort((found, -score.astype(np.float64) if score.min() > -(2**52) and score.max() < 2**52 else ~score, i))
-        i, score, found = i[order], score[order], found[order]
-        place = np.arange(len(i)) - np.searchsorted(i, i)
-        keep = place < self.k
-        best[i[keep], place[keep]], who[i[keep], place[keep]] = score[keep], found[keep]
-
-
-def rest_of(x: np.ndarray, at: np.ndarray, d: int) -> np.ndarray:
-    return np.sqrt((x[d:].astype(np.float64) ** 2).sum(0))[at]
+        score, found = np.concatenate([self.best[n], score[better]]), np.concatenate([self.who[n], found[better]])
+        order = np.lexsort((found, ~score))[: self.k]
+        self.best[n], self.who[n] = score[order], found[order]
 
 
 def top_k(frame: DataFrame, is_query: Column, k: int = 20, factor: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -135,10 +133,11 @@ def top_k(frame: DataFrame, is_query: Column, k: int = 20, factor: float = 64.0,
 
     Vectors that are null or hold null or non-finite components take no part;
     shorter vectors count as filled up by zeros; queries with fewer candidates
-    have them all; scores beyond the range of a long stop at its ends. Repeated
-    rows of another id are candidates of their own. Extra columns are ignored."""
+    have them all; scores beyond the range of a long stop at its ends. Query
+    rows of one id are one query, that of the least vector. Repeated rows of
+    another id are candidates of their own. Extra columns are ignored."""
     vectors = scaled_vectors(frame, factor, id_col, vector_col)
-    chosen = scaled_vectors(frame.where(is_query), factor, id_col, vector_col).orderBy("id")
+    chosen = scaled_vectors(frame.where(is_query), factor, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")).orderBy("id")
     count, out, after = chosen.count(), None, 0
     while after < count or out is None:
         part = chosen.offset(after).limit(QUERIES).toArrow()

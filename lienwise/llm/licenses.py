@@ -1,137 +1,170 @@
 """License scan by conditional compression.
 
-A block that may hold a notice is compressed alone and, for each template, with
-that template as a raw zstandard dictionary. Templates are ranked by how much
-smaller the dictionary makes the block, and the best ones are confirmed by the
-exact wording: the words that the block lacks and adds against the template.
+A word is a run of letters and digits, so comment marks and line ends don't
+count. What agrees with a template of n words to t has at most (2 - t) / t times
+n words, and at least t / (2 - t) times n of them are words of the template; the
+stretches of a text with so many so close together are the candidate blocks,
+whatever lines or sentences they stand in.
+Each block is compressed alone and with every template as a raw zstandard
+dictionary. Templates that make it smaller are taken in the order of their size
+reductions and confirmed by the exact wording: the window of the block that
+agrees best, with the words that it lacks and adds.
 """
 
 from __future__ import annotations
 
 import difflib
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .license_texts import TEMPLATES
 
-#: Names of licenses and the wording of their usual notices.
-TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "This project is licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
-    ("Proprietary", "All rights reserved."),
-)
-#: Every template holds one of these, so a block without them is no notice.
-MARKERS = re.compile(rb"licen[cs]e|copyright|rights reserved|permission|redistribut|public domain|creative commons|spdx|mozilla|free software")
 LEVEL = 3
-#: Templates with the best size reductions that the wording decides between.
-BEST = 4
-
-
-def normal(block: bytes) -> list[bytes]:
-    """Lower-cased words without the punctuation around them."""
-    return [w for w in (x.strip(b".,;:!?\"'()*#/<>") for x in block.lower().split()) if w]
+_OTHER = np.ones(256, bool)
+_OTHER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 class Scanner:
-    """Compressors for a set of templates (name, wording)."""
-
-    def __init__(self, templates: tuple = TEMPLATES) -> None:
-        self.templates = [(name, normal(text.encode())) for name, text in templates if text.split()]
+    """Templates (name, wording) with their words and compressors."""
+
+    def __init__(self, templates: tuple = TEMPLATES, agree: float = 0.8) -> None:
+        split = W.split_words(pa.array([text for _, text in templates], pa.large_string()), space=_OTHER)
+        hashes, own = split.hashes(), range(len(templates))
+        self.agree, self.names, self.words, self.needs = agree, [], [], []
+        known: dict[int, int] = {}
+        for i in own:
+            a, z = split.ptr[i], split.ptr[i + 1]
+            if z == a:
+                continue
+            for h in hashes[a:z].tolist():
+                known[h] = known.get(h, 0) | 1 << len(self.names)
+            self.names.append(templates[i][0])
+            self.words.append([split.data[x:y].tobytes() for x, y in zip(split.starts[a:z], split.ends[a:z], strict=True)])
+            self.needs.append(int(np.ceil(agree / (2 - agree) * (z - a) - 1e-9)))
+        self.keys = np.array(sorted(known), np.uint64)
+        self.masks = [known[int(k)] for k in self.keys]
+        self.member = np.array([[m >> t & 1 for t in range(len(self.names))] for m in self.masks], bool).reshape(len(self.keys), len(self.names))
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-        self.given = [zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(b" ".join(words), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, words in self.templates]
-        self.longest = max((len(words) for _, words in self.templates), default=0)
+        self.given = [zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(b" ".join(words), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for words in self.words]
+
+    def blocks(self, words: W.Words) -> list[tuple[int, int]]:
+        """Stretches of words, within one text each, that may hold a notice."""
+        if not len(self.keys) or not len(words.starts):
+            return []
+        hashes = words.hashes()
+        place = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        at = np.flatnonzero(self.keys[place] == hashes)
+        place, owner = place[at], np.searchsorted(words.ptr, at, side="right") - 1
+        found = []
+        for t, need in enumerate(self.needs):
+            own = self.member[place, t]
+            mine, doc = at[own], owner[own]
+            if len(mine) < need:
+                continue
+            longest = int(len(self.words[t]) * (2 - self.agree) / self.agree + 1e-9)
+            first = np.arange(len(mine) - need + 1)
+            last = first + need - 1
+            first, last = (x[(mine[last] - mine[first] < longest) & (doc[last] == doc[first])] for x in (first, last))
+            text = doc[first]
+            low, high = np.maximum(mine[last] - longest + 1, words.ptr[text]), np.minimum(mine[first] + longest, words.ptr[text + 1])
+            found += zip(low.tolist(), high.tolist(), strict=True)
+        out: list[tuple[int, int]] = []
+        for low, high in sorted(found):
+            if out and low < out[-1][1]:
+                out[-1] = (out[-1][0], max(out[-1][1], high))
+            else:
+                out.append((low, high))
+        return out
 
     def ranked(self, words: list[bytes]) -> list[tuple[float, int]]:
-        """(size reduction, template), best first: the share of the block's own
-        compressed size that the template's wording saves."""
+        """(size reduction, template) of all templates that make the block
+        smaller, best first, ties in the order of the templates: the share of
+        the block's own compressed size that the template's wording saves."""
         block = b" ".join(words)
         base = len(self.alone.compress(block))
-        return sorted(((1 - len(c.compress(block)) / base, i) for i, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
-
-    def match(self, words: list[bytes], agree: float) -> tuple | None:
-        """The best confirmed template of a block: (name, reduction, agreement,
-        words lacking, words added, differences)."""
-        found = None
-        for reduction, i in self.ranked(words)[:BEST]:
-            name, wording = self.templates[i]
-            ops = [o for o in difflib.SequenceMatcher(None, wording, words, autojunk=False).get_opcodes() if o[0] != "equal"]
-            lacking, added = sum(o[2] - o[1] for o in ops), sum(o[4] - o[3] for o in ops)
-            same = len(wording) - lacking
-            score = 2 * same / (len(wording) + len(words))
-            if score >= agree and (found is None or score > found[2]):
-                text = "; ".join(f"-{b' '.join(wording[o[1] : o[2]]).decode(errors='replace')} +{b' '.join(words[o[3] : o[4]]).decode(errors='replace')}" for o in ops)
-                found = (name, reduction, score, lacking, added, text)
-        return found
-
-    def blocks(self, text: bytes) -> Iterator[tuple[int, list[bytes]]]:
-        """(place, words) of the lines that may be a notice, and of their
-        sentences where a line is longer than any notice. Long notices over
-        several lines are met as one block from their first line on."""
-        lines = text.split(b"\n")
-        at = 0
-        for n, line in enumerate(lines):
-            if MARKERS.search(line.lower()):
-                words = normal(line)
-                if len(words) > 2 * self.longest:
-                    for piece in re.split(rb"(?<=[.!?;:])[\x20\t]+", line):
-                        if MARKERS.search(piece.lower()) and len(own := normal(piece)) <= 2 * self.longest:
-                            yield at, own
-                else:
-                    yield at, words
-                    more = list(words)
-                    for follow in lines[n + 1 : n + 12]:
-                        own = normal(follow)
-                        if not own or len(more) + len(own) > self.longest + 8:
-                            break
-                        more += own
-                    if len(more) > len(words):
-                        yield at, more
-            at += len(line) + 1
+        shares = [(1 - len(c.compress(block)) / base, i) for i, c in enumerate(self.given)]
+        return sorted(((share, i) for share, i in shares if share > 0), key=lambda x: (-x[0], x[1]))
+
+    def best_window(self, template: int, words: list[bytes]) -> tuple[float, int, int, list] | None:
+        """(agreement, first, end, runs in common) of the window of a block
+        that agrees best with a template."""
+        wording = self.words[template]
+        runs = [r for r in difflib.SequenceMatcher(None, wording, words, autojunk=False).get_matching_blocks() if r.size]
+        best = None
+        for i in range(len(runs)):
+            same = 0
+            for j in range(i, len(runs)):
+                same += runs[j].size
+                span = runs[j].b + runs[j].size - runs[i].b
+                score = 2 * same / (len(wording) + span)
+                if best is None or score > best[0]:
+                    best = (score, runs[i].b, runs[j].b + runs[j].size, runs[i : j + 1])
+        return best
+
+    def notices(self, words: list[bytes]) -> list[tuple]:
+        """(first, end, template, reduction, agreement, lacking, added,
+        differences) of the notices of a block that don't overlap: time after
+        time the one that explains most words."""
+        out, todo = [], [(0, len(words))]
+        while todo:
+            low, high = todo.pop()
+            best = None
+            for reduction, t in self.ranked(words[low:high]) if high - low >= min(self.needs) else ():
+                if self.needs[t] > high - low:
+                    continue
+                window = self.best_window(t, words[low:high])
+                if window and window[0] >= self.agree:
+                    same = sum(r.size for r in window[3])
+                    if best is None or (same, window[0]) > best[:2]:
+                        best = (same, window[0], t, reduction, window)
+            if best is None:
+                continue
+            same, score, t, reduction, (_, a, z, runs) = best
+            out.append((low + a, low + z, t, reduction, score, len(self.words[t]) - same, z - a - same, self._differences(t, words[low:high], runs)))
+            todo += [(low, low + a), (low + z, high)]
+        return sorted(out)
+
+    def _differences(self, template: int, words: list[bytes], runs: list) -> str:
+        wording, parts, a, b = self.words[template], [], 0, runs[0].b
+        for r in [*runs, None]:
+            lacking = wording[a : r.a if r else len(wording)]
+            added = words[b : r.b] if r else []
+            if lacking or added:
+                parts.append(f"-{b' '.join(lacking).decode(errors='replace')} +{b' '.join(added).decode(errors='replace')}")
+            if r:
+                a, b = r.a + r.size, r.b + r.size
+        return "; ".join(parts)
 
 
 def license_notices(docs: DataFrame, templates: tuple = TEMPLATES, agree: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, place, license, reduction, agreement, words_lacking,
     words_added, differences)``: one row per notice, at its byte offset in the
-    whole text. Agreement is twice the common words over the words of both
-    sides; a notice has ``agree`` or more. Of blocks at one place the one that
-    agrees most counts. Null and empty texts have none; repeated rows repeat
-    their notices; extra columns are ignored."""
+    whole text. Agreement is twice the words in common, in order, over the words
+    of both sides; a notice has ``agree`` or more. Of windows that overlap the
+    one with most words in common counts (ties: the higher agreement, then the
+    greater reduction, then the earlier template). Null and empty texts have
+    none; repeated rows repeat their notices; extra columns are ignored."""
+    if not 2 / 3 <= agree <= 1:
+        raise ValueError("agreement lies in [2/3, 1]")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates)
+        scanner = Scanner(templates, agree)
         for b in W.pieces(batches, "t"):
+            words = W.split_words(b.column("t"), space=_OTHER)
+            base = np.concatenate([[0], np.cumsum(words.bytes_of)])
             rows, out = [], []
-            for i, text in enumerate(b.column("t").to_pylist()):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                if not MARKERS.search(raw.lower()):
-                    continue
-                best: dict[int, tuple] = {}
-                for at, words in scanner.blocks(raw):
-                    hit = scanner.match(words, agree)
-                    if hit and (at not in best or hit[2] > best[at][2]):
-                        best[at] = hit
-                for at, hit in sorted(best.items()):
+            for low, high in scanner.blocks(words):
+                i = int(np.searchsorted(words.ptr, low, side="right")) - 1
+                block = [words.data[x:y].tobytes() for x, y in zip(words.starts[low:high], words.ends[low:high], strict=True)]
+                for first, _, t, *rest in scanner.notices(block):
                     rows.append(i)
-                    out.append((at, *hit))
+                    out.append((int(words.starts[low + first] - base[i]), scanner.names[t], *rest))
             columns = list(zip(*out, strict=True)) if out else [[]] * 7
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.string())
             yield pa.record_batch([b.column("i").take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["i", "place", "license", "reduction", "agreement", "words_lacking", "words_added", "differences"])

@@ -46,7 +46,7 @@ def _slices(data: np.ndarray, solid: np.ndarray, off: np.ndarray) -> W.Words:
     after[:n] = ~solid
     starts = np.flatnonzero(solid & (before | edge)[:n])
     ends = np.flatnonzero(solid & (after | edge)[1:]) + 1
-    return W.Words(data, starts, ends, np.searchsorted(starts, off))
+    return W.Words(data, starts, ends, np.searchsorted(starts, off), np.diff(off))
 
 
 def _shapes(data: np.ndarray, off: np.ndarray) -> W.Words:

@@ -61,12 +61,14 @@ _HASHES: dict[int, _Polynomial] = {}
 
 @dataclass
 class Words:
-    """The words of some texts: ``ptr[i]:ptr[i+1]`` are those of text ``i``."""
+    """The words of some texts: ``ptr[i]:ptr[i+1]`` are those of text ``i``,
+    which has ``bytes_of[i]`` bytes."""
 
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     ptr: np.ndarray
+    bytes_of: np.ndarray
 
     @property
     def counts(self) -> np.ndarray:
@@ -96,12 +98,13 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def split_words(column: pa.Array, lower: bool = True) -> Words:
-    """Words of each row; ``lower`` maps A-Z to a-z."""
+def split_words(column: pa.Array, lower: bool = True, space: np.ndarray = _SPACE) -> Words:
+    """Words of each row; ``lower`` maps A-Z to a-z. ``space``: which bytes
+    stand between words."""
     data, off = text_buffer(column)
     if lower:
         data = _LOWER[data]
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[off] = True
@@ -113,7 +116,7 @@ def split_words(column: pa.Array, lower: bool = True) -> Words:
     after |= edge
     starts = np.flatnonzero(solid & before[:n])
     ends = np.flatnonzero(solid & after[1:]) + 1
-    return Words(data, starts, ends, np.searchsorted(starts, off))
+    return Words(data, starts, ends, np.searchsorted(starts, off), np.diff(off))
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

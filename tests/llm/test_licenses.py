@@ -1,29 +1,123 @@
+import random
+import re
+
+import pytest
+
 from lienwise.llm import licenses
+from lienwise.llm.license_texts import TEMPLATES
 
 from .conftest import prose
 
 
+def words_of(text):
+    return re.findall(rb"[0-9a-z\x80-\xff]+", text.encode().lower())
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, license string")
+
+
+def found(spark, texts, **options):
+    out = [[] for _ in texts]
+    for r in licenses.license_notices(frame(spark, texts), **options).orderBy("doc_id", "place").collect():
+        out[r["doc_id"]].append(r)
+    return out
+
+
+def names(spark, texts, **options):
+    return [[r["license"] for r in rows] for rows in found(spark, texts, **options)]
+
+
 def test_notices(spark, odd_docs, no_docs):
-    rows = [
-        (1, prose(1, 30) + "\nLicensed under the Apache License, Version 2.0.\n" + prose(2, 30), "z"),
-        (2, "released under  the mit license.", "z"),
-        (3, "All rights reserved\nLicensed under CC BY-NC 4.0.", "z"),
-        (4, "A license to drive is not a notice of permission in any sense of this word.", "z"),
-        (5, prose(3, 200).replace("\n", " ") + ". Released under the MIT License. " + prose(4, 200), "z"),
-        (6, "Permission is hereby granted, free of charge, to any person obtaining a copy of this\nsoftware and associated documentation files (the \"Software\"), to deal in the\nSoftware without restriction", "z"),
-        (7, "This work is licensed under the GNU General Public License, version 2.", "z"),
-        (8, None, "z"),
+    texts = [
+        prose(1, 30) + "\nLicensed under the Apache License, Version 2.0.\n" + prose(2, 30),
+        "released under  the mit license.",
+        "All rights reserved\nLicensed under CC BY-NC 4.0.",
+        "A license to drive is not a notice of permission in any sense of this word.",
+        prose(3, 200) + ". Released under the MIT License. " + prose(4, 200),
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this\nsoftware and associated documentation files (the \"Software\"), to deal in the\nSoftware without restriction",
+        "This work is licensed under the GNU General Public License, version 2.",
+        None,
+        "",
+        "Copyright (c) 2024 Acme Inc. All rights reserved.",
+        "Copyright 2020 Jane Doe. Licensed under the Apache License, Version 2.0.",
+        "The parser was rewritten. Released under the MIT License. See the docs.",
+        "# All\n# rights\n# reserved.",
+        "All rights are reserved",
     ]
-    df = spark.createDataFrame(rows, "doc_id long, text string, license string")
-    got = [(r["doc_id"], r["license"]) for r in licenses.license_notices(df).orderBy("doc_id", "place").collect()]
-    assert got == [(1, "Apache-2.0"), (2, "MIT"), (3, "Proprietary"), (3, "CC-BY-NC-4.0"), (5, "MIT"), (6, "MIT"), (7, "GPL-2.0")]
-    exact = licenses.license_notices(df.where("doc_id = 7")).first()
+    want = [["Apache-2.0"], ["MIT"], ["Proprietary", "CC-BY-NC-4.0"], [], ["MIT"], ["MIT"], ["GPL-2.0"], [], [], ["Proprietary"], ["Apache-2.0"], ["MIT"], ["Proprietary"], ["Proprietary"]]
+    assert names(spark, texts) == want
+    (exact,) = found(spark, texts)[6]
     assert (exact["words_lacking"], exact["words_added"], exact["agreement"], exact["differences"], exact["place"]) == (0, 0, 1.0, "", 0)
+    (added,) = found(spark, texts)[13]
+    assert (added["words_lacking"], added["words_added"], added["differences"]) == (0, 1, "- +are")
     assert licenses.license_notices(odd_docs).collect() == [] and licenses.license_notices(no_docs).collect() == []
+    with pytest.raises(ValueError):
+        licenses.license_notices(no_docs, agree=0.5)
+
+
+def test_every_template_in_any_layout(spark):
+    """Found whole, wrapped, between other words and with words edited, at its place."""
+    rng, texts, want = random.Random(1), [], []
+    for n, (name, text) in enumerate(TEMPLATES):
+        before = prose(n, 40) + " "
+        edited = text.split()
+        if len(edited) >= 20:
+            for at in rng.sample(range(1, len(edited)), len(edited) // 12):
+                edited[at] = "changed"
+        for body in (text, "\n * ".join(text.split()), text.upper(), " ".join(edited)):
+            texts.append(before + body + " " + prose(n + 50, 300))
+            want.append((name, len(before.encode())))
+    for got, (name, place) in zip(found(spark, texts), want, strict=True):
+        assert [r["license"] for r in got] == [name] and got[0]["place"] == place
+
+
+def brute(words, agree):
+    """The notices of a text by trying every window with every template."""
+    templates = [(name, words_of(text)) for name, text in TEMPLATES]
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = max(old[j] + 1 if x == y else 0, old[j + 1], row[j])
+        return row[-1]
+
+    best = None
+    for t, (name, wording) in enumerate(templates):
+        for a in range(len(words)):
+            for z in range(a + 1, min(len(words), a + 2 * len(wording)) + 1):
+                if not 2 * min(z - a, len(wording)) >= agree * (z - a + len(wording)):
+                    continue
+                if words[a] not in wording or words[z - 1] not in wording:
+                    continue
+                same = common(wording, words[a:z])
+                score = 2 * same / (len(wording) + z - a)
+                if score >= agree and (best is None or (same, score) > best[:2]):
+                    best = (same, score, name, a)
+    return best
+
+
+def test_against_brute_force(spark):
+    rng, texts = random.Random(3), []
+    short = [x for x in TEMPLATES if len(x[1].split()) <= 13]
+    for n in range(60):
+        words = short[n % len(short)][1].split()
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(words) + 1)
+            words[at : at + rng.randrange(2)] = rng.choice(([], ["the"], ["stone"], ["License"]))
+        texts.append(prose(n, 6) + " " + " ".join(words) + " " + prose(n + 99, 6))
+    for text, got in zip(texts, found(spark, texts), strict=True):
+        want = brute(words_of(text), 0.8)
+        assert (want is None) == (got == []), text
+        if want:
+            top = max(got, key=lambda r: r["agreement"])
+            assert top["license"] == want[2] and top["agreement"] == pytest.approx(want[1]), text
 
 
-def test_dictionaries_rank_their_own_wording_first():
+def test_dictionaries_make_their_own_wording_smaller():
     s = licenses.Scanner()
-    for i, (name, words) in enumerate(s.templates):
+    for i, words in enumerate(s.words):
         best = s.ranked(words)
-        assert s.match(words, 0.8)[0] == name and i in [k for _, k in best[: licenses.BEST]]
+        assert i in [t for _, t in best] and s.notices(words)[0][2:5:2] == (i, 1.0)

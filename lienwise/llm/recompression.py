@@ -13,6 +13,10 @@ windows have equal anchors.
 Spark sorts the anchors by name; only windows whose anchor occurs in two
 different texts are compared, by 96-bit hashes of all their words, which are
 sorted too: the first row of a group decides, so no group is ever gathered.
+Names that a large share of all texts have are not sorted to one task: a short
+list of them is found beforehand, their rows pass where they are, and of their
+windows each task first takes the smallest id, so a passage that stands in a
+third of all texts is a handful of rows in the shuffle.
 Texts of equal words are one text: of these, all but the smallest id lose every
 window at once.
 """
@@ -33,6 +37,8 @@ from .storage import beside, by_id, written
 
 #: Symbols among which a window chooses its anchor, from the level where no more are left.
 FEW = 4
+#: A name is frequent if it makes up one in so many of all rows.
+FREQUENT = 1 << 11
 _LEFT, _RIGHT, _RUN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -153,6 +159,34 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("i", "t", "key", "names").mapInArrow(run, "a long, b int, i long, tag long")
 
 
+def _frequent(once: DataFrame) -> list[int]:
+    """The names that make up one in ``FREQUENT`` or more of all rows (i, name)
+    and belong to two ids or more; at most twice ``FREQUENT``.
+
+    A name of such a share has at least half of it in some batch, so batches
+    report only what is frequent in them, and a short list reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows += b.num_rows
+            name, i = b.column("name").to_numpy(), b.column("i").to_numpy()
+            order = np.argsort(name, kind="stable")
+            name, i = name[order], i[order]
+            first = np.flatnonzero(_starts([name], None))
+            n = np.diff(np.append(first, len(name)))
+            often = n >= max(2, len(name) / (2 * FREQUENT))
+            yield pa.record_batch([pa.array(name[first][often]), pa.array(n[often]), pa.array(np.minimum.reduceat(i, first)[often]), pa.array(np.maximum.reduceat(i, first)[often])], ["name", "n", "low", "high"])
+        yield pa.record_batch([pa.array([None], pa.int64()), pa.array([rows]), pa.array([0]), pa.array([0])], ["name", "n", "low", "high"])
+
+    found = written(once.select("name", "i").mapInArrow(run, "name long, n long, low long, high long"), "frequent")
+    rows = found.where("name is null").agg(F.sum("n")).first()[0] or 0
+    sums = found.where("name is not null").groupBy("name").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return sorted(r["name"] for r in sums.where((F.col("n") >= max(2, rows / (2 * FREQUENT))) & (F.col("low") < F.col("high"))).select("name").collect())
+
+
 def _starts(columns: list[np.ndarray], last: tuple | None) -> np.ndarray:
     """Where a new group of equal values starts, ``last`` being the row before."""
     new = np.ones(len(columns[0]), bool)
@@ -240,11 +274,20 @@ def repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     copies = written(long.select("i", "sha").join(lows, "sha").where("i > low").select("i", "sha").distinct(), "copies")
 
     once = long.join(beside(copies), ["i", "sha"], "left_anti").select("i", F.explode("anchors").alias("name"))
-    hits = once.repartition("name").sortWithinPartitions("name", "i").mapInArrow(_shared, "i long, name long")
+    frequent = _frequent(once)
+    often = F.array(*[F.lit(x) for x in frequent]).cast("array<long>")
+    rare = once.where(~F.col("name").isin(frequent)) if frequent else once
+    hits = rare.repartition("name").sortWithinPartitions("name", "i").mapInArrow(_shared, "i long, name long")
+    if frequent:
+        hits = hits.unionByName(once.where(F.col("name").isin(frequent)))
     wanted = written(hits.groupBy("i").agg(F.collect_set("name").alias("names")), "wanted")
     chosen = written(_keyed(by_id(texts, wanted, "i", "left_semi").join(wanted, "i")), "chosen")
-    found = _windows(chosen, window)
+    found = _windows(chosen.withColumn("names", F.array_except("names", often)).where(F.size("names") > 0) if frequent else chosen, window)
     covered = found.repartition("a", "b").sortWithinPartitions("a", "b", "i").mapInArrow(_after_first, "i long, tag long")
+    if frequent:
+        common = written(_windows(chosen.withColumn("names", F.array_intersect("names", often)).where(F.size("names") > 0), window), "common")
+        first = written(common.groupBy("a", "b").agg(F.min("i").alias("low"), F.max("i").alias("high")).where("low < high").select("a", "b", "low"), "first")
+        covered = covered.unionByName(common.join(beside(first), ["a", "b"]).where("i > low").select("i", "tag"))
     places = written(covered.groupBy("i", F.shiftright("tag", 32).alias("bits")).agg(F.collect_list("tag").alias("tags")), "places")
     losing = by_id(chosen, places, "i", "left_semi").withColumn("bits", F.col("key").bitwiseAND(F.lit(0x7FFFFFFF)))
     cut = written(_cut(losing.join(places, ["i", "bits"]), window), "cut").distinct()

@@ -35,8 +35,10 @@ def test_odd_documents(odd_docs):
     assert result(recompression.repeated_passages(odd_docs)[0]) == brute(rows, 50)
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_random_repeats(spark, seed):
+@pytest.mark.parametrize(("seed", "frequent"), [(0, 1), (1, 8), (2, 1 << 11)])
+def test_random_repeats(spark, seed, frequent, monkeypatch):
+    """With no, some and all repeated anchors on the list of frequent ones."""
+    monkeypatch.setattr(recompression, "FREQUENT", frequent)
     rng = np.random.default_rng(seed)
     pool = [" ".join(rng.choice(list("abcdef"), int(n))) for n in rng.integers(5, 40, 8)]
     rows = [(int(i), " ".join(rng.choice(pool, int(rng.integers(0, 6))))) for i in range(60)]

@@ -25,6 +25,8 @@ from .components import components
 from .storage import beside, by_id, written
 
 HOT = 1024
+#: A fingerprint is common if more than one in so many rows has it.
+COMMON = 1 << 12
 #: Two nodes with so few pairs of fingerprints are leaves: their pairs are compared at once.
 LEAF = 1024
 SKETCH = ("s0", "s1", "s2", "s3")
@@ -290,14 +292,19 @@ def neardup_components(fingerprints: DataFrame, budget: int = 3, id_col: str = "
     Rows without an id are left out; repeated rows stay repeated; an empty table
     gives an empty result."""
     own = written(fingerprints.where(F.col(id_col).isNotNull()).select(id_col, "fp"), "fingerprints")
-    nodes = written(own.groupBy("fp").agg(F.min(id_col).alias("low")), "nodes")
+    nodes = written(own.groupBy("fp").agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("n")), "nodes")
     links = written(fingerprint_links(nodes.select(F.lit(0).alias("table"), "fp", F.col("fp").alias("node")), budget), "links")
     roots = written(components(links), "roots")
     linked = roots.join(nodes, roots["node"] == nodes["fp"]).select("node", "root", "low")
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     moved = linked.join(lows, "root").select(F.col("node").alias("fp"), "component_id")
-    named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return own.join(named, "fp").select(id_col, "fp", "component_id")
+    named = written(nodes.join(moved, "fp", "left").select("fp", "n", F.coalesce("component_id", "low").alias("component_id")), "named")
+    # fingerprints of many rows, a short list, are broadcast, so that their rows need not meet in one task
+    rows = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    many = F.broadcast(named.where(F.col("n") > rows / COMMON).select("fp", F.col("component_id").alias("_many")))
+    own = own.join(many, "fp", "left")
+    few = own.where("_many is null").drop("_many").join(named.select("fp", "component_id"), "fp")
+    return few.select(id_col, "fp", "component_id").unionByName(own.where("_many is not null").select(id_col, "fp", F.col("_many").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, budget: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -88,14 +88,14 @@ def fn_node_id(spark, d):
     return T.bus(spark, d).select(node.alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")).select("node", S.node_type(F.col("node")).alias("kind"), S.bare_id(F.col("node")).alias("bare"), "n")
 
 
-@query("SELECT event_id, '₹' || format('{:,.2f}', amount_paise / 100.0) AS rupees FROM bus WHERE k = 3")
+@query("SELECT event_id, '₹' || format('{:,.2f}', amount_paise / 100.0) AS rupees FROM bus")
 def fn_rupees(spark, d):
-    return T.bus(spark, d).where("k = 3").select("event_id", S.rupees(F.col("amount_paise")).alias("rupees"))
+    return T.bus(spark, d).select("event_id", S.rupees(F.col("amount_paise")).alias("rupees"))
 
 
 @query()
 def fn_hmac(spark, d):
-    b = T.bus(spark, d).where("k < 5")
+    b = T.bus(spark, d)
     return b.select("event_id", S.hmac_sha256(F.encode("token_id", "UTF-8"), F.col("event_id")).alias("mac"))
 
 
@@ -209,10 +209,11 @@ def verdict_summary(spark, d):
     return evaluated(spark, d).groupBy("answer", "code").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_paise").alias("amount_paise"))
 
 
-@query("SELECT evaluation_id FROM verdict WHERE predicate IS NULL AND risk_code = 'OK_ALLOW' AND tool_risk = 4")
+@query("SELECT evaluation_id, 'STEPUP_RISK' AS code FROM scored WHERE predicate IS NULL AND NOT degraded AND trunc(p * amount_paise) <= 50000000 AND tool_risk = 4")
 def proj_tool_floor(spark, d):
-    v = evaluated(spark, d)
-    return v.where((F.col("code") == "STEPUP_RISK") & F.col("predicate_failed").isNull() & (F.col("tool_risk") == 4) & (F.col("loss") <= LIVE.interruption_cost)).select("evaluation_id")
+    lenient = Params(interruption_cost=50_000_000)
+    v = verdicts.evaluate(*_inputs(spark, d), T.NOW, lenient)
+    return v.where((F.col("answer") == "STEP_UP") & F.col("predicate_failed").isNull() & ~F.col("degraded") & (F.col("tool_risk") == 4) & (F.col("loss") <= lenient.interruption_cost)).select("evaluation_id", "code")
 
 
 @query("SELECT evaluation_id, sha256(evaluation_id || chr(31) || token_id || chr(31) || customer_id || chr(31) || agent_id || chr(31) || merchant_id || chr(31) || session_id || chr(31) || amount_paise || chr(31) || cart_hash || chr(31) || envelope_digest || chr(31) || tool_risk || chr(31) || nonce || chr(31) || ts) AS digest FROM requests")
@@ -241,9 +242,9 @@ def fn_sigmoid_score(spark, d):
     return evaluated(spark, d).select("evaluation_id", r6("risk"))
 
 
-@query("SELECT evaluation_id, CASE WHEN trunc(p * amount_paise) > 5000000 THEN 1 ELSE 0 END AS over FROM scored")
+@query("SELECT evaluation_id, CAST(floor(trunc(p * amount_paise) / 1000) AS BIGINT) AS loss, CASE WHEN trunc(p * amount_paise) > 5000000 THEN 1 ELSE 0 END AS over FROM scored")
 def fn_expected_loss(spark, d):
-    return evaluated(spark, d).select("evaluation_id", (F.col("loss") > LIVE.interruption_cost).cast("int").alias("over"))
+    return evaluated(spark, d).select("evaluation_id", F.floor(F.col("loss") / 1000).cast("long").alias("loss"), (F.col("loss") > LIVE.interruption_cost).cast("int").alias("over"))
 
 
 @query("SELECT evaluation_id, len(list_distinct([customer_id, token_id, agent_id, merchant_id])) AS n FROM requests")
@@ -385,15 +386,14 @@ def agg_cms(spark, d):
 # --- graph
 
 _GRAPH = """
-raw AS (SELECT 'token:' || l_orderkey AS t, 'device:' || l_partkey AS o FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50 UNION SELECT 'token:' || l_orderkey, 'merchant:' || l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50 AND l_suppkey % 4 = 0),
+raw AS (SELECT DISTINCT 'token:' || token_id AS t, unnest(['agent:' || agent_id, 'customer:' || customer_id, 'merchant:' || merchant_id, 'device:' || device_id]) AS o FROM bus),
 nb AS (SELECT t AS node, o AS other FROM raw UNION SELECT o, t FROM raw),
 deg AS (SELECT node, count(*) AS degree FROM nb GROUP BY node),
 fan AS (SELECT node, max(n) AS fan_out FROM (SELECT node, split_part(other, ':', 1) AS kind, count(*) AS n FROM nb GROUP BY ALL) GROUP BY node),
 shr AS (SELECT nb.node, CAST(sum(degree - 1) AS BIGINT) AS shared FROM nb JOIN deg ON deg.node = nb.other WHERE other LIKE 'device:%' GROUP BY nb.node)"""
 _COMP = """,
-reach AS (SELECT node, node AS label FROM nb UNION SELECT nb.other, reach.label FROM reach JOIN nb ON nb.node = reach.node WHERE reach.label < nb.other),
-lab0 AS (SELECT node, min(label) AS component FROM reach GROUP BY node),
-comp AS (SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM lab0)"""
+reach AS (SELECT 0 AS i, node, node AS label FROM deg UNION ALL SELECT i + 1, node, min(label) FROM (SELECT r.i, nb.node, least(r.label, nb.node) AS label FROM reach r JOIN nb ON nb.other = r.node WHERE r.i < 12) GROUP BY i, node),
+comp AS (SELECT node, label AS component, count(*) OVER (PARTITION BY label) AS size FROM reach WHERE i = 12)"""
 
 
 @query("SELECT least(t, o) AS a, greatest(t, o) AS b, arg_max(occurred_at, seq) AS ts FROM (SELECT 'token:' || token_id AS t, unnest(['agent:' || agent_id, 'customer:' || customer_id, 'merchant:' || merchant_id, 'device:' || device_id]) AS o, seq, occurred_at FROM bus) GROUP BY 1, 2")
@@ -403,51 +403,55 @@ def graph_edges(spark, d):
 
 @query("SELECT * FROM deg", _GRAPH)
 def graph_degree(spark, d):
-    return graph.degrees(T.sparse_edges(spark, d))
+    return graph.degrees(graph.edges(T.bus(spark, d)))
 
 
 @query("SELECT * FROM fan", _GRAPH)
 def graph_fan_out(spark, d):
-    return graph.fan_out(T.sparse_edges(spark, d))
+    return graph.fan_out(graph.edges(T.bus(spark, d)))
 
 
 @query("SELECT node, shared AS shared_attributes FROM shr", _GRAPH)
 def graph_shared_attrs(spark, d):
-    return graph.shared_attributes(T.sparse_edges(spark, d))
+    return graph.shared_attributes(graph.edges(T.bus(spark, d)))
 
 
 @query("SELECT * FROM comp", _GRAPH + _COMP, True)
 def graph_components(spark, d):
-    return graph.components(T.sparse_edges(spark, d))
+    return graph.components(graph.edges(T.bus(spark, d)))
 
 
 @query("SELECT node, round(1 - exp(-degree / 30.0) * exp(-fan_out / 15.0) * exp(-coalesce(shared, 0) / 8.0) * exp(-size / 40.0), 6) AS floor FROM deg JOIN fan USING (node) LEFT JOIN shr USING (node) JOIN comp USING (node)", _GRAPH + _COMP, True)
 def graph_floor(spark, d):
-    return graph.structural_floor(T.sparse_edges(spark, d)).select("node", r6("floor"))
-
-
-def _seeds(edges: DataFrame) -> DataFrame:
-    nodes = graph.neighbours(edges).select("node").distinct().where("node like 'token:%'")
-    n = S.bare_id(F.col("node")).cast("long")
-    return nodes.where(n % 11 == 0).select("node", F.lit(1.0).alias("label"))
+    return graph.structural_floor(graph.edges(T.bus(spark, d))).select("node", r6("floor"))
 
 
 _PROP = """,
-seed AS (SELECT node FROM deg WHERE node LIKE 'token:%' AND CAST(split_part(node, ':', 2) AS BIGINT) % 11 = 0),
+seed AS (SELECT DISTINCT 'token:' || token_id AS node FROM bus WHERE type = 'payment.disputed'),
 prop AS (SELECT 0 AS i, node, CASE WHEN node IN (SELECT node FROM seed) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM deg
   UNION ALL SELECT i + 1, node, s FROM (SELECT p.i, nb.node, CASE WHEN nb.node IN (SELECT node FROM seed) THEN 1.0::DOUBLE ELSE 0.85 * avg(p.score) END AS s FROM prop p JOIN nb ON nb.other = p.node WHERE p.i < 30 GROUP BY p.i, nb.node))"""
 
 
 @query("SELECT node, round(score, 6) AS score FROM prop WHERE i = 30", _GRAPH + _PROP, True)
 def graph_propagate(spark, d):
-    e = T.sparse_edges(spark, d)
-    return graph.propagate(e, _seeds(e)).select("node", r6("score"))
+    return graph.propagate(graph.edges(T.bus(spark, d)), graph.dispute_seeds(T.bus(spark, d))).select("node", r6("score"))
 
 
-@query()
+_FLOOR = """,
+flo AS (SELECT node, degree, fan_out, coalesce(shared, 0) AS shared, size, 1 - exp(-degree / 30.0) * exp(-fan_out / 15.0) * exp(-coalesce(shared, 0) / 8.0) * exp(-size / 40.0) AS floor FROM deg JOIN fan USING (node) LEFT JOIN shr USING (node) JOIN comp USING (node))"""
+
+
+@query("SELECT substr(node, strpos(node, ':') + 1) AS key, node, round(greatest(floor, score), 6) AS risk FROM flo JOIN (SELECT node, score FROM prop WHERE i = 30) USING (node) WHERE node NOT LIKE 'device:%'", _GRAPH + _COMP + _FLOOR + _PROP, True)
 def graph_network_risk(spark, d):
-    e = T.sparse_edges(spark, d)
-    return graph.network_risk(e, _seeds(e)).select("key", "node", r6("risk"))
+    return graph.network_risk(graph.edges(T.bus(spark, d)), graph.dispute_seeds(T.bus(spark, d))).select("key", "node", r6("risk"))
+
+
+@query()
+def graph_learned_risk(spark, d):
+    edges, seeds = graph.edges(T.bus(spark, d)), labelling.label_set(_labels(spark, d))
+    seeds = training.graph_examples(seeds, graph.neighbours(edges))
+    learned = training.learned_network_risk(graph.hop_features(edges), seeds)
+    return graph.network_risk(edges, graph.dispute_seeds(T.bus(spark, d)), learned=learned).select("key", "node", r6("risk"))
 
 
 @query("SELECT DISTINCT 'token:' || token_id AS node, 1.0::DOUBLE AS label FROM bus WHERE type = 'payment.disputed'")
@@ -455,10 +459,16 @@ def graph_seeds(spark, d):
     return graph.dispute_seeds(T.bus(spark, d))
 
 
-@query()
+_HOPS = """,
+h0 AS (SELECT node, ln(1 + degree) AS f0, ln(1 + fan_out) AS f1, ln(1 + shared) AS f2, ln(1 + size) AS f3 FROM flo),
+h1 AS (SELECT nb.node, avg(f0) AS n_f0, avg(f1) AS n_f1, avg(f2) AS n_f2, avg(f3) AS n_f3 FROM nb JOIN h0 ON h0.node = nb.other GROUP BY nb.node),
+h2 AS (SELECT nb.node, avg(n_f0) AS n_n_f0, avg(n_f1) AS n_n_f1, avg(n_f2) AS n_n_f2, avg(n_f3) AS n_n_f3 FROM nb JOIN h1 ON h1.node = nb.other GROUP BY nb.node)"""
+_HOP_NAMES = [p + f"f{i}" for p in ("", "n_", "n_n_") for i in range(4)]
+
+
+@query(f"SELECT node, {', '.join(f'round({c}, 6) AS {c}' for c in _HOP_NAMES)} FROM h0 JOIN h1 USING (node) JOIN h2 USING (node)", _GRAPH + _COMP + _FLOOR + _HOPS, True)
 def graph_hop_features(spark, d):
-    e = T.sparse_edges(spark, d)
-    return graph.hop_features(e)
+    return graph.hop_features(graph.edges(T.bus(spark, d))).select("node", *map(r6, _HOP_NAMES))
 
 
 @query("SELECT 'token:' || token_id AS node, arg_min(occurred_at, seq) AS first_seen, max(occurred_at) AS last_seen FROM bus GROUP BY token_id")
@@ -504,9 +514,9 @@ def fn_normalise_purpose(spark, d):
     return T.bus(spark, d).groupBy(S.normalise_purpose(raw).alias("purpose")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n, md5(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')) AS words FROM documents")
 def fn_tokenise(spark, d):
-    return T.read(spark, d, "documents").where("lang = 'en'").select("doc_id", F.size(S.tokenise(F.col("text"))).cast("long").alias("n"))
+    return T.read(spark, d, "documents").select("doc_id", F.size(S.tokenise(F.col("text"))).cast("long").alias("n"), F.md5(F.array_join(S.tokenise(F.col("text")), " ")).alias("words"))
 
 
 @query("SELECT doc_id, concat_ws(' · ', nullif(trim(lang), ''), nullif(trim(source), '')) AS text FROM documents")
@@ -535,14 +545,14 @@ def join_envelope_debit(spark, d):
 # --- ledger and vault
 
 _LED = """
-recs AS (SELECT row_number() OVER (ORDER BY seq) AS rn, seq, 'ev' || seq AS evaluation_id, sha256(event_id) AS request_digest, decision, 'C' || (k % 4) AS code, CASE WHEN k % 4 = 0 THEN 'P1' ELSE '' END AS predicate_failed, occurred_at AS ts FROM bus WHERE type = 'decision.made' AND k < 10)"""
+recs AS (SELECT row_number() OVER (PARTITION BY token_id ORDER BY seq) AS rn, seq, token_id, 'ev' || seq AS evaluation_id, sha256(event_id) AS request_digest, decision, 'C' || (k % 4) AS code, CASE WHEN k % 4 = 0 THEN 'P1' ELSE '' END AS predicate_failed, occurred_at AS ts FROM bus WHERE type = 'decision.made')"""
 _CHAIN = """,
-body AS (SELECT rn, seq, concat_ws(chr(31), evaluation_id, request_digest, decision, code, predicate_failed, '', '1', ts) AS b FROM recs),
-chain AS (SELECT rn, seq, '' AS prev_hash, sha256(chr(31) || b) AS hash FROM body WHERE rn = 1 UNION ALL SELECT body.rn, body.seq, chain.hash, sha256(chain.hash || chr(31) || b) FROM chain JOIN body ON body.rn = chain.rn + 1)"""
+body AS (SELECT token_id, rn, seq, concat_ws(chr(31), evaluation_id, request_digest, decision, code, predicate_failed, '', '1', ts) AS b FROM recs),
+chain AS (SELECT token_id, rn, seq, '' AS prev_hash, sha256(chr(31) || b) AS hash FROM body WHERE rn = 1 UNION ALL SELECT body.token_id, body.rn, body.seq, chain.hash, sha256(chain.hash || chr(31) || b) FROM chain JOIN body ON body.token_id = chain.token_id AND body.rn = chain.rn + 1)"""
 
 
 def _records(spark, d):
-    b = T.bus(spark, d).where("type = 'decision.made' and k < 10")
+    b = T.bus(spark, d).where("type = 'decision.made'")
     return b.select(
         "seq",
         "token_id",
@@ -559,27 +569,39 @@ def _records(spark, d):
 
 @query("SELECT seq, prev_hash, hash FROM chain", _LED + _CHAIN, True)
 def led_append(spark, d):
-    return ledger.append(_records(spark, d)).select("seq", "prev_hash", "hash")
+    return ledger.append_by_token(_records(spark, d)).select("seq", "prev_hash", "hash")
 
 
-@query("SELECT max(seq) AS seq, arg_max(hash, seq) AS hash, count(*) AS n FROM chain", _LED + _CHAIN, True)
+@query("SELECT token_id, max(seq) AS seq, arg_max(hash, seq) AS hash, count(*) AS n FROM chain GROUP BY token_id", _LED + _CHAIN, True)
 def top1_chain_head(spark, d):
-    return ledger.head(ledger.append(_records(spark, d)))
+    return ledger.heads(ledger.append_by_token(_records(spark, d)))
 
 
-@query("SELECT seq, rn = 6 AS broken, rn = 3 OR rn = 6 AS tampered FROM recs WHERE rn IN (3, 6) ORDER BY seq", _LED)
+@query("SELECT seq, seq % 50 = 11 AS broken, true AS tampered FROM recs WHERE seq % 50 IN (7, 11)", _LED)
 def led_verify(spark, d):
-    chain = ledger.append(_records(spark, d))
-    first = [r["seq"] for r in chain.select("seq").orderBy("seq").limit(6).collect()]
-    bad = chain.withColumn("code", F.when(F.col("seq") == first[2], "forged").otherwise(F.col("code"))).withColumn("prev_hash", F.when(F.col("seq") == first[5], "x").otherwise(F.col("prev_hash")))
-    return ledger.verify(bad)
+    chain, at = ledger.append_by_token(_records(spark, d)), F.col("seq") % 50
+    bad = chain.withColumn("code", F.when(at == 7, "forged").otherwise(F.col("code"))).withColumn("prev_hash", F.when(at == 11, "x").otherwise(F.col("prev_hash")))
+    return ledger.verify(bad, "token_id")
 
 
-@query()
+@query("SELECT sha256(string_agg(h, '' ORDER BY b)) AS root FROM (SELECT substr(sha256(token_id), 1, 3) AS b, sha256(string_agg(hash, '' ORDER BY token_id)) AS h FROM (SELECT token_id, arg_max(hash, seq) AS hash FROM chain GROUP BY token_id) GROUP BY 1)", _LED + _CHAIN, True)
 def led_per_token(spark, d):
     return ledger.merkle_root(ledger.append_by_token(_records(spark, d)))
 
 
+@query("SELECT 'ev' || seq AS evaluation_id, seq, sha256(event_id) AS request_digest, CASE WHEN k % 4 = 0 THEN 'P1' ELSE '' END AS predicate_failed, occurred_at AS ts FROM bus WHERE type = 'decision.made'")
+def led_from_event(spark, d):
+    events = T.bus_dup(spark, d).withColumn("evaluation_id", F.concat(F.lit("ev"), F.substring("event_id", 2, 20)))
+    told = verdicts.with_provenance(events, _records(spark, d))
+    return verdicts.records_of(told).select("evaluation_id", "seq", "request_digest", "predicate_failed", "ts")
+
+
+@query("SELECT 's' || user_id % 50 AS session_id, arg_min('tok_' || user_id, e) AS token_id, min(e) AS ts FROM (SELECT CAST(substr(token_id, 5) AS BIGINT) AS user_id, occurred_at * 100000000 + seq AS e FROM bus) GROUP BY 1")
+def join_session_token(spark, d):
+    b = T.bus(spark, d).select(F.concat(F.lit("s"), F.substring("token_id", 5, 20).cast("long") % 50).alias("session_id"), "token_id", (F.col("occurred_at") * 100_000_000 + F.col("seq")).alias("ts"), F.col("event_id").alias("evaluation_id"))
+    return verdicts.session_tokens(b)
+
+
 def _plain(spark, d):
     c = T.read(spark, d, "customer")
     return c.select(F.concat(F.lit("s_"), "c_custkey").alias("session_id"), F.lit("contact").alias("field"), F.when(F.col("c_custkey") % 10 == 3, "").otherwise(F.col("c_name")).alias("plaintext"))
@@ -590,7 +612,7 @@ def _plain(spark, d):
   CASE WHEN c_custkey % 10 = 3 OR c_custkey % 7 IN (0, 1) THEN NULL ELSE c_name END AS plaintext FROM customer""")
 def vlt_reveal(spark, d):
     plain = _plain(spark, d)
-    keys = vault.keyring(plain, "ring")
+    keys = vault.keyring(plain)
     sealed = vault.seal(plain, keys)
     n = F.substring("session_id", 3, 20).cast("long")
     rows, kept = vault.erase(sealed, keys, plain.where(n % 7 == 0))
@@ -627,19 +649,24 @@ def join_graph_seeds(spark, d):
 def ml_behaviour_scorer(spark, d):
     vectors = behaviour.deviations(behaviour.signals(_observed(spark, d))).select(F.col("principal").alias("token_id"), "seq", "vector").join(T.bus(spark, d).select("seq", "occurred_at"), "seq")
     rows = training.examples(_labels(spark, d), vectors)
-    model = training.fit_scorer(rows, trees=5)
+    model = training.fit_scorer(rows)
     return training.calibrated(model, rows).select("token_id", "y", r6("calibrated")) if model else rows.select("token_id", "y", F.lit(None).cast("double").alias("calibrated"))
 
 
 @query()
 def ml_isolation_floor(spark, d):
     rows = behaviour.deviations(behaviour.signals(_observed(spark, d))).select("principal", "seq", "vector")
-    return training.isolation_floor(rows, trees=10).select("principal", "seq", r6("iso_floor"))
+    return training.isolation_floor(rows).select("principal", "seq", r6("iso_floor"))
 
 
 @query()
 def ml_retrain(spark, d):
-    return training.report(training.examples(_labels(spark, d), _vectors(spark, d)))
+    edges = graph.edges(T.bus(spark, d))
+    hops = graph.hop_features(edges)
+    seeds = training.graph_examples(labelling.label_set(_labels(spark, d)), graph.neighbours(edges))
+    vectors = hops.select("node", F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in hops.columns if c != "node"]).alias("vector"))
+    layers = {"behaviour": training.examples(_labels(spark, d), _vectors(spark, d)), "graph": seeds.join(vectors, "node").select("vector", F.round("label").alias("y"))}
+    return training.retrain(layers)[1].select("layer", "n", "trained", "reason", r6("mean_misuse"), r6("mean_legit"))
 
 
 def _debits(spark, d):
@@ -686,9 +713,9 @@ def agg_headline(spark, d):
     return evaluate.headline(_debits(spark, d))
 
 
-@query("SELECT reason, coalesce(a.n, 0) AS observed, coalesce(b.n, 0) AS expected FROM (SELECT reason, count(*) AS n FROM labs GROUP BY reason) a FULL JOIN (SELECT CASE WHEN k % 2 = 0 THEN 'dispute' ELSE 'refund' END AS reason, count(*) AS n FROM bus WHERE k < 8 GROUP BY 1) b USING (reason)", _LAB)
+@query("SELECT reason, coalesce(a.n, 0) AS observed, coalesce(b.n, 0) AS expected FROM (SELECT reason, count(*) AS n FROM labs GROUP BY reason) a FULL JOIN (SELECT CASE WHEN k % 2 = 0 THEN 'dispute' ELSE 'refund' END AS reason, count(*) AS n FROM bus GROUP BY 1) b USING (reason)", _LAB)
 def agg_label_breakdown(spark, d):
-    wanted = T.bus(spark, d).where("k < 8").select(F.when(F.col("k") % 2 == 0, "dispute").otherwise("refund").alias("reason"))
+    wanted = T.bus(spark, d).select(F.when(F.col("k") % 2 == 0, "dispute").otherwise("refund").alias("reason"))
     return evaluate.label_breakdown(_labels(spark, d), wanted)
 
 

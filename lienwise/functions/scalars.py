@@ -183,8 +183,10 @@ def consumption_frac(consumed: Column, ceiling: Column) -> Column:
 
 
 def hmac_sha256(key: Column, message: Column) -> Column:
-    """HMAC by its definition over built-in hashes; the key has 64 bytes or fewer."""
-    hexed = F.rpad(F.hex(key), 128, "0")
+    """HMAC by its definition over built-in hashes; a key of over 64 bytes is
+    hashed first."""
+    key = key.cast("binary")
+    hexed = F.rpad(F.when(F.octet_length(key) > 64, F.upper(F.sha2(key, 256))).otherwise(F.hex(key)), 128, "0")
     octets = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
 
     def pad(byte: int) -> Column:
@@ -192,3 +194,8 @@ def hmac_sha256(key: Column, message: Column) -> Column:
 
     inner = F.unhex(F.sha2(F.concat(pad(0x36), F.encode(message, "UTF-8")), 256))
     return F.sha2(F.concat(pad(0x5C), inner), 256)
+
+
+def hmac_verify(key: Column, message: Column, mac: Column) -> Column:
+    """Whether ``mac`` (hex digits of either case) is that of the message."""
+    return F.coalesce(hmac_sha256(key, message) == F.lower(mac), F.lit(False))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..params import DEFAULT, Params
+from ..storage import settled
 
 FIGURES = ("behaviour_deviation", "intent_divergence", "network_risk", "reputation", "consumption_frac")
 
@@ -20,26 +21,28 @@ def merge_deposits(deposits: DataFrame) -> DataFrame:
     return once.groupBy("key").agg(*figures, F.max_by("occurred_at", "seq").alias("computed_at"))
 
 
+#: Feature rows that a broadcast may hold; beyond that, joins shuffle.
+BROADCAST_ROWS = 1 << 20
+
+
 def with_features(requests: DataFrame, features: DataFrame, now: int, p: Params = DEFAULT) -> DataFrame:
     """Requests with the evidence of four rows: behaviour and network of the
     customer, intent of the token, reputation of the agent; the merchant's row
     only has to be there. ``degraded`` if a wanted row is missing or stale.
 
-    One exploded join serves the four keys, so features are shuffled once."""
-    keys = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in (("customer", "customer_id"), ("token", "token_id"), ("agent", "agent_id"), ("merchant", "merchant_id"))])
-    asked = requests.select("evaluation_id", F.explode(keys).alias("k")).select("evaluation_id", "k.kind", "k.key").where(F.coalesce("key", F.lit("")) != "")
-    got = asked.join(features, "key", "left").withColumn("state", S.freshness(F.col("computed_at"), F.lit(now), p.staleness_budget))
-
-    def of(kind: str, column: str):
-        return F.max(F.when(F.col("kind") == kind, F.col(column))).alias(f"e_{column}")
-
-    evidence = got.groupBy("evaluation_id").agg(
-        of("customer", "behaviour_deviation"),
-        of("customer", "network_risk"),
-        of("token", "intent_divergence"),
-        of("agent", "reputation"),
-        F.sum(F.when(F.col("state") == "missing", 1).otherwise(0)).alias("missing"),
-        F.sum(F.when(F.col("state") == "stale", 1).otherwise(0)).alias("stale"),
-    )
-    joined = requests.join(evidence, "evaluation_id", "left")
-    return joined.withColumn("degraded", (F.coalesce("missing", F.lit(0)) + F.coalesce("stale", F.lit(0))) > 0)
+    The feature rows of a kind are broadcast where their checked count is low.
+    Agents and merchants are few and hot, so of theirs only the rows that the
+    requests name are looked at; customers and tokens are joined by key."""
+    features = settled(features.select("key", *FIGURES, "computed_at"), "features")
+    few, rows, states = features.count() <= BROADCAST_ROWS, requests, []
+    for kind, figures in (("customer", ("behaviour_deviation", "network_risk")), ("token", ("intent_divergence",)), ("agent", ("reputation",)), ("merchant", ())):
+        column = f"{kind}_id"
+        own = features
+        if not few and kind in ("agent", "merchant"):
+            own = settled(features.join(requests.select(F.col(column).alias("key")).distinct(), "key", "left_semi"), "features")
+        side = own.select(F.col("key").alias(column), *[F.col(f).alias(f"e_{f}") for f in figures], S.freshness(F.col("computed_at"), F.lit(now), p.staleness_budget).alias(f"_{kind}"))
+        rows = rows.join(F.broadcast(side) if few or own is not features and own.count() <= BROADCAST_ROWS else side, column, "left")
+        states.append(F.when(F.coalesce(F.col(column), F.lit("")) != "", F.coalesce(F.col(f"_{kind}"), F.lit("missing"))))
+    count = lambda state: sum((F.when(x == state, 1).otherwise(0) for x in states), F.lit(0))
+    rows = rows.withColumns({"missing": count("missing"), "stale": count("stale")}).drop("_customer", "_token", "_agent", "_merchant")
+    return rows.withColumn("degraded", F.col("missing") + F.col("stale") > 0)

@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..params import DEFAULT, Params
+from ..storage import settled
 
 ATTRIBUTES = ("device", "policy")
 LINKED = ("agent", "customer", "merchant", "device", "policy")
 
 
-_OWN: list[str] = []
-
-
-def _settled(df: DataFrame) -> DataFrame:
-    """The frame as a table in the cluster's shared folder, which ends its lineage."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="spark-"))
-        folder = _OWN[0]
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def edges(log: DataFrame) -> DataFrame:
     """(a, b, ts): each unordered pair of a token and an entity of its events
     once, with the time of the last arrival. Self-edges go."""
@@ -67,8 +50,8 @@ def components(edge: DataFrame, max_rounds: int = 50) -> DataFrame:
     hooks the label of a node, not only the node, under the smallest label
     beside it, and labels jump along themselves, so rounds grow slowly. It is
     an error if labels have not settled after ``max_rounds``."""
-    near = _settled(neighbours(edge))
-    label = _settled(near.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")))
+    near = settled(neighbours(edge), "graph")
+    label = settled(near.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")), "graph")
     for _ in range(max_rounds):
         other = label.select(F.col("node").alias("other"), F.col("label").alias("l"))
         low = near.join(other, "other").groupBy("node").agg(F.min("l").alias("m"))
@@ -77,7 +60,7 @@ def components(edge: DataFrame, max_rounds: int = 50) -> DataFrame:
         hop = label.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = seen.join(hop, "label", "left").join(hooks, "node", "left")
         new = new.select("node", F.least("label", "m", F.coalesce("up", "label"), F.coalesce("hook", "label")).alias("next"), F.col("label").alias("was"))
-        new = _settled(new)
+        new = settled(new, "graph")
         label = new.select("node", F.col("next").alias("label"))
         if not new.where("next <> was").head(1):
             break
@@ -97,8 +80,8 @@ def structural_floor(edge: DataFrame, p: Params = DEFAULT) -> DataFrame:
 def propagate(edge: DataFrame, seeds: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(node, score): rounds of the damped mean of the neighbours' scores,
     seeds (node, label) held fixed. Every fifth round is settled to a table."""
-    near = _settled(neighbours(edge))
-    nodes = _settled(near.select("node").distinct().join(seeds, "node", "left"))
+    near = settled(neighbours(edge), "graph")
+    nodes = settled(near.select("node").distinct().join(seeds, "node", "left"), "graph")
     score = nodes.select("node", F.coalesce("label", F.lit(0.0)).cast("double").alias("score"))
     if not seeds.head(1):
         return score
@@ -106,7 +89,7 @@ def propagate(edge: DataFrame, seeds: DataFrame, p: Params = DEFAULT) -> DataFra
         mean = near.join(score.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.avg("score").alias("mean"))
         score = nodes.join(mean, "node", "left").select("node", F.coalesce("label", p.propagation_damping * F.coalesce("mean", F.lit(0.0))).cast("double").alias("score"))
         if i % 5 == 4:
-            score = _settled(score)
+            score = settled(score, "graph")
     return score.select("node", S.clamp01(F.col("score")).alias("score"))
 
 
@@ -115,17 +98,19 @@ def dispute_seeds(log: DataFrame) -> DataFrame:
     return rows.select(S.node_id("token", F.col("token_id")).alias("node")).distinct().withColumn("label", F.lit(1.0))
 
 
-def network_risk(edge: DataFrame, seeds: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """The figure of every keyed node (not of devices or policies)."""
+def network_risk(edge: DataFrame, seeds: DataFrame, p: Params = DEFAULT, learned: DataFrame | None = None) -> DataFrame:
+    """The figure of every keyed node (not of devices or policies): the highest
+    of floor, propagated score and, where given, a learned one (node, learned)."""
     rows = structural_floor(edge, p).join(propagate(edge, seeds, p), "node")
-    risk = rows.select("node", S.combine_risk(F.col("floor"), F.col("score")).alias("risk"))
+    rows = rows.join(learned, "node", "left") if learned is not None else rows.withColumn("learned", F.lit(None).cast("double"))
+    risk = rows.select("node", S.combine_risk(F.col("floor"), F.col("score"), F.coalesce("learned", F.lit(0.0))).alias("risk"))
     return risk.where(~S.node_type(F.col("node")).isin(*ATTRIBUTES)).select(S.bare_id(F.col("node")).alias("key"), "node", "risk")
 
 
 def hop_features(edge: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Node features with means over one and two hops, for a learned risk."""
     base = structural_floor(edge, p).select("node", F.log1p("degree").alias("f0"), F.log1p("fan_out").alias("f1"), F.log1p("shared_attributes").alias("f2"), F.log1p("size").alias("f3"))
-    base, near = _settled(base), _settled(neighbours(edge))
+    base, near = settled(base, "graph"), settled(neighbours(edge), "graph")
 
     def mean(of: DataFrame, prefix: str, names: list[str]) -> DataFrame:
         return near.join(of.withColumnRenamed("node", "other"), "other").groupBy("node").agg(*[F.avg(c).alias(prefix + c) for c in names])

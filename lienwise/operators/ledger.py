@@ -47,7 +47,7 @@ def _chained(records: DataFrame, key: str | None) -> DataFrame:
 
 def append(records: DataFrame) -> DataFrame:
     """Records (seq and FIELDS) with prev_hash and hash of one global chain.
-    One task by nature, with constant memory."""
+    One task by nature, with constant memory: for small ledgers."""
     return _chained(records, None)
 
 
@@ -56,23 +56,33 @@ def append_by_token(records: DataFrame) -> DataFrame:
     return _chained(records, "token_id")
 
 
+def heads(chains: DataFrame) -> DataFrame:
+    """(token_id, seq, hash, n): the last record of each chain and its length."""
+    return chains.groupBy("token_id").agg(F.max("seq").alias("seq"), F.max_by("hash", "seq").alias("hash"), F.count(F.lit(1)).alias("n"))
+
+
 def merkle_root(chains: DataFrame) -> DataFrame:
-    """One row: the hash over each token's head, in token order."""
-    heads = chains.groupBy("token_id").agg(F.max_by("hash", "seq").alias("head"), F.count(F.lit(1)).alias("n"))
-    buckets = heads.groupBy(F.pmod(F.xxhash64("token_id"), F.lit(1024)).alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_id", "head"))), lambda x: x["head"]), ""), 256).alias("h"))
+    """One row: the hash over the heads of all tokens, in 4096 buckets by the
+    hash of the token, in token order within each."""
+    rows = heads(chains).groupBy(F.substring(F.sha2("token_id", 256), 1, 3).alias("b")).agg(F.array_sort(F.collect_list(F.struct("token_id", "hash"))).alias("x"))
+    buckets = rows.select("b", F.sha2(F.array_join(F.transform("x", lambda x: x["hash"]), ""), 256).alias("h"))
     return buckets.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("root"))
 
 
-def verify(chain: DataFrame) -> DataFrame:
+def verify(chain: DataFrame, key: str | None = None) -> DataFrame:
     """Faulty records: ``broken`` where prev_hash is not the hash before,
-    ``tampered`` where the fields don't give the hash. The order is global, so
-    the lag runs in ranges of seq and their edges are joined."""
-    ranges = chain.withColumn("_r", (F.col("seq") / 65536).cast("long"))
-    edge = ranges.groupBy("_r").agg(F.max_by("hash", "seq").alias("_edge"))
-    before = edge.withColumn("_before", F.last("_edge", ignorenulls=True).over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))).select("_r", "_before")
-    rows = ranges.join(F.broadcast(before) if before.count() < 100_000 else before, "_r", "left")
-    prior = F.coalesce(F.lag("hash").over(Window.partitionBy("_r").orderBy("seq")), F.col("_before"), F.lit(""))
-    out = rows.withColumn("broken", F.coalesce("prev_hash", F.lit("")) != prior).withColumn("tampered", F.col("hash") != record_hash(F.col("prev_hash")))
+    ``tampered`` where the fields don't give the hash. With ``key`` a chain for
+    each of its values; else one, whose lag runs in ranges of seq with their
+    edges joined."""
+    if key:
+        rows, before = chain, F.lag("hash").over(Window.partitionBy(key).orderBy("seq"))
+    else:
+        ranges = chain.withColumn("_r", (F.col("seq") / 65536).cast("long"))
+        edge = ranges.groupBy("_r").agg(F.max_by("hash", "seq").alias("_edge"))
+        edge = edge.withColumn("_before", F.last("_edge", ignorenulls=True).over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))).select("_r", "_before")
+        rows = ranges.join(F.broadcast(edge) if edge.count() < 100_000 else edge, "_r", "left")
+        before = F.coalesce(F.lag("hash").over(Window.partitionBy("_r").orderBy("seq")), F.col("_before"))
+    out = rows.withColumn("broken", F.coalesce("prev_hash", F.lit("")) != F.coalesce(before, F.lit(""))).withColumn("tampered", F.col("hash") != record_hash(F.col("prev_hash")))
     return out.where("broken or tampered").select("seq", "broken", "tampered")
 
 

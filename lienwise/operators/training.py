@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -10,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import node_id
+from ..storage import settled
 
 
 def examples(labels: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -49,41 +55,85 @@ def calibrated(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 def isolation_floor(rows: DataFrame, trees: int = 50, sample: int = 256, seed: int = 0, scale: float = 0.1) -> DataFrame:
     """``rows`` with iso_floor: how easily random cuts isolate a vector. The
-    forest grows on the driver from a bounded sample; scoring is a column
-    expression over the whole frame."""
-    import numpy as np
-
-    names = [f"_v{i}" for i in range(len(rows.select("vector").first()[0]))] if rows.head(1) else []
-    if not names:
+    forest grows on the driver from a bounded sample, each tree to the depth at
+    which its sample is halved to single rows; scoring runs over Arrow batches."""
+    first = rows.select("vector").where("vector is not null").head(1)
+    if not first:
         return rows.withColumn("iso_floor", F.lit(0.0))
-    got = np.array([r[0] for r in rows.orderBy(F.xxhash64("vector")).limit(sample * 4).select("vector").collect()], float)
-    rng = np.random.default_rng(seed)
+    held = rows.where("vector is not null").orderBy(F.xxhash64("vector")).limit(sample * 4).select("vector").collect()
+    got, rng = np.array([r[0] for r in held], float), np.random.default_rng(seed)
+    n = min(sample, len(got))
+    most = max(1, math.ceil(math.log2(n)))
 
     def length(n: int) -> float:
-        return 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
-
-    def grow(x: np.ndarray, depth: int, most: int):
-        spread = np.flatnonzero(np.ptp(x, axis=0) > 0) if len(x) > 1 else []
-        if depth >= most or not len(spread):
-            return F.lit(float(depth + length(len(x))))
-        c = int(rng.choice(spread))
-        cut = float(rng.uniform(x[:, c].min(), x[:, c].max()))
-        return F.when(F.col("vector")[c] < cut, grow(x[x[:, c] < cut], depth + 1, most)).otherwise(grow(x[x[:, c] >= cut], depth + 1, most))
-
-    n = min(sample, len(got))
-    most = 5
-    total = None
+        return 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+
+    def grow(x: np.ndarray, depth: int, nodes: list) -> int:
+        """Adds (column, cut, left, right, depth), column -1 for a leaf."""
+        place = len(nodes)
+        spread = np.flatnonzero(np.ptp(x, axis=0) > 0) if len(x) > 1 and depth < most else []
+        nodes.append((-1, 0.0, 0, 0, depth + length(len(x))))
+        if len(spread):
+            c = int(rng.choice(spread))
+            cut = float(rng.uniform(x[:, c].min(), x[:, c].max()))
+            left = grow(x[x[:, c] < cut], depth + 1, nodes)
+            nodes[place] = (c, cut, left, grow(x[x[:, c] >= cut], depth + 1, nodes), 0.0)
+        return place
+
+    forest = []
     for _ in range(trees):
-        tree = grow(got[rng.choice(len(got), n, replace=False)], 0, most)
-        total = tree if total is None else total + tree
-    anomaly = F.pow(F.lit(2.0), -(total / trees) / max(length(n), 1e-9))
-    return rows.withColumn("iso_floor", 1 / (1 + F.exp(-(anomaly - 0.5) / scale)))
-
-
-def report(rows: DataFrame) -> DataFrame:
-    """Per layer whether it can be trained, and why not."""
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("y").alias("classes")).select(
-        F.lit("behaviour").alias("layer"), "n", (F.col("classes") >= 2).alias("trained"), F.when(F.col("n") == 0, "no examples").when(F.col("classes") < 2, "one class").alias("reason")
-    )
-
-
+        nodes: list = []
+        grow(got[rng.choice(len(got), n, replace=False)], 0, nodes)
+        forest.append(tuple(np.array(x) for x in zip(*nodes, strict=True)))
+    norm = max(length(n), 1e-9)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vectors = b.column("vector")
+            fine = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
+            x = np.array(vectors.take(pa.array(fine)).to_pylist(), float).reshape(len(fine), -1)
+            total = np.zeros(len(fine))
+            for column, cut, left, right, depth in forest if len(fine) else ():
+                at = np.zeros(len(fine), np.int64)
+                for _ in range(most):
+                    inner = column[at] >= 0
+                    go = x[np.arange(len(x)), np.maximum(column[at], 0)] < cut[at]
+                    at = np.where(inner, np.where(go, left[at], right[at]), at)
+                total += depth[at]
+            out = np.full(b.num_rows, np.nan)
+            out[fine] = 1 / (1 + np.exp(-(2.0 ** -(total / trees / norm) - 0.5) / scale))
+            yield pa.record_batch([*b.columns, pa.array(out, mask=np.isnan(out))], [*b.schema.names, "iso_floor"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{schema}, iso_floor double")
+
+
+def retrain(layers: dict[str, DataFrame], trees: int = 20) -> tuple[dict[str, PipelineModel], DataFrame]:
+    """Fits a scorer for each layer's examples (vector, y) and reports (layer,
+    n, trained, reason, mean_misuse, mean_legit): whether and why not, and the
+    mean calibrated figure of either class."""
+    models, rows = {}, []
+    spark = next(iter(layers.values())).sparkSession
+    for layer, data in layers.items():
+        data = settled(data.select("vector", F.col("y").cast("double").alias("y")).where("vector is not null"), "examples")
+        n = data.count()
+        model = fit_scorer(data, trees) if n else None
+        if model is None:
+            rows.append((layer, n, False, "no examples" if not n else "one class", None, None))
+            continue
+        models[layer] = model
+        mean = {r["y"]: r["m"] for r in calibrated(model, data).groupBy("y").agg(F.avg("calibrated").alias("m")).collect()}
+        rows.append((layer, n, True, None, mean.get(1.0), mean.get(0.0)))
+    return models, spark.createDataFrame(rows, "layer string, n long, trained boolean, reason string, mean_misuse double, mean_legit double")
+
+
+def learned_network_risk(features: DataFrame, seeds: DataFrame, trees: int = 20) -> DataFrame:
+    """(node, learned): a calibrated figure for every node from its hop features
+    (node and numbers), learnt from the seeds (node, label); null if they are of
+    one class. For ``combine_risk``."""
+    names = [c for c in features.columns if c != "node"]
+    rows = settled(features.select("node", F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names]).alias("vector")), "hops")
+    model = fit_scorer(rows.join(seeds.select("node", F.round("label").alias("y")), "node"), trees)
+    if model is None:
+        return rows.select("node", F.lit(None).cast("double").alias("learned"))
+    return calibrated(model, rows).select("node", F.col("calibrated").alias("learned"))

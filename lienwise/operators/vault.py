@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import settled
+
+
+def keyring(sessions: DataFrame) -> DataFrame:
+    """(session_id, key_id, key): 32 random bytes for each session, drawn once
+    and written; nothing derives a key again once its row is gone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([*b.columns, pa.array([os.urandom(32) for _ in range(b.num_rows)], pa.binary())], ["session_id", "key_id", "key"])
 
-def keyring(sessions: DataFrame, secret: str) -> DataFrame:
-    """(session_id, key_id, key): a 32-byte key derived for each session. A
-    production ring draws random keys and keeps them apart."""
-    key = F.unhex(F.sha2(F.concat_ws("|", F.lit(secret), "session_id"), 256))
-    return sessions.select("session_id").where("session_id is not null").distinct().select("session_id", F.concat(F.lit("key:"), "session_id").alias("key_id"), key.alias("key"))
+    ids = sessions.select("session_id").where("session_id is not null").distinct().select("session_id", F.concat(F.lit("key:"), "session_id").alias("key_id"))
+    return settled(ids.mapInArrow(run, "session_id string, key_id string, key binary"), "keys")
 
 
 def seal(plain: DataFrame, keys: DataFrame, nonce=None) -> DataFrame:

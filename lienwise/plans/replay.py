@@ -9,34 +9,20 @@ request of every token, and in practice nearly all of them.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import predicates
 from ..params import DEFAULT, Params
-
-_OWN: list[str] = []
-
-
-def _settled(df: DataFrame) -> DataFrame:
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="spark-"))
-        folder = _OWN[0]
-    path = f"{folder.rstrip('/')}/replay-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from ..storage import settled
+from .verdicts import decided
 
 def replay(requests: DataFrame, tokens: DataFrame, overlays: DataFrame, now: int, p: Params = DEFAULT, max_rounds: int = 50) -> DataFrame:
     """``requests`` (with seq, risk, degraded, ts) to (evaluation_id, answer,
     code). Tokens and overlays as in verdicts.resolve."""
     pre = lambda df, x: df.select("token_id", *[F.col(c).alias(x + c) for c in df.columns if c != "token_id"])
-    base = _settled(requests.join(pre(tokens, "t_"), "token_id", "left").join(pre(overlays, "o_"), "token_id", "left"))
+    base = settled(requests.join(pre(tokens, "t_"), "token_id", "left").join(pre(overlays, "o_"), "token_id", "left"), "replay")
     allowed = base.select("evaluation_id", F.lit(False).alias("allowed"))
     earlier = Window.partitionBy("token_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     same_day = Window.partitionBy("token_id", "_day").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -46,11 +32,8 @@ def replay(requests: DataFrame, tokens: DataFrame, overlays: DataFrame, now: int
         rows = base.join(allowed, "evaluation_id").withColumn("_day", (F.col("ts") / p.day_seconds).cast("long"))
         rows = rows.withColumn("b_consumed_total", F.coalesce(F.sum(spent).over(earlier), F.lit(0))).withColumn("b_consumed_today", F.coalesce(F.sum(spent).over(same_day), F.lit(0)))
         rows = rows.withColumn("nonce_spent", F.coalesce(F.max("allowed").over(same_nonce), F.lit(False)))
-        hit = predicates.cascade(F.lit(now), p)
-        loss = (F.col("risk") * F.col("amount_paise")).cast("long")
-        code = F.coalesce(hit["code"], F.when(F.col("degraded"), "STEPUP_FAILCLOSED").when((loss > p.interruption_cost) | (F.col("tool_risk") == 4), "STEPUP_RISK").otherwise("OK_ALLOW"))
-        answer = F.coalesce(hit["answer"], F.when(code == "OK_ALLOW", "ALLOW").otherwise("STEP_UP"))
-        out = _settled(rows.select("evaluation_id", answer.alias("answer"), code.alias("code"), F.col("allowed").alias("_was")))
+        verdict = decided(predicates.cascade(F.lit(now), p), S.expected_loss(F.col("risk"), F.col("amount_paise")), p)
+        out = settled(rows.withColumn("v", verdict).select("evaluation_id", "v.answer", "v.code", F.col("allowed").alias("_was")), "replay")
         if not out.where("(answer = 'ALLOW') <> _was").head(1):
             return out.drop("_was")
         allowed = out.select("evaluation_id", (F.col("answer") == "ALLOW").alias("allowed"))

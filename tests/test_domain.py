@@ -4,6 +4,7 @@ import hashlib
 import hmac
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from lienwise.operators import behaviour, blockstate, features, graph, intent, l
 from lienwise.operators import evaluate as ev
 from lienwise.operators import log as L
 from lienwise.params import Params
-from lienwise.plans import replay, scenario
+from lienwise.plans import replay, scenario, verdicts
 from lienwise.sources import connectors
 
 NOW = 1_700_000_000
@@ -221,7 +222,7 @@ def test_ledger(spark):
 
 def test_vault(spark):
     plain = spark.createDataFrame([("s1", "contact", "a", 1), ("s1", "contact", "b", 2), ("s2", "contact", "c", 1), ("s3", "contact", "", 1)], "session_id string, field string, plaintext string, seq long")
-    keys = vault.keyring(plain, "k")
+    keys = vault.keyring(plain)
     sealed = vault.seal(plain, keys)
     asked = plain.select("session_id", "field").distinct()
     status = lambda s, k: {r["session_id"]: (r["status"], r["plaintext"]) for r in vault.reveal(asked, s, k).collect()}
@@ -288,3 +289,89 @@ def test_components_of_a_long_falling_path(spark):
     assert {(r["component"], r["size"]) for r in graph.components(path).collect()} == {("token:000", 121)}
     with pytest.raises(RuntimeError):
         graph.components(path, max_rounds=2)
+
+
+def test_components_of_shuffled_paths_and_grids(spark):
+    rng = np.random.default_rng(0)
+    order = rng.permutation(1000)
+    rows = [(f"token:{order[i]:04}", f"token:{order[i + 1]:04}") for i in range(999)]
+    rows += [(f"token:g{min(a, b):03}", f"token:g{max(a, b):03}") for x in range(12) for y in range(12) for a, b in ((x * 12 + y, x * 12 + y + 1), (x * 12 + y, x * 12 + y + 12)) if b < 144 and (b - a == 12 or y < 11)]
+    path = spark.createDataFrame([(min(a, b), max(a, b), 0) for a, b in rows], "a string, b string, ts long").repartition(4)
+    assert {(r["component"], r["size"]) for r in graph.components(path).collect()} == {("token:0000", 1000), ("token:g000", 144)}
+
+
+@pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 200])
+def test_hmac_of_keys_of_any_length(spark, size):
+    key, text = bytes(range(256))[:size], "message"
+    mac = hmac.new(key, text.encode(), hashlib.sha256).hexdigest()
+    got = spark.range(1).select(S.hmac_sha256(F.lit(key), F.lit(text)), S.hmac_verify(F.lit(key), F.lit(text), F.lit(mac.upper())), S.hmac_verify(F.lit(key), F.lit("other"), F.lit(mac))).first()
+    assert tuple(got) == (mac, True, False)
+
+
+def test_hmac_query_over_its_whole_table(spark):
+    from lienwise import catalog
+
+    sf = "/root/testdata/sf0.001"
+    tokens = {r["event_id"]: r["token_id"] for r in catalog.T.bus(spark, sf).select("event_id", "token_id").collect()}
+    got = {r["event_id"]: r["mac"] for r in catalog.fn_hmac(spark, sf).collect()}
+    assert got == {e: hmac.new(t.encode(), e.encode(), hashlib.sha256).hexdigest() for e, t in tokens.items()}
+
+
+def test_vault_keys_are_random(spark):
+    sessions = spark.createDataFrame([("s1",), ("s2",), (None,)], "session_id string")
+    a, b = ({r["session_id"]: bytes(r["key"]) for r in vault.keyring(sessions).collect()} for _ in range(2))
+    assert set(a) == {"s1", "s2"} and all(len(k) == 32 for k in a.values()) and len({*a.values(), *b.values()}) == 4
+    ring = vault.keyring(sessions)
+    assert sorted(map(tuple, ring.collect())) == sorted(map(tuple, ring.collect()))
+
+
+def test_chains_by_token_are_verified_on_their_own(spark):
+    rows = spark.createDataFrame([(i, f"t{i % 2}", f"e{i}", "r", "ALLOW", "OK", None, "", 1, i) for i in range(8)], RECORD)
+    chain = ledger.append_by_token(rows)
+    assert ledger.verify(chain, "token_id").count() == 0
+    bad = chain.withColumn("code", F.when(F.col("seq") == 2, "X").otherwise(F.col("code")))
+    assert [tuple(r) for r in ledger.verify(bad, "token_id").collect()] == [(2, False, True)]
+    assert {(r["token_id"], r["seq"], r["n"]) for r in ledger.heads(chain).collect()} == {("t0", 6, 4), ("t1", 7, 4)}
+
+
+def test_provenance_round_trip(spark):
+    records = spark.createDataFrame([(1, "t1", "e1", "r", "ALLOW", "OK", "", "", 1, 5)], RECORD)
+    events = spark.createDataFrame([(1, "e1", "decision.made", "t1", 5), (9, "e1", "decision.made", "t1", 6), (2, "e2", "payment.captured", "t1", 7)], "seq long, evaluation_id string, type string, token_id string, occurred_at long")
+    told = verdicts.with_provenance(events, records)
+    assert told.where("seq = 1").first()["provenance"]["predicate_failed"] is None
+    assert [r.asDict() for r in verdicts.records_of(told).select(records.columns).collect()] == [records.first().asDict()]
+
+
+def test_a_scorer_can_be_put_in(spark):
+    from lienwise import catalog
+
+    sf = "/root/testdata/sf0.001"
+    none = verdicts.evaluate(*catalog._inputs(spark, sf), catalog.T.NOW, catalog.LIVE, scorer=lambda p: F.lit(0.0))
+    sure = verdicts.evaluate(*catalog._inputs(spark, sf), catalog.T.NOW, catalog.LIVE, scorer=lambda p: F.lit(1.0))
+    assert none.count() > 100 and none.where("loss <> 0").count() == 0 and sure.where("loss <> amount_paise").count() == 0
+    allowed = [df.where("answer = 'ALLOW'").count() for df in (none, sure)]
+    assert allowed[0] >= allowed[1]
+
+
+def test_features_give_the_same_evidence_however_they_are_joined(spark, monkeypatch):
+    from lienwise import catalog
+
+    sf = "/root/testdata/sf0.001"
+    r, *_, f = catalog._inputs(spark, sf)
+    cols = ("evaluation_id", "e_behaviour_deviation", "e_network_risk", "e_intent_divergence", "e_reputation", "missing", "stale", "degraded")
+    rows = lambda: sorted(map(repr, features.with_features(r, f, catalog.T.NOW).select(*cols).collect()))
+    few = rows()
+    monkeypatch.setattr(features, "BROADCAST_ROWS", 0)
+    assert rows() == few
+
+
+def test_retraining_trains_where_it_can(spark):
+    rows = spark.createDataFrame([([float(i % 7), float(i)], float(i > 20)) for i in range(60)], "vector array<double>, y double")
+    models, report = training.retrain({"one": rows, "two": rows.where("y = 0"), "three": rows.limit(0)}, trees=3)
+    got = {r["layer"]: r for r in report.collect()}
+    assert set(models) == {"one"} and got["one"]["trained"] and got["one"]["mean_misuse"] > got["one"]["mean_legit"]
+    assert (got["two"]["reason"], got["three"]["reason"], got["three"]["n"]) == ("one class", "no examples", 0)
+    hops = rows.selectExpr("concat('token:', cast(vector[1] as int)) node", "vector[0] f0", "vector[1] f1")
+    seeds = hops.where("f1 % 2 = 0").select("node", (F.col("f1") > 20).cast("double").alias("label"))
+    learned = {r["node"]: r["learned"] for r in training.learned_network_risk(hops, seeds, trees=5).collect()}
+    assert len(learned) == 60 and learned["token:51"] > learned["token:3"]

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lienwise.operators import blockstate, features, labels, reputation
+from lienwise.operators import behaviour, blockstate, features, graph, intent, labels, reputation
 from lienwise.operators import log as L
 from lienwise.sources import connectors
 from lienwise.streaming import folds
@@ -53,3 +53,30 @@ def test_dedupe_and_feature_sink(spark, parts):
     q.awaitTermination()
     got = {tuple(r) for r in folds.current_features(spark, f"{base}/table", q.lastProgress["batchId"]).collect()}
     assert got == {tuple(r) for r in features.merge_deposits(dep).collect()}
+
+
+def test_engines_equal_batch(spark, parts):
+    log, base = parts
+    stream = connectors.read_stream(spark, f"{base}/log", log.schema)
+    who = lambda df: df.where("type in ('decision.made', 'payment.captured')").withColumn("principal", F.col("token_id"))
+    got = run(spark, folds.behaviour_deposits(who(stream)), "behaviour", base)
+    want = behaviour.deviations(behaviour.signals(who(log)))
+    rows = lambda df, *c: sorted((r[0], r[1], round(r[2], 9)) for r in df.select(*c).collect())
+    assert rows(got, "seq", "key", "behaviour_deviation") == rows(want, "seq", "principal", "deviation")
+    sealed = lambda df: df.withColumn("sealed", F.col("type").startswith("token")).withColumn("session_id", F.col("token_id"))
+    got = run(spark, folds.latest_envelopes(sealed(stream), ["k", "device_id"]), "intent", base)
+    want = intent.latest_envelope(sealed(log), ["k", "device_id"])
+    cols = ("seq", "env_k", "env_device_id")
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+
+
+def test_graph_ticks_equal_batch(spark, parts):
+    log, base = parts
+    q = connectors.read_stream(spark, f"{base}/log", log.schema).writeStream.foreachBatch(folds.graph_ticks(f"{base}/graph", every=500)).option("checkpointLocation", f"{base}/c-graph").trigger(availableNow=True).start()
+    q.awaitTermination()
+    found = spark.read.parquet(f"{base}/graph/deposits")
+    assert {r["batch"] for r in found.select("batch").distinct().collect()} == {1}  # 334 events a batch: the second one ticks
+    seen = log.where("seq < 668")
+    want = graph.network_risk(graph.edges(seen), graph.dispute_seeds(seen))
+    rows = lambda df, c: {r["key"]: round(r[c], 9) for r in df.collect()}
+    assert rows(found, "network_risk") == rows(want, "risk")

@@ -1,35 +1,13 @@
-"""Where intermediate tables live: the shared folder that the cluster names in
-``spark.checkpoint.dir``."""
+"""Intermediate and source tables of the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import settled as written
 
-_OWN: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset, as in local tests, a
-    new local folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="spark-"))
-        folder = _OWN[0]
-    return folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a table in the shared folder: its lineage ends there, and a
-    lost executor costs no more than a reread."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["beside", "by_id", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

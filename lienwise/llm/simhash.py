@@ -186,18 +186,20 @@ def _lightest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.nd
         label = _joined(label, [(a[ids[pick]], b[ids[pick]])])
 
 
-def _candidates(rows: pa.Table, budget: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _candidates(rows: pa.Table, budget: int, limit: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of nodes of some sub-tries, both within the budget and with
-    sketches that differ in ``limit`` or fewer bits: those between different
-    groups if rows have a group, else a spanning forest, nearest sketches first."""
+    sketches that differ in ``limit`` or fewer bits, and of sizes that allow the
+    similarity: those between different groups if rows have a group, else a
+    spanning forest, nearest sketches first."""
     order, fp, bucket = _sorted(rows)
     unique, own = np.unique(rows["node"].to_numpy()[order], return_inverse=True)
     sketch = np.stack([rows[c].to_numpy().view(np.uint64)[order] for c in SKETCH])
     group = rows["group"].to_numpy()[order] if "group" in rows.column_names else None
+    size = rows["size"].to_numpy()[order].astype(np.float64)
     kept, waiting, held = [np.zeros(0, np.int64)] * 3, [], 0
     for i, j in trie_links(fp, bucket, budget):
         away = np.bitwise_count(sketch[:, i] ^ sketch[:, j]).astype(np.int64).sum(0)
-        near = (away <= limit) & (own[i] != own[j])
+        near = (away <= limit) & (own[i] != own[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
         if group is not None:
             near &= group[i] != group[j]
         i, j, away = own[i[near]], own[j[near]], away[near]
@@ -348,7 +350,7 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 
 def _sketches(docs: DataFrame, k: int, tables: int) -> DataFrame:
-    """(i, node, fps, bands, s0 to s3): a hash of the set of ``k``-word shingles,
+    """(i, node, size, fps, bands, s0 to s3): a hash of the set of ``k``-word shingles, its size,
     ``tables`` fingerprints of the distinct words, bands of minima of the
     shingles, and 256 bits of the distinct shingles, each under hashes of its own."""
 
@@ -363,10 +365,10 @@ def _sketches(docs: DataFrame, k: int, tables: int) -> DataFrame:
             fps = W.majority(salted(distinct, tables), ptr)
             runs, at = _distinct(*W.shingles(h, words.ptr, k))
             sketch = W.majority(salted(runs, len(SKETCH)), at)
-            yield pa.record_batch([b.column("i"), pa.array(_set_digest(runs, at).view(np.int64)), _lists(fps), _lists(_bands(runs, at)), *(pa.array(np.ascontiguousarray(sketch[:, c]).view(np.int64)) for c in range(len(SKETCH)))], ["i", "node", "fps", "bands", *SKETCH])
+            yield pa.record_batch([b.column("i"), pa.array(_set_digest(runs, at).view(np.int64)), pa.array(np.diff(at)), _lists(fps), _lists(_bands(runs, at)), *(pa.array(np.ascontiguousarray(sketch[:, c]).view(np.int64)) for c in range(len(SKETCH)))], ["i", "node", "size", "fps", "bands", *SKETCH])
 
     kind = docs.schema["i"].dataType.simpleString()
-    return docs.mapInArrow(run, f"i {kind}, node long, fps array<long>, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
+    return docs.mapInArrow(run, f"i {kind}, node long, size long, fps array<long>, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -393,7 +395,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, simi
     return written(both.select("a", "b", sure.alias("same")).distinct(), "verified")
 
 
-def similar_documents(docs: DataFrame, k: int = 5, tables: int = 5, budget: int = 4, limit: int = 72, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+def similar_documents(docs: DataFrame, k: int = 5, tables: int = 5, budget: int = 4, limit: int = 60, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """``(id_col, component_id)``: groups of documents that chains of pairs join
     whose sets of ``k``-word shingles are ``similarity`` or more alike in
     Jaccard's measure; every such link is checked over the sets themselves.
@@ -401,14 +403,15 @@ def similar_documents(docs: DataFrame, k: int = 5, tables: int = 5, budget: int
     Candidates differ in ``budget`` or fewer bits in one of ``tables``
     fingerprints of the distinct words, found by the trie join, or agree in one
     band of minima of their shingles; their 256-bit shingle SimHashes differ in
-    ``limit`` bits or fewer (a similarity of 0.8 gives 39 on average). Spanning
+    ``limit`` bits or fewer (a similarity of 0.8 gives 39 on average, with a
+    deviation of 5.7) and their sizes allow the similarity. Spanning
     forests of the candidates are checked first; where one of their links
     fails, all candidates between the groups so far are checked. Texts without
     words are copies of each other. Rows without an id are left out; the
     smallest id names a group."""
 
     def pairs(nodes: DataFrame, name: str) -> DataFrame:
-        more = [*SKETCH, *(["group"] if "group" in nodes.columns else [])]
+        more = ["size", *SKETCH, *(["group"] if "group" in nodes.columns else [])]
         tries = sub_tries(nodes.select(F.posexplode("fps").alias("table", "fp"), "node", *more), budget, hot)
         bands = nodes.select((F.posexplode("bands")).alias("table", "fp"), "node", *more)
         bands = bands.select((F.col("table") + tables).alias("table"), "fp", "node", *more, F.lit(-1).cast("long").alias("mask"), F.col("fp").alias("part"))
@@ -416,7 +419,7 @@ def similar_documents(docs: DataFrame, k: int = 5, tables: int = 5, budget: int
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = list(batches)
             if held:
-                for a, b in _candidates(pa.Table.from_batches(held), budget, limit):
+                for a, b in _candidates(pa.Table.from_batches(held), budget, limit, similarity):
                     yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
         rows = tries.unionByName(bands).repartition("table", "mask", "part")
@@ -424,7 +427,7 @@ def similar_documents(docs: DataFrame, k: int = 5, tables: int = 5, budget: int
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     own = written(_sketches(texts, k, tables), "sketches")
-    nodes = written(own.groupBy("node").agg(F.min("i").alias("low"), *(F.first(c).alias(c) for c in ("fps", "bands", *SKETCH))), "nodes")
+    nodes = written(own.groupBy("node").agg(F.min("i").alias("low"), *(F.first(c).alias(c) for c in ("size", "fps", "bands", *SKETCH))), "nodes")
     first = _verified(pairs(nodes, "forest"), nodes, texts, k, similarity)
     links = first.where("same").select("a", "b")
     failed = first.where("not same").select("a", "b")

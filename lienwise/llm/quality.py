@@ -30,6 +30,8 @@ DIMENSIONS = (1 << WORD_BITS) + (1 << PIECE_BITS) + (1 << SHAPE_BITS) + 1
 GRADES = 3
 #: A feature counts in the fit from so many sampled documents.
 LEAST_DOCUMENTS = 3
+#: Rows of a block of the fit's sums.
+BLOCK = 512
 
 _CORE = np.zeros(256, bool)
 _CORE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -112,15 +114,23 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - z[:, None], -60, 60)))
 
 
+def _rows(ptr: np.ndarray, a: int, b: int) -> np.ndarray:
+    """The row of each feature of rows ``a`` to ``b``, counted from ``a``."""
+    return np.repeat(np.arange(b - a), np.diff(ptr[a : b + 1]))
+
+
 def fit(ptr: np.ndarray, dim: np.ndarray, value: np.ndarray, grade: np.ndarray, penalty: float = 0.02, rounds: int = 80) -> Ordinal:
-    """Penalised maximum likelihood by limited-memory BFGS."""
+    """Penalised maximum likelihood by limited-memory BFGS; the features, which
+    are on the driver, are read in blocks of rows, so that sums need little
+    memory beside them."""
     if len(np.unique(grade)) < 2:
         return Ordinal(np.zeros(DIMENSIONS), np.zeros(0))
-    n, row = len(grade), np.repeat(np.arange(len(grade)), np.diff(ptr))
-    common = np.bincount(dim, minlength=DIMENSIONS)[dim] >= min(LEAST_DOCUMENTS, n)
-    row, dim, value = row[common], dim[common], value[common]
-    used, dim = np.unique(dim, return_inverse=True)
-    size = len(used)
+    n = len(grade)
+    often = np.bincount(dim, minlength=DIMENSIONS) >= min(LEAST_DOCUMENTS, n)
+    used, place, keep = np.flatnonzero(often), np.cumsum(often, dtype=np.int32) - 1, often[dim]
+    ptr = np.concatenate([[0], np.cumsum(keep)])[ptr]
+    dim, value, size = place[dim[keep]], value[keep].astype(np.float32), len(used)
+    cuts = list(zip(range(0, n, BLOCK), [*range(BLOCK, n, BLOCK), n], strict=True))
     share = np.clip([np.mean(grade <= k) for k in range(GRADES - 1)], 1e-4, 1 - 1e-4)
     start = np.log(share / (1 - share))
     x = np.concatenate([np.zeros(size), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
@@ -128,14 +138,16 @@ def fit(ptr: np.ndarray, dim: np.ndarray, value: np.ndarray, grade: np.ndarray,
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         w, gaps = x[:size], np.exp(np.minimum(x[size + 1 :], 30))
         cut = np.concatenate([[-np.inf], x[size] + np.concatenate([[0], np.cumsum(gaps)]), [np.inf]])
-        z = np.bincount(row, w[dim] * value, minlength=n)
+        z = np.concatenate([np.bincount(_rows(ptr, a, b), w[dim[ptr[a] : ptr[b]]] * value[ptr[a] : ptr[b]], minlength=b - a) for a, b in cuts])
         s = 1 / (1 + np.exp(np.clip(z[:, None] - cut[None, :], -60, 60)))
         s[:, 0], s[:, -1] = 0, 1
         upper, lower = s[np.arange(n), grade + 1], s[np.arange(n), grade]
         p = np.maximum(upper - lower, 1e-12)
         du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
         g = np.zeros_like(x)
-        g[:size] = np.bincount(dim, value * (du - dl)[row], minlength=size) + penalty * w
+        g[:size] = penalty * w
+        for a, b in cuts:
+            g[:size] += np.bincount(dim[ptr[a] : ptr[b]], value[ptr[a] : ptr[b]] * (du - dl)[a:b][_rows(ptr, a, b)], minlength=size)
         by_cut = -np.bincount(grade + 1, du, minlength=GRADES + 1) + np.bincount(grade, dl, minlength=GRADES + 1)
         g[size] = by_cut[1:GRADES].sum()
         g[size + 1 :] = gaps * np.cumsum(by_cut[1:GRADES][::-1])[::-1][1:]
@@ -198,7 +210,7 @@ def train(docs: DataFrame, rated: DataFrame, sample: int = SAMPLE, penalty: floa
         return Ordinal(np.zeros(DIMENSIONS), np.zeros(0))
     lists = got["dim"].combine_chunks()
     ptr = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    return fit(ptr, lists.flatten().to_numpy().astype(np.int64), got["value"].combine_chunks().flatten().to_numpy().astype(np.float64), got["grade"].to_numpy().astype(np.int64), penalty)
+    return fit(ptr, lists.flatten().to_numpy(), got["value"].combine_chunks().flatten().to_numpy(), got["grade"].to_numpy().astype(np.int64), penalty)
 
 
 def score(docs: DataFrame, model: Ordinal, text_col: str = "text", names: tuple[str, str] = ("expected_grade", "top_probability")) -> DataFrame:

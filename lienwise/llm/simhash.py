@@ -29,7 +29,11 @@ HOT = 1024
 COMMON = 1 << 12
 #: Two nodes with so few pairs of fingerprints are leaves: their pairs are compared at once.
 LEAF = 1024
-SKETCH = ("s0", "s1", "s2", "s3")
+SKETCH = tuple(f"s{n}" for n in range(4))
+#: Words of the sharper sketch of nodes whose group is open after the first check.
+WIDE = tuple(f"s{n}" for n in range(16))
+#: Sets below so many shingles differ in up to 0.19 of the bits, not 0.16, at a similarity of 0.8.
+FEW = 10
 #: Sets of similarity 0.8 agree in one of so many bands of so many minima but once in 2800.
 BANDS, BAND_ROWS = 20, 5
 FRONTIER = 1 << 18
@@ -186,25 +190,35 @@ def _lightest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.nd
         label = _joined(label, [(a[ids[pick]], b[ids[pick]])])
 
 
+def _near_sizes(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    return np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
+
+
 def _candidates(rows: pa.Table, budget: int, limit: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of nodes of some sub-tries, both within the budget and with
-    sketches that differ in ``limit`` or fewer bits, and of sizes that allow the
-    similarity: those between different groups if rows have a group, else a
-    spanning forest, nearest sketches first."""
+    sketches that differ in ``limit`` or fewer bits (more for sets of few
+    shingles), and of sizes that allow the similarity: those between different
+    groups if rows have a group, else a spanning forest, nearest sketches first."""
     order, fp, bucket = _sorted(rows)
     unique, own = np.unique(rows["node"].to_numpy()[order], return_inverse=True)
-    sketch = np.stack([rows[c].to_numpy().view(np.uint64)[order] for c in SKETCH])
+    sketch = [rows[c].to_numpy().view(np.uint64)[order] for c in WIDE if c in rows.column_names]
     group = rows["group"].to_numpy()[order] if "group" in rows.column_names else None
     size = rows["size"].to_numpy()[order].astype(np.float64)
+    most = np.where(size < FEW, limit + 64 * len(sketch) // 25, limit)
     kept, waiting, held = [np.zeros(0, np.int64)] * 3, [], 0
     for i, j in trie_links(fp, bucket, budget):
-        away = np.bitwise_count(sketch[:, i] ^ sketch[:, j]).astype(np.int64).sum(0)
-        near = (away <= limit) & (own[i] != own[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+        able = (own[i] != own[j]) & _near_sizes(size[i], size[j], similarity)
         if group is not None:
-            near &= group[i] != group[j]
+            able &= group[i] != group[j]
+        i, j = i[able], j[able]
+        away = np.zeros(len(i), np.int64)
+        for word in sketch:
+            away += np.bitwise_count(word[i] ^ word[j])
+        near = away <= np.maximum(most[i], most[j])
         i, j, away = own[i[near]], own[j[near]], away[near]
         if group is not None:
-            yield unique[np.minimum(i, j)], unique[np.maximum(i, j)]
+            both = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
+            yield unique[both[0]], unique[both[1]]
             continue
         waiting.append((i, j, away))
         held += len(i)
@@ -349,22 +363,23 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(values.ravel().view(np.int64)))
 
 
+def _salted(h: np.ndarray, n: int) -> np.ndarray:
+    return W.mix(h[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _sketches(docs: DataFrame, k: int, tables: int) -> DataFrame:
     """(i, node, size, fps, bands, s0 to s3): a hash of the set of ``k``-word shingles, its size,
     ``tables`` fingerprints of the distinct words, bands of minima of the
     shingles, and 256 bits of the distinct shingles, each under hashes of its own."""
 
-    def salted(h: np.ndarray, n: int) -> np.ndarray:
-        return W.mix(h[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.pieces(batches, "t", W.CHUNK_BYTES // 2):
             words = W.split_words(b.column("t"))
             h = words.hashes()
             distinct, ptr = _distinct(h, words.ptr)
-            fps = W.majority(salted(distinct, tables), ptr)
+            fps = W.majority(_salted(distinct, tables), ptr)
             runs, at = _distinct(*W.shingles(h, words.ptr, k))
-            sketch = W.majority(salted(runs, len(SKETCH)), at)
+            sketch = W.majority(_salted(runs, len(SKETCH)), at)
             yield pa.record_batch([b.column("i"), pa.array(_set_digest(runs, at).view(np.int64)), pa.array(np.diff(at)), _lists(fps), _lists(_bands(runs, at)), *(pa.array(np.ascontiguousarray(sketch[:, c]).view(np.int64)) for c in range(len(SKETCH)))], ["i", "node", "size", "fps", "bands", *SKETCH])
 
     kind = docs.schema["i"].dataType.simpleString()
@@ -383,19 +398,38 @@ def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, set array<long>")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """``pairs`` (a, b) with whether their shingle sets are ``similarity`` or
-    more alike in Jaccard's measure."""
+def _sets_of(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The shingle sets of the nodes of ``pairs`` (a, b), written."""
     ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
     some = nodes.join(beside(ends), "node", "left_semi").select(F.col("low").alias("i"))
-    sets = written(_shingle_sets(by_id(texts, some, "i", "left_semi"), k), "sets")
+    return written(_shingle_sets(by_id(texts, some, "i", "left_semi"), k), "sets")
+
+
+def _wide(sets: DataFrame) -> DataFrame:
+    """(node, s0 to s15): 1024 bits of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                lists = b.column("set")
+                ptr = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+                bits = W.majority(_salted(lists.flatten().to_numpy().view(np.uint64), len(WIDE)), ptr)
+                yield pa.record_batch([b.column("node"), *(pa.array(np.ascontiguousarray(bits[:, c]).view(np.int64)) for c in range(len(WIDE)))], ["node", *WIDE])
+
+    return sets.mapInArrow(run, "node long, " + ", ".join(f"{c} long" for c in WIDE))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` (a, b) with whether their shingle sets are ``similarity`` or
+    more alike in Jaccard's measure."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     sure = common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - 1e-9
     return written(both.select("a", "b", sure.alias("same")).distinct(), "verified")
 
 
-def similar_documents(docs: DataFrame, k: int = 5, tables: int = 5, budget: int = 4, limit: int = 60, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+def similar_documents(docs: DataFrame, k: int = 5, tables: int = 5, budget: int = 4, limit: int = 60, wide_limit: int = 206, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """``(id_col, component_id)``: groups of documents that chains of pairs join
     whose sets of ``k``-word shingles are ``similarity`` or more alike in
     Jaccard's measure; every such link is checked over the sets themselves.
@@ -406,12 +440,14 @@ def similar_documents(docs: DataFrame, k: int = 5, tables: int = 5, budget: int
     ``limit`` bits or fewer (a similarity of 0.8 gives 39 on average, with a
     deviation of 5.7) and their sizes allow the similarity. Spanning
     forests of the candidates are checked first; where one of their links
-    fails, all candidates between the groups so far are checked. Texts without
+    fails, all candidates between the groups so far are checked whose 1024-bit
+    SimHashes, made of the same sets, differ in ``wide_limit`` bits or fewer
+    (156 on average, deviation 11.5). Texts without
     words are copies of each other. Rows without an id are left out; the
     smallest id names a group."""
 
-    def pairs(nodes: DataFrame, name: str) -> DataFrame:
-        more = ["size", *SKETCH, *(["group"] if "group" in nodes.columns else [])]
+    def pairs(nodes: DataFrame, limit: int, name: str) -> DataFrame:
+        more = [c for c in ("size", *WIDE, "group") if c in nodes.columns]
         tries = sub_tries(nodes.select(F.posexplode("fps").alias("table", "fp"), "node", *more), budget, hot)
         bands = nodes.select((F.posexplode("bands")).alias("table", "fp"), "node", *more)
         bands = bands.select((F.col("table") + tables).alias("table"), "fp", "node", *more, F.lit(-1).cast("long").alias("mask"), F.col("fp").alias("part"))
@@ -428,7 +464,9 @@ def similar_documents(docs: DataFrame, k: int = 5, tables: int = 5, budget: int
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     own = written(_sketches(texts, k, tables), "sketches")
     nodes = written(own.groupBy("node").agg(F.min("i").alias("low"), *(F.first(c).alias(c) for c in ("size", "fps", "bands", *SKETCH))), "nodes")
-    first = _verified(pairs(nodes, "forest"), nodes, texts, k, similarity)
+    forest = pairs(nodes, limit, "forest")
+    sets = _sets_of(forest, nodes, texts, k)
+    first = _verified(forest, sets, similarity)
     links = first.where("same").select("a", "b")
     failed = first.where("not same").select("a", "b")
     if failed.head(1):
@@ -436,8 +474,9 @@ def similar_documents(docs: DataFrame, k: int = 5, tables: int = 5, budget: int
         open_roots = failed.join(roots, F.col("a") == F.col("node")).select("root").distinct()
         sure = components(links).select("node", F.col("root").alias("group"))
         open_nodes = written(roots.join(open_roots, "root", "left_semi").join(sure, "node", "left").select("node", F.coalesce("group", "node").alias("group")), "open")
-        rest = pairs(written(nodes.join(beside(open_nodes), "node"), "open-nodes"), "crossing").join(failed, ["a", "b"], "left_anti")
-        links = links.unionByName(_verified(written(rest, "rest"), nodes, texts, k, similarity).where("same").select("a", "b"))
+        sharp = _wide(sets.join(beside(open_nodes), "node").select("node", "set"))
+        rest = pairs(written(nodes.drop(*SKETCH).join(beside(open_nodes), "node").join(sharp, "node"), "open-nodes"), wide_limit, "crossing")
+        links = links.unionByName(_verified(rest.join(failed, ["a", "b"], "left_anti"), sets, similarity).where("same").select("a", "b"))
     roots = written(components(written(links, "links")), "roots")
     placed = written(nodes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "placed")
     lows = placed.groupBy("root").agg(F.min("low").cast("long").alias("component_id"))

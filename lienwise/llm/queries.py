@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_model, licenses, packing, quality, recompression, simhash, topk, wrapper
+from . import alignment, chat, decontaminate, language_model, licenses, packing, quality, recompression, simhash, topk, wrapper
 from .storage import table, written
 
 
@@ -68,6 +68,12 @@ def op10_conditional_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_notices(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.link_figures(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    return out.select(F.col("doc_id").cast("long"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wrapper_induction": op1_wrapper_induction,
     "op2_simhash_windows": op2_simhash_windows,
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ordinal_quality": op8_ordinal_quality,
     "op9_reply_trees": op9_reply_trees,
     "op10_conditional_compression": op10_conditional_compression,
+    "op11_cross_tokenizer": op11_cross_tokenizer,
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"

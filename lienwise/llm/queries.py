@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontaminate, language_model, licenses, packing, quality, recompression, simhash, topk, wrapper
+from . import alignment, chat, decontaminate, language_model, licenses, packing, quality, recompression, simhash, topk, transducer, wrapper
 from .storage import table, written
 
 
@@ -74,6 +74,12 @@ def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc_id").cast("long"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
 
 
+def op12_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = transducer.encoded(table(spark, sf_dir, "documents"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select(F.col("doc_id").cast("long"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wrapper_induction": op1_wrapper_induction,
     "op2_simhash_windows": op2_simhash_windows,
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_reply_trees": op9_reply_trees,
     "op10_conditional_compression": op10_conditional_compression,
     "op11_cross_tokenizer": op11_cross_tokenizer,
+    "op12_transducer_bpe": op12_transducer_bpe,
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"

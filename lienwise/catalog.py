@@ -320,20 +320,18 @@ vel AS (SELECT principal, rn, seq, gap AS e, CAST(0 AS DOUBLE) AS speed FROM gap
 
 @query("SELECT principal, round(mean, 3) AS ewma_mean, round(mad, 3) AS ewma_mad FROM fold QUALIFY row_number() OVER (PARTITION BY principal ORDER BY rn DESC) = 1", _EWMA, True)
 def win_ewma(spark, d):
-    return behaviour.ewma(_observed(spark, d).where("amount_paise > 0")).select("principal", F.round("ewma_mean", 3).alias("ewma_mean"), F.round("ewma_mad", 3).alias("ewma_mad"))
+    return behaviour.ewma(_observed(spark, d)).select("principal", F.round("ewma_mean", 3).alias("ewma_mean"), F.round("ewma_mad", 3).alias("ewma_mad"))
 
 
 @query("SELECT principal, seq, CASE WHEN z > 1000 THEN 1000.0 ELSE round(z, 4) END AS z FROM fold", _EWMA, True)
 def win_amount_z(spark, d):
     z = F.when(F.col("z") > 1000, 1000.0).otherwise(F.round("z", 4))
-    return behaviour.signals(_observed(spark, d)).join(_observed(spark, d).where("amount_paise > 0").select("seq"), "seq", "left_semi").select("principal", "seq", z.alias("z"))
+    return behaviour.amounts(_observed(spark, d)).select("principal", "seq", z.alias("z"))
 
 
 @query("SELECT principal, seq, round(CASE WHEN speed > 0 THEN 1 - exp(-speed / 0.5) ELSE 0 END, 6) AS velocity FROM vel", _EWMA, True)
 def win_velocity(spark, d):
-    rows = behaviour.deviations(behaviour.signals(_observed(spark, d)))
-    first = Window.partitionBy("principal").orderBy("seq")
-    return rows.withColumn("_n", F.row_number().over(first)).where("_n > 1").select("principal", "seq", r6("d_velocity", "velocity"))
+    return behaviour.gaps(_observed(spark, d)).select("principal", "seq", r6("d_velocity", "velocity"))
 
 
 _NOV = """

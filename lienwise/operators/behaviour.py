@@ -1,8 +1,9 @@
 """Behavioural baselines per principal, folded in arrival order.
 
-The recursive parts (moving averages, the five-marker quantile) need the rows of
-a principal in order; the fold runs over sorted partitions and carries one
-principal's state from batch to batch, so no principal is gathered whole.
+Moving averages, places and gaps are scans (``amounts``, ``gaps``, ``novelty``) in
+which a principal of very many events is shared among tasks. The five-marker
+quantile can't be put together from parts: ``signals`` folds it, with all else,
+over sorted partitions and carries one principal's state from batch to batch.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..params import DEFAULT, Params
+from ..storage import settled
+from . import scan
 
 
 class MarkerQuantile:
@@ -135,27 +138,52 @@ def deviations(found: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return squashed.withColumn("deviation", S.noisy_or(*parts)).withColumn("vector", F.array(*parts, F.log1p("n_after"), F.log1p("merchants")))
 
 
-def novelty(log: DataFrame) -> DataFrame:
-    """Merchant novelty by windows alone: exact counts before each event."""
-    before = Window.partitionBy("principal").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    same = Window.partitionBy("principal", "merchant_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return log.withColumn("novelty", F.greatest(F.lit(0.0), 1 - F.count(F.lit(1)).over(same) / (F.count(F.lit(1)).over(before) + 1)))
-
-
-def ewma(log: DataFrame, value: str = "amount_paise", key: str = "principal", p: Params = DEFAULT) -> DataFrame:
-    """Final moving mean and mean absolute deviation by a higher-order fold;
-    for short histories, as it gathers a key's values in an array."""
-    x = F.aggregate(
-        F.col("xs"),
-        F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("mad")),
-        lambda s, v: F.struct(
-            (s["n"] + 1).alias("n"),
-            F.when(s["n"] == 0, v["x"]).otherwise(s["mean"] + p.ewma_alpha * (v["x"] - s["mean"])).alias("mean"),
-            F.when(s["n"] == 0, F.lit(0.0)).otherwise(s["mad"] + p.ewma_alpha * (F.abs(v["x"] - s["mean"]) - s["mad"])).alias("mad"),
-        ),
-    )
-    rows = log.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", F.col(value).cast("double").alias("x")))).alias("xs"))
-    return rows.select(key, x.alias("s")).select(key, F.col("s.mean").alias("ewma_mean"), F.col("s.mad").alias("ewma_mad"))
+def novelty(log: DataFrame, **dealing) -> DataFrame:
+    """Merchant novelty: exact counts before each event, by places in the order
+    of the principal and of the principal at that merchant. Principals and pairs
+    with a large share of all events are numbered in ranges."""
+    rows = scan.numbered(log, ["principal"], "seq", **dealing).withColumnRenamed("_n", "_all")
+    rows = scan.numbered(settled(rows, "novelty"), ["principal", "merchant_id"], "seq", **dealing)
+    return rows.withColumn("novelty", F.greatest(F.lit(0.0), 1 - F.col("_n") / (F.col("_all") + 1))).drop("_n", "_all")
+
+
+def amounts(log: DataFrame, p: Params = DEFAULT, block: int | None = None, **dealing) -> DataFrame:
+    """Each event of a positive amount with z, its distance from the moving mean
+    before it in moving deviations (0 for a principal's first), n_amount, the
+    amounts before it, and the ewma_mean and ewma_mad after it.
+
+    Two affine scans: the deviation is one over the distances that the first
+    gives. Amounts are taken relative to the principal's first one, so that a
+    constant amount has exactly no deviation."""
+    rows = log.where(F.col("amount_paise") > 0).withColumn("_x", F.col("amount_paise").cast("double"))
+    rows = settled(scan.numbered(rows, ["principal"], "seq", first={"_x0": F.col("_x")}, **dealing), "amounts")
+    rows = scan.decayed(rows, ["principal"], p.ewma_alpha * (F.col("_x") - F.col("_x0")), 1 - p.ewma_alpha, "_mean", "_mean_before", block)
+    rows = rows.withColumn("_off", F.abs(F.col("_x") - F.col("_x0") - F.col("_mean_before")))
+    rows = scan.decayed(rows, ["principal"], p.ewma_alpha * F.col("_off"), 1 - p.ewma_alpha, "ewma_mad", "_mad_before", block)
+    z = F.when(F.col("_n") > 0, F.col("_off") / (p.mad_to_sigma * F.col("_mad_before") + p.epsilon)).otherwise(0.0)
+    out = rows.withColumn("z", z).withColumn("ewma_mean", F.col("_mean") + F.col("_x0")).withColumnRenamed("_n", "n_amount")
+    return out.drop("_x", "_x0", "_mean", "_mean_before", "_off", "_mad_before")
+
+
+def ewma(log: DataFrame, p: Params = DEFAULT, block: int | None = None, **dealing) -> DataFrame:
+    """(principal, ewma_mean, ewma_mad) after the last positive amount."""
+    last = amounts(log, p, block, **dealing).groupBy("principal").agg(F.max_by(F.struct("ewma_mean", "ewma_mad"), "seq").alias("s"))
+    return last.select("principal", "s.*")
+
+
+def gaps(log: DataFrame, p: Params = DEFAULT, block: int | None = None, **dealing) -> DataFrame:
+    """Each event with a time, with speed, by how much its gap is shorter than
+    the moving mean of the gaps before, n_gap, the gaps before it, and d_velocity,
+    the speed squashed. The first event has no gap, the second no mean."""
+    rows = log.where(F.col("occurred_at") != 0)
+    rows = settled(scan.numbered(rows, ["principal"], "seq", **dealing), "gaps")
+    rows = scan.previous(rows, ["principal"], {"_last": "occurred_at"})
+    rows = rows.where("_n > 0").withColumn("_gap", F.greatest(F.lit(0), F.col("occurred_at") - F.col("_last")).cast("double"))
+    rows = settled(rows.withColumn("_n", F.col("_n") - 1).drop("_last"), "gaps")
+    x = F.when(F.col("_n") == 0, F.col("_gap")).otherwise(p.ewma_alpha * F.col("_gap"))
+    rows = scan.decayed(rows, ["principal"], x, 1 - p.ewma_alpha, "ewma_gap", "_before", block)
+    speed = F.when((F.col("_n") > 0) & (F.col("_before") > 0), F.greatest(F.lit(0.0), (F.col("_before") - F.col("_gap")) / (F.col("_before") + p.epsilon))).otherwise(0.0)
+    return rows.withColumn("speed", speed).withColumn("d_velocity", S.squash(F.col("speed"), p.velocity_scale)).withColumnRenamed("_n", "n_gap").drop("_gap", "_before")
 
 
 def distinct_sketch(log: DataFrame, key: str, value: str, bits: int = 8) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontaminate, language_model, licenses, packing, quality, recompression, simhash, topk, transducer, wrapper
+from . import alignment, chat, decontaminate, language_model, licenses, packing, prefixes, quality, recompression, simhash, topk, transducer, wrapper
 from .storage import table, written
 
 
@@ -80,6 +80,15 @@ def op12_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc_id").cast("long"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefixes.ordered(table(spark, sf_dir, "conversations"))
+    c = F.col("conv_id")
+    turns, convs = prefixes.rebuilt(turns, c - c % 100, F.crc32(c.cast("string").cast("binary")) % 6, 5)
+    nodes, ends = prefixes.trie(turns, convs)
+    out = nodes.join(prefixes.end_digests(ends), prefixes.KEY, "left")
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wrapper_induction": op1_wrapper_induction,
     "op2_simhash_windows": op2_simhash_windows,
@@ -93,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_conditional_compression": op10_conditional_compression,
     "op11_cross_tokenizer": op11_cross_tokenizer,
     "op12_transducer_bpe": op12_transducer_bpe,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -122,4 +132,16 @@ t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x, le
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn, r, x)) AS turns_sha256,
   CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(x, '' ORDER BY turn, r, x) FILTER (r = 'assistant'), '')) AS loss_sha256,
   CAST(sum(n) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id""",
+    "op13_prefix_trie": """
+WITH o AS (SELECT conv_id, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS v),
+g AS (SELECT conv_id, t, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ord(s)::BIGINT)), lambda c, b: xor(c >> 8, v[(xor(c, b) & 255) + 1])), 4294967295) % 6 AS h FROM o, tab),
+b AS (SELECT g.conv_id, list_concat(coalesce(list_slice(s.t, 1, g.h), []), list_slice(g.t, g.h + 1, len(g.t))) AS t FROM g LEFT JOIN o s ON s.conv_id = g.conv_id - g.conv_id % 100),
+m AS (SELECT conv_id, d, to_json(list_slice(t, 1, d))::VARCHAR AS k, to_json(list_slice(t, 1, d - 1))::VARCHAR AS p, coalesce(length(t[d].x), 0) AS n, len(t) = d AS ends FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM b)),
+v AS (SELECT k, d, any_value(p) AS p, any_value(n) AS n, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ids FROM m GROUP BY k, d),
+w AS (SELECT v.*, (SELECT count(*) FROM v c WHERE c.p = v.k AND c.d = v.d + 1) AS n_children FROM v),
+sub AS (SELECT DISTINCT a.k, b.k AS u FROM m a JOIN m b ON b.conv_id = a.conv_id AND b.d >= a.d),
+tot AS (SELECT sub.k, count(*) FILTER (w.n_children = 0) AS n_leaves, CAST(sum((w.n_convs - 1) * w.n) AS BIGINT) AS saved_tokens FROM sub JOIN w ON w.k = sub.u GROUP BY sub.k)
+SELECT w.conv_id, w.d AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, sha256(w.ids) AS ends_sha256
+FROM w JOIN tot USING (k) LEFT JOIN w u ON u.k = w.p AND u.d = w.d - 1""",
 }

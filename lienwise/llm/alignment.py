@@ -13,13 +13,13 @@ which a bounded list is broadcast, and joined for all others.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -30,7 +30,9 @@ LISTED = 1 << 20
 #: Distinct pairs that a task holds before it passes its sums on.
 HELD = 1 << 21
 SALTS = 8
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+#: Distinct pieces whose ids are Python lists at a time.
+STEP = 1 << 14
 
 
 def default_paths() -> tuple[str, str, str]:
@@ -56,18 +58,15 @@ class Pair:
         import public_tokenizers
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks, "rb") as f:
             known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
-        self.exact = Tokenizer.from_file(json)
-        self.exact.encode_special_tokens = True  # their strings in a text are plain text
+        self.json = json
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
-        vocab, chars = self.exact.get_vocab(with_added_tokens=False), _byte_chars()
-        self.bytes_a = [b""] * (max(vocab.values()) + 2)
-        for token, i in vocab.items():
-            self.bytes_a[i] = bytes(chars[c] for c in token)
+        self.bytes_a = [b""] * (max(known.values()) + 1)
+        for token, i in known.items():
+            self.bytes_a[i] = token
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if len(p) == 6 and p.startswith("<0x") and p.endswith(">") else p.replace("▁", " ").encode() for p in pieces]
         self.length_a, self.length_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
@@ -77,6 +76,15 @@ class Pair:
         #: B can be taken piece by piece if no token of it goes on after a space and texts are not changed.
         self.local = plain and not any("▁" in p.lstrip("▁") for p in pieces)
 
+    @cached_property
+    def exact(self):
+        """The JSON form of A; special tokens' strings are plain text."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.json)
+        out.encode_special_tokens = True
+        return out
+
     def encode_a(self, piece: str) -> list[int]:
         """The fast library's pattern gives up on about a million white-space
         characters in a row; the JSON form takes those."""
@@ -91,6 +99,22 @@ class Pair:
         return [ids if len(p) > 1 else [self.blank] for p, ids in zip(pieces, out, strict=True)]
 
 
+    def fits(self, pieces: list[str], *sides: list[list[int]]) -> list[bool]:
+        """Whether each side's tokens have a piece's own bytes; piece by piece
+        only if not all of them do."""
+        raw = [p.encode() for p in pieces]
+        whole = b"".join(raw)
+        every = True
+        for ids, table, length in zip(sides, (self.bytes_a, self.bytes_b), (self.length_a, self.length_b), strict=True):
+            n = np.array([len(x) for x in ids], np.int64)
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))
+            ends = np.concatenate([[0], np.cumsum(length[flat])])[np.cumsum(n)]
+            every &= b"".join(map(table.__getitem__, flat.tolist())) == whole and np.array_equal(ends, np.cumsum([len(x) for x in raw]))
+        if every:
+            return [True] * len(raw)
+        return [all(b"".join(map(table.__getitem__, x)) == t for x, table in zip(both, (self.bytes_a, self.bytes_b), strict=True)) for t, *both in zip(raw, *sides, strict=True)]
+
+
 @cache
 def tokenizers(paths: tuple[str, str, str]) -> Pair:
     return Pair(*paths)
@@ -114,7 +138,7 @@ def spaced_pieces(column: pa.Array, local: bool = True) -> tuple[pa.DictionaryAr
 
 def groups_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The common cuts of two rising sequences of ends, and each token's group."""
-    cuts = np.intersect1d(ends_a, ends_b)
+    cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)  # no token is without bytes
     return cuts, np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
 
 
@@ -143,32 +167,40 @@ class Aligned:
     pieces. ``fits``: both token sequences give the piece's own bytes; others
     have no tokens."""
 
-    def __init__(self, pair: Pair, pieces: list[str]) -> None:
-        raw = [p.encode() for p in pieces]
-        ids_a, ids_b = [pair.encode_a(p) for p in pieces], pair.encode_b(pieces)
-        at_a, at_b = pair.bytes_a.__getitem__, pair.bytes_b.__getitem__
-        self.fits = np.array([b"".join(map(at_a, x)) == t and b"".join(map(at_b, y)) == t for t, x, y in zip(raw, ids_a, ids_b, strict=True)], bool)
-        for i in np.flatnonzero(~self.fits):
-            ids_a[i], ids_b[i] = [], []
-        size = np.where(self.fits, np.array([len(t) for t in raw], np.int64), 0)
-        self.n_a, self.n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in ((ids_a, self.n_a), (ids_b, self.n_b)))
+    def __init__(self, pair: Pair, pieces: pa.Array) -> None:
+        a, b, n_a, n_b, fits = ([] for _ in range(5))
+        sizes = pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
+        for k in range(0, len(pieces), STEP):
+            part = pieces[k : k + STEP].to_pylist()
+            ids_a, ids_b = [pair.encode_a(p) for p in part], pair.encode_b(part)
+            good = pair.fits(part, ids_a, ids_b)
+            if not all(good):
+                ids_a, ids_b = ([x if g else [] for x, g in zip(ids, good, strict=True)] for ids in (ids_a, ids_b))
+            for ids, flat, n in ((ids_a, a, n_a), (ids_b, b, n_b)):
+                n.append(np.array([len(x) for x in ids], np.int64))
+                flat.append(np.fromiter(chain.from_iterable(ids), np.int32, int(n[-1].sum())))
+            fits.append(np.array(good, bool))
+        none = [np.zeros(0, np.int64)]
+        a, b, self.n_a, self.n_b = (np.concatenate(x or none) for x in (a, b, n_a, n_b))
+        self.fits = np.concatenate(fits or [np.zeros(0, bool)])
+        size = np.where(self.fits, sizes, 0)
         ends_a, ends_b = np.cumsum(pair.length_a[a]), np.cumsum(pair.length_b[b])
         cuts, group_a, group_b = groups_of(ends_a, ends_b)
         bounds = np.concatenate([[0], np.searchsorted(cuts, np.cumsum(size), side="right")])
         self.n_groups = np.diff(bounds)
         last_a, last_b = np.flatnonzero(ends_a == cuts[group_a]), np.flatnonzero(ends_b == cuts[group_b])
         left, right = expanded(group_a[last_a], group_b[last_b], len(cuts))
-        self.link_a, self.link_b = a[last_a][left], b[last_b][right]
+        half, kind = code_type(pair)
+        self.links = (a[last_a][left].astype(np.uint64) << half | b[last_b][right].astype(np.uint64)).astype(kind)
         self.first_link = np.searchsorted(group_a[last_a][left], bounds)
         self.n_links = np.diff(self.first_link)
         text = lambda ids, group: joined(pa.array(ids).cast(pa.large_string()), np.searchsorted(group, np.arange(len(cuts) + 1)), ",")
         self.text = joined(pc.binary_join_element_wise(text(a, group_a), text(b, group_b), pa.scalar("|", pa.large_string())), bounds, ";")
 
 
-def code_type(pair: Pair) -> str:
-    """Of a pair of ids in one number, half the bits each."""
-    return "<u4" if max(len(pair.bytes_a), len(pair.bytes_b)) <= 1 << 16 else "<u8"
+def code_type(pair: Pair) -> tuple[np.uint64, str]:
+    """How a pair of ids is one number: the bits of each, and its type."""
+    return (np.uint64(16), "<u4") if max(len(pair.bytes_a), len(pair.bytes_b)) <= 1 << 16 else (np.uint64(32), "<u8")
 
 
 def aligned(docs: DataFrame, paths: tuple[str, str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,19 +218,17 @@ def aligned(docs: DataFrame, paths: tuple[str, str, str] | None = None, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = tokenizers(paths)
-        half, kind = np.uint64(16 if code_type(pair) == "<u4" else 32), code_type(pair)
         for b in W.pieces(batches, "t", BATCH_BYTES):
             whole = pc.fill_null(b.column("t"), "")
             coded, ptr, _ = spaced_pieces(whole, pair.local)
-            found = Aligned(pair, coded.dictionary.to_pylist())
+            found = Aligned(pair, coded.dictionary)
             piece = coded.indices.to_numpy().astype(np.int64)
             per = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[ptr])
             good = (per(~found.fits[piece]) == 0) & (pc.binary_length(whole).to_numpy() > 0)
             kept = piece[np.repeat(good, np.diff(ptr))]
             ptr = np.concatenate([[0], np.cumsum(np.where(good, np.diff(ptr), 0))])
             figures = [np.diff(np.concatenate([[0], np.cumsum(x[kept])])[ptr]) for x in (found.n_a, found.n_b, found.n_groups, found.n_links)]
-            at = gathered(found.first_link[:-1][kept], found.n_links[kept])
-            links = (found.link_a[at].astype(np.uint64) << half | found.link_b[at].astype(np.uint64)).astype(kind)
+            links = found.links[gathered(found.first_link[:-1][kept], found.n_links[kept])]
             bounds = np.concatenate([[0], np.cumsum(figures[3])]) * links.itemsize
             packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(good), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(links)])
             yield pa.record_batch([b.column("i"), *map(pa.array, figures), joined(found.text.take(pa.array(kept)), ptr, ";").cast(pa.string()), packed.cast(pa.binary())], ["i", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
@@ -261,15 +291,16 @@ def pair_counts(links: DataFrame, kind: str = "<u4") -> DataFrame:
     return written(sums.join(F.broadcast(most), "b").select("code", "n", (F.col("n") == F.col("most")).alias("best")), "pairs")
 
 
-def link_figures(docs: DataFrame, paths: tuple[str, str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", listed: int = LISTED) -> DataFrame:
+def link_figures(docs: DataFrame, paths: tuple[str, str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", listed: int = LISTED, text: Column | None = None) -> DataFrame:
     """``aligned`` without ``row`` and ``links``, with ``n_best``, the links
     whose count is the highest of their B id, ties included, and ``count_sum``,
     the counts of all links added up.
 
     Pairs from some count on, ``listed`` at most, are broadcast; the others are
-    joined by pair, none of which is common."""
+    joined by pair, none of which is common. ``text``, an expression over
+    ``groups``, takes its place: long texts then need not pass this step."""
     paths = paths or default_paths()
-    kind = code_type(tokenizers(paths))
+    kind = code_type(tokenizers(paths))[1]
     rows = aligned(docs, paths, id_col, text_col)
     pairs = pair_counts(rows, kind)
     sizes = {r["p"]: r["k"] for r in pairs.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count(F.lit(1)).alias("k")).collect()}
@@ -294,7 +325,7 @@ def link_figures(docs: DataFrame, paths: tuple[str, str, str] | None = None, id_
             rest = pa.ListArray.from_arrays(pa.array((ptr - first).astype(np.int32)), pa.array(codes[~hit]))
             yield pa.record_batch([*b.columns[:-1], *map(pa.array, sums), rest], [*b.schema.names[:-1], "n_best", "count_sum", "rest"])
 
-    shape = rows.select("row", id_col, "n_a", "n_b", "n_groups", "n_links", "groups", "links")
+    shape = rows.select("row", id_col, "n_a", "n_b", "n_groups", "n_links", (F.col("groups") if text is None else text).alias("groups"), "links")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape.schema if f.name != "links")
     found = shape.mapInArrow(run, f"{schema}, n_best long, count_sum long, rest array<long>")
     if not least:

@@ -69,9 +69,9 @@ def op10_conditional_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = alignment.link_figures(table(spark, sf_dir, "documents"))
-    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
-    return out.select(F.col("doc_id").cast("long"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    out = alignment.link_figures(table(spark, sf_dir, "documents"), text=digest)
+    return out.select(F.col("doc_id").cast("long"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
 
 
 def op12_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

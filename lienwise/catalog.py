@@ -534,10 +534,11 @@ def fn_envelope_digest(spark, d):
     return b.select("k", intent.envelope_digest(F.lit("Buy"), F.col("merchant_id"), F.col("k"), F.upper("device_id")).alias("digest"))
 
 
-@query("SELECT seq, last_value(CASE WHEN type LIKE 'token%' THEN k END IGNORE NULLS) OVER (PARTITION BY token_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS env_k FROM bus QUALIFY type NOT LIKE 'token%'")
+@query("SELECT seq, env.k AS env_k, env.d AS env_device FROM (SELECT seq, type, last_value(CASE WHEN type LIKE 'token%' THEN {'k': k, 'd': CASE WHEN k % 3 <> 0 THEN device_id END} END IGNORE NULLS) OVER (PARTITION BY token_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS env FROM bus) WHERE type NOT LIKE 'token%'")
 def join_envelope_debit(spark, d):
     b = T.bus(spark, d).withColumn("sealed", F.col("type").startswith("token")).withColumn("session_id", F.col("token_id"))
-    return intent.latest_envelope(b, ["k"]).select("seq", "env_k")
+    b = b.withColumn("device", F.when(F.col("k") % 3 != 0, F.col("device_id")))
+    return intent.latest_envelope(b, ["k", "device"]).select("seq", "env_k", "env_device")
 
 
 # --- ledger and vault

@@ -7,11 +7,12 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..params import DEFAULT, Params
+from . import scan
 
 
 def envelope_digest(purpose: Column, category: Column, max_amount: Column, merchant: Column) -> Column:
@@ -23,14 +24,14 @@ def envelope_digest(purpose: Column, category: Column, max_amount: Column, merch
     return F.sha2(blob, 256)
 
 
-def latest_envelope(log: DataFrame, columns: list[str]) -> DataFrame:
-    """Each debit with what the last envelope of its session before it sealed.
-    ``sealed`` marks envelope rows; order by seq."""
-    w = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    out = log
-    for c in columns:
-        out = out.withColumn(f"env_{c}", F.last(F.when(F.col("sealed"), F.col(c)), ignorenulls=True).over(w))
-    return out.where(~F.col("sealed"))
+def latest_envelope(log: DataFrame, columns: list[str], **dealing) -> DataFrame:
+    """Each debit with what the last envelope of its session before it sealed: a
+    new envelope replaces the old one whole, so a field that it leaves null is
+    null, not what an older one said. ``sealed`` marks envelope rows; order by
+    seq. A session with a large share of all rows is passed in ranges."""
+    sealed = F.when(F.col("sealed"), F.struct(*columns))
+    out = scan.last_before(log, ["session_id"], "seq", [], sealed, "_envelope", **dealing)
+    return out.where(~F.col("sealed")).select(*log.columns, *[F.col("_envelope")[c].alias(f"env_{c}") for c in columns])
 
 
 def hashed_embedding(frame: DataFrame, text: str, p: Params = DEFAULT) -> DataFrame:

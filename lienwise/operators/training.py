@@ -11,21 +11,22 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import node_id
 from ..storage import settled
+from . import scan
 
 
-def examples(labels: DataFrame, vectors: DataFrame) -> DataFrame:
+def examples(labels: DataFrame, vectors: DataFrame, **dealing) -> DataFrame:
     """(token_id, vector, y, w): each label with the last vector of its token
     at or before it. Both sides are merged in one ordered pass per token, so
-    there is no range join; labels before any vector go."""
+    there is no range join; tokens of very many rows are passed in ranges, with
+    the last vector of the ranges before carried in. Labels before any vector go."""
     rows = vectors.select("token_id", "occurred_at", F.col("seq"), "vector", F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("weight"), F.lit(0).alias("is_label"))
     asks = labels.select("token_id", "occurred_at", F.lit(0).cast("long").alias("seq"), F.lit(None).cast("array<double>").alias("vector"), "value", "weight", F.lit(1).alias("is_label"))
-    w = Window.partitionBy("token_id").orderBy("occurred_at", "is_label", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(asks).withColumn("last", F.last("vector", ignorenulls=True).over(w))
+    both = scan.last_before(settled(rows.unionByName(asks), "examples"), ["token_id"], "occurred_at", [F.col("is_label"), F.col("seq")], F.col("vector"), "last", **dealing)
     return both.where("is_label = 1 and last is not null").select("token_id", F.col("last").alias("vector"), F.round("value").alias("y"), F.col("weight").alias("w"))
 
 

@@ -26,25 +26,6 @@ def deduplicated(stream: DataFrame, watermark: str | None = None) -> DataFrame:
     return rows.dropDuplicates(["event_id"])
 
 
-def block_states(stream: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(token_id, seq, consumed_today, consumed_total) after every capture."""
-    day = p.day_seconds
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        today, total, last = state.get if state.exists else (0, 0, 0)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for seq, amount, at in zip(rows["seq"], rows["amount_paise"], rows["occurred_at"], strict=True):
-            today = int(amount) + (today if last and last // day == at // day else 0)
-            total, last = total + int(amount), int(at)
-            out.append((key[0], int(seq), today, total))
-        state.update((today, total, last))
-        yield pd.DataFrame(out, columns=["token_id", "seq", "consumed_today", "consumed_total"])
-
-    rows = stream.where("type = 'payment.captured' and amount_paise > 0 and coalesce(token_id, '') <> ''").select("token_id", "seq", "amount_paise", "occurred_at")
-    return rows.groupBy("token_id").applyInPandasWithState(fold, "token_id string, seq long, consumed_today long, consumed_total long", "today long, total long, last long", "append", GroupStateTimeout.NoTimeout)
-
-
 def label_events(stream: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Labels as they settle: the state of a token is the set of its armed
     nonces; a dispute clears it."""
@@ -104,7 +85,8 @@ def behaviour_deposits(stream: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 def latest_envelopes(stream: DataFrame, columns: list[str]) -> DataFrame:
     """``intent.latest_envelope`` as events arrive: each debit with what the last
-    envelope of its session before it sealed, which is a session's state."""
+    envelope of its session before it sealed, which is a session's state and is
+    replaced whole."""
     kinds = {c: stream.schema[c].dataType.simpleString() for c in columns}
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -112,7 +94,7 @@ def latest_envelopes(stream: DataFrame, columns: list[str]) -> DataFrame:
         out = []
         for row in pd.concat(list(batches)).sort_values("seq").to_dict("records"):
             if row["sealed"]:
-                held |= {c: row[c].item() if hasattr(row[c], "item") else row[c] for c in columns if not pd.isna(row[c])}
+                held = {c: None if pd.isna(row[c]) else row[c].item() if hasattr(row[c], "item") else row[c] for c in columns}
             else:
                 out.append((key[0], int(row["seq"]), *held.values()))
         state.update((json.dumps(held),))

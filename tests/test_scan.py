@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lienwise.operators import behaviour, scan
+from lienwise.operators import behaviour, intent, scan, training
 
 SMALL = {"hot": 8, "cuts": 7, "least": 20}  # cuts keys of small tables
 
@@ -91,6 +91,38 @@ def test_running_sums_and_the_row_before(log, dealing):
         last[k] = r.seq
 
 
+@pytest.mark.parametrize("dealing", [{}, SMALL])
+def test_envelopes_are_replaced_whole(spark, dealing):
+    rng, rows, held, want = random.Random(9), [], {}, {}
+    for seq in range(400):
+        who = "hot" if rng.random() < 0.8 else rng.choice(["a", "b", None])
+        sealed = rng.random() < 0.1
+        fields = (rng.choice(["m1", "m2", None]), rng.choice([100, 200, None])) if sealed else (None, None)
+        rows.append((who, seq, sealed, *fields))
+        if sealed:
+            held[who] = fields
+        else:
+            want[seq] = held.get(who, (None, None))
+    log = spark.createDataFrame(rows, "session_id string, seq long, sealed boolean, merchant string, cap long").repartition(5)
+    got = {r["seq"]: (r["env_merchant"], r["env_cap"]) for r in intent.latest_envelope(log, ["merchant", "cap"], **dealing).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("dealing", [{}, SMALL])
+def test_labels_see_the_last_vector_before_them(spark, dealing):
+    rng = random.Random(4)
+    token = lambda: "hot" if rng.random() < 0.8 else rng.choice(["a", "b"])
+    vectors = [(token(), rng.randrange(300), seq, [float(seq)]) for seq in range(400)]
+    labels = [(token(), rng.randrange(-5, 300), rng.choice([0.0, 1.0]), float(i)) for i in range(200)]
+    want = []
+    for t, at, value, weight in labels:
+        past = [(when, seq, v) for u, when, seq, v in vectors if u == t and when <= at]
+        if past:
+            want.append((weight, max(past)[2][0], value))
+    got = training.examples(spark.createDataFrame(labels, "token_id string, occurred_at long, value double, weight double"), spark.createDataFrame(vectors, "token_id string, occurred_at long, seq long, vector array<double>"), **dealing)
+    assert sorted((r["w"], r["vector"][0], r["y"]) for r in got.collect()) == sorted(want)
+
+
 def test_empty_table(spark, log):
     none = log.limit(0)
     assert behaviour.amounts(none).count() == behaviour.gaps(none).count() == behaviour.novelty(none).count() == 0

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,27 +74,63 @@ def components(edge: DataFrame, max_rounds: int = 50) -> DataFrame:
     return label.join(sizes, "label").select("node", F.col("label").alias("component"), "size")
 
 
-def structural_floor(edge: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    rows = degrees(edge).join(fan_out(edge), "node", "left").join(shared_attributes(edge), "node", "left").join(components(edge), "node", "left")
+def structural_floor(edge: DataFrame, p: Params = DEFAULT, parts: DataFrame | None = None) -> DataFrame:
+    """``parts``: the components of the graph, where they are known."""
+    parts = components(edge) if parts is None else parts
+    rows = degrees(edge).join(fan_out(edge), "node", "left").join(shared_attributes(edge), "node", "left").join(parts, "node", "left")
     rows = rows.select("node", "degree", "fan_out", F.coalesce("shared_attributes", F.lit(0)).alias("shared_attributes"), "size")
     floor = S.noisy_or(S.squash(F.col("degree"), p.degree_scale), S.squash(F.col("fan_out"), p.fan_out_scale), S.squash(F.col("shared_attributes"), p.shared_scale), S.squash(F.col("size"), p.component_scale))
     return rows.withColumn("floor", floor)
 
 
-def propagate(edge: DataFrame, seeds: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(node, score): rounds of the damped mean of the neighbours' scores,
-    seeds (node, label) held fixed. Every fifth round is settled to a table."""
+#: A node with more than one in HUB of all edges passes its changes on from SLOTS places.
+HUB, SLOTS = 1024, 64
+#: Changes up to this wait until they add up to more.
+TOLERANCE = 1e-8
+
+
+def push_rounds(edge: DataFrame, seeds: DataFrame, p: Params = DEFAULT, tolerance: float = TOLERANCE) -> Iterator[DataFrame]:
+    """Round by round the nodes (node, rest, got) that have a change to pass on:
+    ``got`` came in the round, ``rest`` has not been passed on yet.
+
+    A score is a sum of changes, and a change goes through the same damped mean
+    as a score. So a round joins only changes above ``tolerance`` to the edges,
+    which are dealt out by sender once. Hubs are dealt over slots as senders; as
+    receivers they are summed before the shuffle. What waits is at most the
+    tolerance for each sender, so no score is off by more than tolerance *
+    damping / (1 - damping). It ends early when nothing is above it."""
+    fixed = settled(seeds.select("node", F.col("label").cast("double").alias("label")), "graph")
     near = settled(neighbours(edge), "graph")
-    nodes = settled(near.select("node").distinct().join(seeds, "node", "left"), "graph")
-    score = nodes.select("node", F.coalesce("label", F.lit(0.0)).cast("double").alias("score"))
-    if not seeds.head(1):
-        return score
-    for i in range(p.propagation_rounds):
-        mean = near.join(score.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.avg("score").alias("mean"))
-        score = nodes.join(mean, "node", "left").select("node", F.coalesce("label", p.propagation_damping * F.coalesce("mean", F.lit(0.0))).cast("double").alias("score"))
-        if i % 5 == 4:
-            score = settled(score, "graph")
-    return score.select("node", S.clamp01(F.col("score")).alias("score"))
+    degree = settled(near.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "graph")
+    total = near.count()
+    hubs = F.broadcast(settled(degree.where(F.col("degree") * HUB > total).select(F.col("node").alias("other"), F.lit(SLOTS).alias("slots")), "graph"))
+    rows = near.join(fixed.select("node"), "node", "left_anti").join(degree, "node").join(hubs, "other", "left")
+    slot = F.pmod(F.xxhash64("node"), F.coalesce("slots", F.lit(1))).cast("int").alias("slot")
+    lines = rows.select("node", "other", slot, (p.propagation_damping / F.col("degree")).alias("share")).repartition("other", "slot").persist(StorageLevel.DISK_ONLY)
+    try:
+        active = fixed.join(degree.select("node"), "node", "left_semi").select("node", F.col("label").alias("rest"), F.lit(0.0).alias("got")).where("rest <> 0")
+        for i in range(p.propagation_rounds):
+            large = F.abs("rest") > tolerance
+            if i % 5 == 0 and not active.where(large).head(1):
+                return
+            sent = active.where(large).select(F.col("node").alias("other"), "rest").join(hubs, "other", "left")
+            sent = sent.select("other", "rest", F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1)).alias("slot"))
+            came = lines.join(sent, ["other", "slot"]).groupBy("node").agg(F.sum(F.col("share") * F.col("rest")).alias("rest"))
+            both = active.where(~large).select("node", "rest", F.lit(0.0).alias("got")).unionByName(came.select("node", "rest", F.col("rest").alias("got")))
+            active = settled(both.groupBy("node").agg(F.sum("rest").alias("rest"), F.sum("got").alias("got")), "graph")
+            yield active
+    finally:
+        lines.unpersist()
+
+
+def propagate(edge: DataFrame, seeds: DataFrame, p: Params = DEFAULT, tolerance: float = TOLERANCE) -> DataFrame:
+    """(node, score): rounds of the damped mean of the neighbours' scores,
+    seeds (node, label) held fixed, by changes alone (``push_rounds``)."""
+    got = [r.select("node", F.col("got").alias("score")) for r in push_rounds(edge, seeds, p, tolerance)]
+    every = neighbours(edge).select("node").distinct().select("node", F.lit(0.0).alias("score"))
+    held = seeds.join(every.select("node"), "node", "left_semi").select("node", F.col("label").cast("double").alias("score"))
+    rows = reduce(DataFrame.unionByName, [every, held, *got])
+    return rows.groupBy("node").agg(S.clamp01(F.sum("score")).alias("score"))
 
 
 def dispute_seeds(log: DataFrame) -> DataFrame:
@@ -98,10 +138,11 @@ def dispute_seeds(log: DataFrame) -> DataFrame:
     return rows.select(S.node_id("token", F.col("token_id")).alias("node")).distinct().withColumn("label", F.lit(1.0))
 
 
-def network_risk(edge: DataFrame, seeds: DataFrame, p: Params = DEFAULT, learned: DataFrame | None = None) -> DataFrame:
+def network_risk(edge: DataFrame, seeds: DataFrame, p: Params = DEFAULT, learned: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
     """The figure of every keyed node (not of devices or policies): the highest
-    of floor, propagated score and, where given, a learned one (node, learned)."""
-    rows = structural_floor(edge, p).join(propagate(edge, seeds, p), "node")
+    of floor, propagated score and, where given, a learned one (node, learned).
+    ``parts``: the components of the graph, where they are known."""
+    rows = structural_floor(edge, p, parts).join(propagate(edge, seeds, p), "node")
     rows = rows.join(learned, "node", "left") if learned is not None else rows.withColumn("learned", F.lit(None).cast("double"))
     risk = rows.select("node", S.combine_risk(F.col("floor"), F.col("score"), F.coalesce("learned", F.lit(0.0))).alias("risk"))
     return risk.where(~S.node_type(F.col("node")).isin(*ATTRIBUTES)).select(S.bare_id(F.col("node")).alias("key"), "node", "risk")

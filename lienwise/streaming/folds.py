@@ -15,6 +15,9 @@ from ..functions.scalars import deposit_id, label_id
 from ..operators import behaviour, features, graph
 from ..operators.reputation import reputation
 from ..params import DEFAULT, Params
+from ..sources.keyed import KeyedTable
+from ..storage import settled
+from .union import Union
 
 
 def deduplicated(stream: DataFrame, watermark: str | None = None) -> DataFrame:
@@ -105,35 +108,36 @@ def latest_envelopes(stream: DataFrame, columns: list[str]) -> DataFrame:
     return rows.groupBy("session_id").applyInPandasWithState(fold, schema, "envelope string", "append", GroupStateTimeout.NoTimeout)
 
 
-def graph_ticks(table: str, every: int = 128, p: Params = DEFAULT):
-    """A ``foreachBatch`` sink that keeps the edges and dispute seeds of every
-    batch under ``table`` and, once ``every`` new events have come, recomputes
-    all figures over the graph so far into deposits of that batch. A repeated
-    batch rewrites its own."""
+def graph_ticks(spark: SparkSession, table: str, every: int = 128, p: Params = DEFAULT, buckets: int = 64):
+    """A ``foreachBatch`` sink that keeps under ``table`` the edges with their
+    last arrival, the dispute seeds and the components of all events so far, and,
+    once ``every`` new events have come, writes all figures of the graph as
+    deposits of that batch. A batch writes what it touches; a repeated one writes
+    the same again. Only a tick reads the whole graph."""
+    edges, seeds = KeyedTable(spark, f"{table}/edges", ["a", "b"], buckets), KeyedTable(spark, f"{table}/seeds", ["node"], buckets)
+    union = Union(spark, f"{table}/union", buckets)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        graph.edges(batch).write.mode("overwrite").parquet(f"{table}/edges/batch={batch_id}")
-        graph.dispute_seeds(batch).write.mode("overwrite").parquet(f"{table}/seeds/batch={batch_id}")
+        batch = settled(batch, "batch")
+        new_edges = settled(graph.edges(batch), "edges")
+        edges.upsert(new_edges, batch_id)
+        seeds.upsert(graph.dispute_seeds(batch), batch_id)
+        union.add(new_edges, batch_id)
         new, last_seq, at = batch.agg(F.count(F.lit(1)), F.max("seq"), F.max("occurred_at")).first()
-        batch.unpersist()
-        before = spark.read.schema("batch int, pending long").parquet(f"{table}/pending").where(F.col("batch") < batch_id).orderBy(F.desc("batch")).first() if batch_id else None
+        before = spark.read.schema("pending long").parquet(f"{table}/pending/{batch_id - 1}").first() if batch_id else None
         pending = (before["pending"] if before else 0) + new
         if pending >= every:
-            past = lambda name: spark.read.parquet(f"{table}/{name}").where(F.col("batch") <= batch_id)
-            edges = past("edges").groupBy("a", "b").agg(F.max("ts").alias("ts"))
-            figures(edges, past("seeds").select("node", "label").distinct(), last_seq, at, p).write.mode("overwrite").parquet(f"{table}/deposits/batch={batch_id}")
+            figures(edges.read(batch_id), seeds.read(batch_id), last_seq, at, p, union.components(batch_id)).write.mode("overwrite").parquet(f"{table}/deposits/batch={batch_id}")
             pending = 0
-        spark.createDataFrame([(pending,)], "pending long").write.mode("overwrite").parquet(f"{table}/pending/batch={batch_id}")
+        spark.createDataFrame([(pending,)], "pending long").write.mode("overwrite").parquet(f"{table}/pending/{batch_id}")
 
     return sink
 
 
-def figures(edges: DataFrame, seeds: DataFrame, seq: int, at: int, p: Params = DEFAULT) -> DataFrame:
+def figures(edges: DataFrame, seeds: DataFrame, seq: int, at: int, p: Params = DEFAULT, parts: DataFrame | None = None) -> DataFrame:
     """(seq, event_id, key, occurred_at, network_risk): a deposit for each keyed
     node of the graph as of one event."""
-    risk = graph.network_risk(edges, seeds, p)
+    risk = graph.network_risk(edges, seeds, p, parts=parts)
     return risk.select(F.lit(seq).cast("long").alias("seq"), deposit_id(F.lit("feature.network.deposited"), F.col("node"), F.lit(at)).alias("event_id"), "key", F.lit(at).cast("long").alias("occurred_at"), F.col("risk").alias("network_risk"))
 
 
@@ -178,3 +182,17 @@ def current_features(spark: SparkSession, table: str, version: int) -> DataFrame
 def reputations(stream: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Running reputation per agent, in update or complete mode."""
     return reputation(stream, p)
+
+
+def last_rows(table: KeyedTable, order: str = "seq"):
+    """A ``foreachBatch`` sink of a keyed table: the last row of each key of a
+    batch, by ``order``, takes the place of the one that is held. For overlays,
+    tokens and the liens of ``liens.lien_states``; rows without a key go."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        rest = [c for c in batch.columns if c not in table.keys]
+        rows = batch.where(" and ".join(f"`{k}` is not null" for k in table.keys))
+        last = rows.groupBy(*table.keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*table.keys, "_r.*")
+        table.upsert(last, batch_id)
+
+    return sink

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from lienwise.operators import behaviour, blockstate, features, graph, intent, labels, reputation
 from lienwise.operators import log as L
 from lienwise.sources import connectors
+from lienwise.sources.keyed import KeyedTable
 from lienwise.streaming import folds, liens
 
 SF = "/root/testdata/sf0.001"
@@ -119,11 +120,29 @@ def test_engines_equal_batch(spark, parts):
 
 def test_graph_ticks_equal_batch(spark, parts):
     log, base = parts
-    q = connectors.read_stream(spark, f"{base}/log", log.schema).writeStream.foreachBatch(folds.graph_ticks(f"{base}/graph", every=500)).option("checkpointLocation", f"{base}/c-graph").trigger(availableNow=True).start()
+    late = log.withColumn("occurred_at", F.when(F.col("seq") % 5 == 0, F.col("occurred_at") - 10**6).otherwise(F.col("occurred_at")))  # the last arrival is not the latest time
+    for i in range(2):
+        late.where(F.floor(F.col("seq") / 334) == i).coalesce(1).write.mode("append").parquet(f"{base}/late")
+    q = connectors.read_stream(spark, f"{base}/late", late.schema).writeStream.foreachBatch(folds.graph_ticks(spark, f"{base}/graph", every=500, buckets=2)).option("checkpointLocation", f"{base}/c-graph").trigger(availableNow=True).start()
     q.awaitTermination()
     found = spark.read.parquet(f"{base}/graph/deposits")
     assert {r["batch"] for r in found.select("batch").distinct().collect()} == {1}  # 334 events a batch: the second one ticks
-    seen = log.where("seq < 668")
+    seen = late.where("seq < 668")
     want = graph.network_risk(graph.edges(seen), graph.dispute_seeds(seen))
-    rows = lambda df, c: {r["key"]: round(r[c], 9) for r in df.collect()}
+    rows = lambda df, c: {r["key"]: round(r[c], 7) for r in df.collect()}
     assert rows(found, "network_risk") == rows(want, "risk")
+    held = KeyedTable(spark, f"{base}/graph/edges", ["a", "b"], 2).read()
+    assert sorted(map(tuple, held.select("a", "b", "ts").collect())) == sorted(map(tuple, graph.edges(seen).collect()))
+
+
+def test_keyed_sinks_hold_the_last_row(spark, parts):
+    log, base = parts
+    rows = log.select("seq", F.col("token_id").alias("token"), "type", "k")
+    table = KeyedTable(spark, f"{base}/overlay", ["token"], 2)
+    for i in range(2):
+        rows.where(F.col("seq") % 2 == i).coalesce(1).write.mode("append").parquet(f"{base}/overlays")
+    q = connectors.read_stream(spark, f"{base}/overlays", rows.schema).writeStream.foreachBatch(folds.last_rows(table)).option("checkpointLocation", f"{base}/c-overlay").trigger(availableNow=True).start()
+    q.awaitTermination()
+    second = rows.where("seq % 2 = 1").unionByName(rows.join(rows.where("seq % 2 = 1").select("token"), "token", "left_anti"))
+    want = second.groupBy("token").agg(F.max_by(F.struct("seq", "type", "k"), "seq").alias("r")).select("token", "r.*")
+    assert sorted(map(tuple, table.read().select("token", "seq", "type", "k").collect())) == sorted(map(tuple, want.collect()))

@@ -87,38 +87,49 @@ def structural_floor(edge: DataFrame, p: Params = DEFAULT, parts: DataFrame | No
 HUB, SLOTS = 1024, 64
 #: Changes up to this wait until they add up to more.
 TOLERANCE = 1e-8
+#: Rounds between tables that end lineage.
+SETTLED = 5
 
 
 def push_rounds(edge: DataFrame, seeds: DataFrame, p: Params = DEFAULT, tolerance: float = TOLERANCE) -> Iterator[DataFrame]:
-    """Round by round the nodes (node, rest, got) that have a change to pass on:
-    ``got`` came in the round, ``rest`` has not been passed on yet.
+    """After every ``SETTLED`` rounds the nodes that changes have reached (node,
+    rest, score): ``score`` is the sum of what came, seeds without their label,
+    ``rest`` the part that has not been passed on yet.
 
     A score is a sum of changes, and a change goes through the same damped mean
-    as a score. So a round joins only changes above ``tolerance`` to the edges,
-    which are dealt out by sender once. Hubs are dealt over slots as senders; as
-    receivers they are summed before the shuffle. What waits is at most the
-    tolerance for each sender, so no score is off by more than tolerance *
-    damping / (1 - damping). It ends early when nothing is above it."""
+    as a score. So a round sends only changes above ``tolerance`` along the edges,
+    which are dealt out by sender once, where the sums of the round before lie
+    already: it shuffles what is sent, summed by receiver first, and a row for
+    each node reached. Hubs send from slots. What waits is at most the tolerance
+    for each sender, so no score is off by more than tolerance * damping /
+    (1 - damping). It ends early when nothing is above it."""
     fixed = settled(seeds.select("node", F.col("label").cast("double").alias("label")), "graph")
     near = settled(neighbours(edge), "graph")
     degree = settled(near.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "graph")
     total = near.count()
-    hubs = F.broadcast(settled(degree.where(F.col("degree") * HUB > total).select(F.col("node").alias("other"), F.lit(SLOTS).alias("slots")), "graph"))
-    rows = near.join(fixed.select("node"), "node", "left_anti").join(degree, "node").join(hubs, "other", "left")
-    slot = F.pmod(F.xxhash64("node"), F.coalesce("slots", F.lit(1))).cast("int").alias("slot")
-    lines = rows.select("node", "other", slot, (p.propagation_damping / F.col("degree")).alias("share")).repartition("other", "slot").persist(StorageLevel.DISK_ONLY)
+    hubs = settled(degree.where(F.col("degree") * HUB > total).select(F.col("node").alias("other"), F.lit(SLOTS).alias("slots")), "graph")
+    dealt = bool(hubs.head(1))  # 2 * HUB rows at most
+    rows = near.join(fixed.select("node"), "node", "left_anti").join(degree, "node").select("node", "other", (p.propagation_damping / F.col("degree")).alias("share"))
+    on = ["other", "slot"] if dealt else ["other"]
+    if dealt:
+        rows = rows.join(F.broadcast(hubs), "other", "left").select("node", "other", "share", F.pmod(F.xxhash64("node"), F.coalesce("slots", F.lit(1))).cast("int").alias("slot"))
+    own = degree.select("node", F.col("node").alias("other"), F.lit(None).cast("double").alias("share"), *[F.lit(0).alias("slot")] * dealt)
+    lines = rows.unionByName(own).repartition(*on).persist(StorageLevel.DISK_ONLY)
+    large, kept = F.abs("rest") > tolerance, F.col("share").isNull()
     try:
-        active = fixed.join(degree.select("node"), "node", "left_semi").select("node", F.col("label").alias("rest"), F.lit(0.0).alias("got")).where("rest <> 0")
+        state = settled(fixed.join(degree.select("node"), "node", "left_semi").select("node", F.col("label").alias("rest"), F.lit(0.0).alias("score")).where("rest <> 0"), "graph")
         for i in range(p.propagation_rounds):
-            large = F.abs("rest") > tolerance
-            if i % 5 == 0 and not active.where(large).head(1):
+            if i % SETTLED == 0 and not state.where(large).head(1):
                 return
-            sent = active.where(large).select(F.col("node").alias("other"), "rest").join(hubs, "other", "left")
-            sent = sent.select("other", "rest", F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1)).alias("slot"))
-            came = lines.join(sent, ["other", "slot"]).groupBy("node").agg(F.sum(F.col("share") * F.col("rest")).alias("rest"))
-            both = active.where(~large).select("node", "rest", F.lit(0.0).alias("got")).unionByName(came.select("node", "rest", F.col("rest").alias("got")))
-            active = settled(both.groupBy("node").agg(F.sum("rest").alias("rest"), F.sum("got").alias("got")), "graph")
-            yield active
+            sent = state.withColumnRenamed("node", "other")
+            if dealt:
+                sent = sent.join(F.broadcast(hubs), "other", "left").select("other", "rest", "score", F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1)).alias("slot"))
+            came, change = lines.join(sent, on).where(kept | large), F.col("share") * F.col("rest")
+            rest, score = F.when(~kept, change).when(large, 0.0).otherwise(F.col("rest")), F.when(kept, F.col("score")).otherwise(change)
+            state = came.select("node", rest.alias("rest"), score.alias("score")).groupBy("node").agg(F.sum("rest").alias("rest"), F.sum("score").alias("score"))
+            if i % SETTLED == SETTLED - 1 or i == p.propagation_rounds - 1:
+                state = settled(state, "graph")
+                yield state
     finally:
         lines.unpersist()
 
@@ -126,10 +137,10 @@ def push_rounds(edge: DataFrame, seeds: DataFrame, p: Params = DEFAULT, toleranc
 def propagate(edge: DataFrame, seeds: DataFrame, p: Params = DEFAULT, tolerance: float = TOLERANCE) -> DataFrame:
     """(node, score): rounds of the damped mean of the neighbours' scores,
     seeds (node, label) held fixed, by changes alone (``push_rounds``)."""
-    got = [r.select("node", F.col("got").alias("score")) for r in push_rounds(edge, seeds, p, tolerance)]
+    last = [r.select("node", "score") for r in push_rounds(edge, seeds, p, tolerance)][-1:]
     every = neighbours(edge).select("node").distinct().select("node", F.lit(0.0).alias("score"))
     held = seeds.join(every.select("node"), "node", "left_semi").select("node", F.col("label").cast("double").alias("score"))
-    rows = reduce(DataFrame.unionByName, [every, held, *got])
+    rows = reduce(DataFrame.unionByName, [every, held, *last])
     return rows.groupBy("node").agg(S.clamp01(F.sum("score")).alias("score"))
 
 

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import behaviour, blockstate, evaluate, features, graph, intent, ledger, log, predicates, reputation, training, vault
+from .operators import behaviour, blockstate, evaluate, features, graph, intent, ledger, log, predicates, reputation, sketches, training, vault
 from .operators import labels as labelling
 from .params import Params
 from .plans import replay, scenario, verdicts
 from .sources import connectors
 from .sources import testdata as T
+from .storage import settled
+from .streaming import liens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,6 +139,17 @@ def set_union_nonces(spark, d):
     return blockstate.spent_nonces(T.bus(spark, d)).select("token_id", "nonce")
 
 
+@query("SELECT r.token_id, arg_max(consumed_today, r.seq) AS consumed_today, arg_max(consumed_total, r.seq) AS consumed_total, arg_max(occurred_at, r.seq) AS last_computed_at, any_value(n) AS nonces FROM run r LEFT JOIN (SELECT token_id, count(*) AS n FROM uses GROUP BY token_id) u ON u.token_id = r.token_id GROUP BY r.token_id", _RUN + ", " + _NONCES)
+def st_block_fold(spark, d):
+    """The first half of the log as a batch, the rest folded from its snapshot."""
+    b = T.bus(spark, d)
+    half = b.agg(F.max("seq")).first()[0] // 2
+    start = settled(liens.snapshot(b.where(F.col("seq") <= half)), "liens")
+    state = liens.current(start, settled(liens.lien_states(b.where(F.col("seq") > half), start), "liens"))
+    sums = state.where("nonce = ''").select("token_id", "consumed_today", "consumed_total", "last_computed_at")
+    return sums.join(state.where("nonce <> ''").groupBy("token_id").agg(F.count(F.lit(1)).alias("nonces")), "token_id", "left")
+
+
 @query("SELECT t.token_id, round(CASE WHEN b.token_id IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, consumed_total / token_ceiling_paise)) END, 6) AS frac FROM tokens t LEFT JOIN blocks b USING (token_id)")
 def join_consumption(spark, d):
     rows = T.tokens(spark, d).join(blockstate.block_state(T.lien_log(spark, d)), "token_id", "left")
@@ -371,14 +384,35 @@ def agg_distinct_exact(spark, d):
     return T.bus(spark, d).groupBy(F.col("token_id").alias("principal")).agg(F.countDistinct("merchant_id").alias("merchants"))
 
 
+@query()
+def fn_hash64(spark, d):
+    m = T.bus(spark, d).select("merchant_id").distinct()
+    return m.select("merchant_id", *[sketches.hash64(F.col("merchant_id"), i).alias(f"h{i}") for i in (0, 1)])
+
+
 @query()
 def agg_hll(spark, d):
-    return behaviour.distinct_sketch(T.bus(spark, d), "token_id", "merchant_id")
+    found = sketches.distinct(T.bus(spark, d), "token_id", "merchant_id")
+    return found.select("token_id", F.round(sketches.cardinality(F.col("registers")), 6).alias("estimate"))
 
 
 @query()
 def agg_cms(spark, d):
-    return behaviour.frequency_sketch(T.bus(spark, d), "token_id", F.col("merchant_id"))
+    b = T.bus(spark, d)
+    counts = sketches.frequencies(b, "token_id", "merchant_id")
+    pairs = b.where("merchant_id is not null").select("token_id", "merchant_id").distinct().join(counts, "token_id")
+    return pairs.select("token_id", "merchant_id", sketches.estimated(F.col("counts"), F.col("merchant_id")).alias("estimate"))
+
+
+@query("SELECT token_id, merchant_id, count(*) AS n, false AS too_low FROM bus WHERE merchant_id IS NOT NULL GROUP BY token_id, merchant_id")
+def agg_cms_bound(spark, d):
+    """The exact count of each pair beside what halves of the log, merged, say."""
+    b = T.bus(spark, d)
+    halves = sketches.frequencies(b.where("seq % 2 = 0"), "token_id", "merchant_id").unionByName(sketches.frequencies(b.where("seq % 2 = 1"), "token_id", "merchant_id"))
+    counts = sketches.merged_frequencies(halves, "token_id")
+    exact = b.where("merchant_id is not null").groupBy("token_id", "merchant_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = exact.join(counts, "token_id")
+    return rows.select("token_id", "merchant_id", "n", (sketches.estimated(F.col("counts"), F.col("merchant_id")) < F.col("n")).alias("too_low"))
 
 
 # --- graph
@@ -528,10 +562,11 @@ def fn_hash_embed(spark, d):
     return intent.hashed_embedding(docs, "text").select("doc_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
-@query("""SELECT k, sha256('{"category":"m_' || (k % 25) || '","constraints":{},"max_amount_paise":' || k || ',"merchant_preference":"d_' || k || '","purpose":"purchase"}') AS digest FROM (SELECT DISTINCT k FROM bus)""")
+@query("""SELECT k, sha256('{"category":"m_' || (k % 25) || '","constraints":{"a\\u00e9":{"k":' || k || ',"none":null},"sizes":[' || k || ',"\\ud83d\\ude00"]},"max_amount_paise":' || k || ',"merchant_preference":"\\u00fc d_' || k || '","purpose":"purchase"}') AS digest FROM (SELECT DISTINCT k FROM bus)""")
 def fn_envelope_digest(spark, d):
     b = T.bus(spark, d).select("k", "merchant_id", "device_id").distinct()
-    return b.select("k", intent.envelope_digest(F.lit("Buy"), F.col("merchant_id"), F.col("k"), F.upper("device_id")).alias("digest"))
+    more = F.parse_json(F.format_string('{"sizes": [%d, "😀"], "aé": {"none": null, "k": %d}}', F.col("k"), F.col("k")))
+    return b.select("k", intent.envelope_digest(F.lit("Buy"), F.col("merchant_id"), F.col("k"), F.concat(F.lit("Ü "), F.upper("device_id")), more).alias("digest"))
 
 
 @query("SELECT seq, env.k AS env_k, env.d AS env_device FROM (SELECT seq, type, last_value(CASE WHEN type LIKE 'token%' THEN {'k': k, 'd': CASE WHEN k % 3 <> 0 THEN device_id END} END IGNORE NULLS) OVER (PARTITION BY token_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS env FROM bus) WHERE type NOT LIKE 'token%'")

@@ -199,3 +199,23 @@ def hmac_sha256(key: Column, message: Column) -> Column:
 def hmac_verify(key: Column, message: Column, mac: Column) -> Column:
     """Whether ``mac`` (hex digits of either case) is that of the message."""
     return F.coalesce(hmac_sha256(key, message) == F.lower(mac), F.lit(False))
+
+
+def _ascii(text: Column) -> Column:
+    """Characters beyond "~" as \\uXXXX, those beyond 16 bits as two."""
+
+    def one(c: Column) -> Column:
+        h = F.lower(F.hex(F.encode(c, "UTF-16BE")))
+        return F.when(c <= "~", c).otherwise(F.concat(F.lit("\\u"), F.substring(h, 1, 4), F.when(F.length(h) > 4, F.concat(F.lit("\\u"), F.substring(h, 5, 4))).otherwise("")))
+
+    return F.when(text.rlike("[^\\x00-~]"), F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text)
+
+
+def canonical_json(value: Column) -> Column:
+    """The JSON of a VARIANT with sorted keys, no spaces and only ASCII; null for
+    null. Numbers are integers or decimals of up to 15 digits without exponent; a
+    decimal of whole value is an integer, as a VARIANT holds it."""
+    text = F.to_json(value)
+    for code in (11, 14, 15, *range(26, 32)):  # control characters have lower-case codes
+        text = F.replace(text, F.lit(f"\\u{code:04X}"), F.lit(f"\\u{code:04x}"))
+    return _ascii(text)

@@ -15,12 +15,14 @@ from ..params import DEFAULT, Params
 from . import scan
 
 
-def envelope_digest(purpose: Column, category: Column, max_amount: Column, merchant: Column) -> Column:
-    """SHA-256 of the canonical JSON (sorted keys, no spaces) of an envelope
-    without constraints; texts are ASCII."""
-    text = lambda x: F.to_json(F.struct(F.lower(F.trim(F.coalesce(x, F.lit("")))).alias("v")))
-    value = lambda x: F.regexp_extract(text(x), r'^\{"v":(.*)\}$', 1)
-    blob = F.concat(F.lit('{"category":'), value(category), F.lit(',"constraints":{},"max_amount_paise":'), F.coalesce(max_amount, F.lit(0)).cast("string"), F.lit(',"merchant_preference":'), value(merchant), F.lit(',"purpose":"'), S.normalise_purpose(purpose), F.lit('"}'))
+def envelope_digest(purpose: Column, category: Column, max_amount: Column, merchant: Column, constraints: Column | None = None) -> Column:
+    """SHA-256 of the canonical JSON of an envelope: sorted keys, no spaces, all
+    but ASCII escaped. ``constraints`` is a VARIANT of any depth (none or null:
+    an empty object)."""
+    text = lambda x: S.canonical_json(F.to_variant_object(F.struct(F.lower(F.trim(F.coalesce(x, F.lit("")))).alias("v"))))
+    value = lambda x: F.regexp_extract(text(x), r'(?s)^\{"v":(.*)\}$', 1)
+    more = F.lit("{}") if constraints is None else F.coalesce(S.canonical_json(constraints), F.lit("{}"))
+    blob = F.concat(F.lit('{"category":'), value(category), F.lit(',"constraints":'), more, F.lit(',"max_amount_paise":'), F.coalesce(max_amount, F.lit(0)).cast("string"), F.lit(',"merchant_preference":'), value(merchant), F.lit(',"purpose":"'), S.normalise_purpose(purpose), F.lit('"}'))
     return F.sha2(blob, 256)
 
 

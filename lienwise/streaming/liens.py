@@ -89,3 +89,14 @@ def snapshot(log: DataFrame) -> DataFrame:
     none = F.lit(None).cast("long")
     spent = blockstate.spent_nonces(log).select("token_id", none.alias("consumed_today"), none.alias("consumed_total"), none.alias("last_computed_at"), "nonce", F.col("first_seq").cast("long"))
     return sums.select(*[F.col(c).cast(t) for c, t in zip(sums.columns, ("string", "long", "long", "long", "string", "long"))]).unionByName(spent)
+
+
+def current(start: DataFrame, later: DataFrame) -> DataFrame:
+    """The state, as ``snapshot`` gives it, after the rows that ``lien_states``
+    gave from ``start`` on."""
+    moved = later.where("consumed_total > 0").groupBy("token_id").agg(F.max_by(F.struct("consumed_today", "consumed_total", "last_computed_at"), "seq").alias("s"))
+    moved = moved.select("token_id", "s.*", F.lit("").alias("nonce"), F.lit(0).cast("long").alias("first_seq"))
+    held = start.join(moved.select("token_id"), "token_id", "left_anti").where("nonce = ''").unionByName(start.where("nonce <> ''"))
+    none = F.lit(None).cast("long")
+    spent = later.where("nonce is not null").select("token_id", none.alias("consumed_today"), none.alias("consumed_total"), none.alias("last_computed_at"), "nonce", F.col("seq").alias("first_seq"))
+    return held.unionByName(moved).unionByName(spent)

@@ -27,15 +27,23 @@ QUERIES = 1 << 16
 FIRST, DIMS = 32, 8
 SEED, ROWS = 256, 4096
 _LOW = np.iinfo(np.int64).min
+LARGEST = float(np.finfo(np.float64).max)
+_integers = np.vectorize(int, otypes=[object])
 
 
 def scaled_vectors(frame: DataFrame, factor: float, id_col: str, vector_col: str) -> DataFrame:
-    """``(id, v)`` with v = floor(factor * x) as doubles; vectors that are null
+    """``(id, v)`` with v = floor(factor * x) as doubles, which stop at the ends
+    of their range; vectors that are null
     or hold a null or non-finite component, and rows without an id, go."""
     rows = frame.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda e: e.cast("double")).alias("x"))
     fine = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    return rows.where(fine).select("id", F.transform("x", lambda e: F.rint(e * factor - F.pmod(e * factor, F.lit(1.0)))).alias("v"))
+
+    def whole(e: Column) -> Column:
+        y = e * factor  # from 2 ** 52 on a double has no fraction
+        return F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).when(F.abs(y) == float("inf"), F.signum(y) * LARGEST).otherwise(y)
+
+    return rows.where(fine).select("id", F.transform("x", whole).alias("v"))
 
 
 def columns_of(lists: pa.Array, width: int | None = None) -> np.ndarray:
@@ -57,8 +65,9 @@ class Search:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
         self.k, self.ids, self.q = k, ids, vectors
         self.order = np.argsort(-np.abs(vectors), axis=0, kind="stable")
-        self.mass = np.take_along_axis(vectors, self.order, 0) ** 2
-        self.left = np.sqrt(np.maximum(self.mass.sum(0) - np.cumsum(self.mass, axis=0), 0))
+        with np.errstate(over="ignore", invalid="ignore"):  # masses beyond a double belong to scores that are taken whole
+            self.mass = np.take_along_axis(vectors, self.order, 0) ** 2
+            self.left = np.sqrt(np.maximum(self.mass.sum(0) - np.cumsum(self.mass, axis=0), 0))
         self.peak = float(np.abs(vectors).max(initial=0))
         self.best = np.full((len(ids), k), _LOW, np.int64)
         self.who = np.full((len(ids), k), np.iinfo(np.int64).max, np.int64)
@@ -81,9 +90,9 @@ class Search:
     def _rows(self, ids: np.ndarray, v: np.ndarray, top: float) -> None:
         self.whole += v.size * len(self.ids)
         if top >= 2**53:  # beyond exact floating point
-            big = v.astype(int).astype(object)
+            big = _integers(v) if v.size else v.astype(object)
             for n in range(len(self.ids)):
-                score = self.q[:, n].astype(int).astype(object) @ big if len(big) else np.zeros(len(ids), object)
+                score = _integers(self.q[:, n]) @ big if len(big) else np.zeros(len(ids), object)
                 self._keep(n, np.clip(score, _LOW + 1, np.iinfo(np.int64).max).astype(np.int64), ids)
             return
         kind = np.float32 if top < 2**24 else np.float64

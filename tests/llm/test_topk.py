@@ -7,7 +7,7 @@ from lienwise.llm import topk
 
 
 def brute(rows, k):
-    good = [(i, [math.floor(64 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    good = [(i, [math.floor(max(-topk.LARGEST, min(topk.LARGEST, 64 * float(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out, queries = [], {}
     for q, a in good:
         if q % 20 == 0:
@@ -41,6 +41,11 @@ def test_few_candidates_large_values_and_none(spark):
     assert run(spark, [], 5) == [] and run(spark, [(0, [1.0])], 5) == []
 
 
+def test_tiny_negatives_and_products_beyond_a_double(spark):
+    rows = [(0, [-1e-20, 1.0]), (1, [3.0, -1e-300]), (2, [1e308, 0.0]), (20, [1e308, -1e308]), (3, [1e17, 1.0]), (40, [-(2.0**50), 2.0**46 + 0.01]), (4, [0.0, -0.0])]
+    assert run(spark, rows, 20) == brute(rows, 20)
+
+
 def test_repeated_query_rows_are_one_query(spark):
     rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.1, 0.0]), (2, [0.2, 0.0]), (3, [0.3, 0.0]), (4, [0.4, 0.0])]
     assert [r[2] for r in run(spark, rows, 4)] == [4, 3, 2, 1]

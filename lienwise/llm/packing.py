@@ -162,17 +162,20 @@ def pack(pieces: DataFrame, width: int = 1024, id_col: str = "doc_id") -> DataFr
     plan = slack_plan(histogram, width)
     stride = np.int64(1) << np.int64(44)
     start_key = plan[:, 0] * stride + plan[:, 1]
+    own = "_"  # begins the names of columns that no caller has
+    while any(c.startswith(own) for c in pieces.columns):
+        own += "_"
     # the pieces of one length are numbered over many small groups, so a length that most pieces have is no single task
     parts = 16 * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = pieces.withColumn("_part", F.pmod(F.xxhash64(id_col, "start"), F.lit(parts)))
-    sizes = held.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranked = held.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy(id_col, "start")) - 1)
-    numbered = ranked.join(before, ["length", "_part"]).withColumn("_index", F.col("_before") + F.col("_rank")).select(*pieces.columns, "_index")
+    held = pieces.withColumn(own + "part", F.pmod(F.xxhash64(id_col, "start"), F.lit(parts)))
+    sizes = held.groupBy("length", own + "part").agg(F.count(F.lit(1)).alias(own + "n"))
+    before = sizes.withColumn(own + "before", F.coalesce(F.sum(own + "n").over(Window.partitionBy("length").orderBy(own + "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop(own + "n")
+    ranked = held.withColumn(own + "rank", F.row_number().over(Window.partitionBy("length", own + "part").orderBy(id_col, "start")) - 1)
+    numbered = ranked.join(before, ["length", own + "part"]).withColumn(own + "index", F.col(own + "before") + F.col(own + "rank")).select(*pieces.columns, own + "index")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, index = (b.column(c).to_numpy().astype(np.int64) for c in ("length", "_index"))
+            length, index = (b.column(c).to_numpy().astype(np.int64) for c in ("length", own + "index"))
             row = plan[np.searchsorted(start_key, length * stride + index, side="right") - 1] if len(index) else plan[:0]
             at = index - row[:, 1]
             sequence, offset = row[:, 4] + at // np.maximum(row[:, 3], 1), row[:, 5] + at % np.maximum(row[:, 3], 1) * length

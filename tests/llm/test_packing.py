@@ -140,3 +140,11 @@ def test_odd_documents(odd_docs, no_docs):
     assert packing.pack(packing.token_pieces(no_docs)).collect() == []
     with pytest.raises(ValueError):
         packing.pack(pieces, width=8)
+
+
+def test_extra_columns_may_have_any_name(spark):
+    rows = [(i, 0, 1 + i % 9, "p", "x", 7, "r", "b", "n") for i in range(60)]
+    pieces = spark.createDataFrame(rows, "doc_id long, start long, length long, _part string, _index string, _rank int, _before string, _n string, __part string")
+    out = packing.pack(pieces, 16)
+    assert out.columns == [*pieces.columns, "sequence_id", "offset"]
+    assert sorted(map(tuple, out.select(pieces.columns).collect())) == sorted(map(tuple, rows))

@@ -28,9 +28,11 @@ from .storage import written
 #: Pairs that may be broadcast: 2**20 rows of 17 bytes.
 LISTED = 1 << 20
 #: Distinct pairs that a task holds before it passes its sums on.
-HELD = 1 << 21
+HELD = 1 << 20
 SALTS = 8
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+#: Packed links that a task unpacks at a time.
+LINK_BYTES = 1 << 20
 #: Distinct pieces whose ids are Python lists at a time.
 STEP = 1 << 14
 
@@ -270,7 +272,7 @@ def pair_counts(links: DataFrame, kind: str = "<u4") -> DataFrame:
         def rows(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.record_batch([pa.array(code), pa.array(n), pa.array(np.full(len(code), salt, np.int32))], ["code", "n", "salt"])
 
-        for b in batches:
+        for b in W.pieces(batches, "links", LINK_BYTES):
             code, n = np.unique(_codes(b.column("links"), kind)[0], return_counts=True)
             codes.append(code)
             counts.append(n.astype(np.int64))
@@ -315,7 +317,7 @@ def link_figures(docs: DataFrame, paths: tuple[str, str, str] | None = None, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n, best = table.value
-        for b in batches:
+        for b in W.pieces(batches, "links", LINK_BYTES):
             codes, ptr = _codes(b.column("links"), kind)
             at = np.minimum(np.searchsorted(known, codes), max(len(known) - 1, 0))
             hit = known[at] == codes if len(known) else np.zeros(len(codes), bool)

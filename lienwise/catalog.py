@@ -606,6 +606,17 @@ def led_append(spark, d):
     return ledger.append_by_token(_records(spark, d)).select("seq", "prev_hash", "hash")
 
 
+@query("SELECT token_id, max(seq) AS seq, arg_max(hash, seq) AS hash, count(*) AS n, 0 AS faults FROM chain GROUP BY token_id", _LED + _CHAIN, True)
+def led_append_again(spark, d):
+    """Two appends, the second from the heads of the first, which alone verify it."""
+    rows = _records(spark, d)
+    half = rows.agg(F.max("seq")).first()[0] // 2
+    first = settled(ledger.heads(ledger.append_by_token(rows.where(F.col("seq") <= half))), "heads")
+    more = settled(ledger.append_by_token(rows.where(F.col("seq") > half), first), "chain")
+    faults = ledger.verify(more, "token_id", first).join(more.select("seq", "token_id"), "seq").groupBy("token_id").agg(F.count(F.lit(1)).alias("faults"))
+    return ledger.moved_heads(first, more).join(faults, "token_id", "left").withColumn("faults", F.coalesce("faults", F.lit(0)))
+
+
 @query("SELECT token_id, max(seq) AS seq, arg_max(hash, seq) AS hash, count(*) AS n FROM chain GROUP BY token_id", _LED + _CHAIN, True)
 def top1_chain_head(spark, d):
     return ledger.heads(ledger.append_by_token(_records(spark, d)))

@@ -23,24 +23,28 @@ def record_hash(prev: Column) -> Column:
     return F.sha2(F.concat_ws(_SEPARATOR, F.coalesce(prev, F.lit("")), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in FIELDS]), 256)
 
 
-def _chained(records: DataFrame, key: str | None) -> DataFrame:
+def _chained(records: DataFrame, key: str | None, held: DataFrame | None = None) -> DataFrame:
     names = records.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, prev = object(), ""
         for b in batches:
             before, after = [], []
-            for row, k in zip(b["_body"], b[key] if key else [None] * len(b), strict=True):
+            for row, k, head in zip(b["_body"], b[key] if key else [None] * len(b), b["_head"], strict=True):
                 if k != group:
-                    group, prev = k, ""
+                    group, prev = k, head
                 before.append(prev)
                 prev = hashlib.sha256(f"{prev}{_SEPARATOR}{row}".encode()).hexdigest()
                 after.append(prev)
-            yield b.drop(columns="_body").assign(prev_hash=before, hash=after)
+            yield b.drop(columns=["_body", "_head"]).assign(prev_hash=before, hash=after)
 
     body = F.concat_ws(_SEPARATOR, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in FIELDS])
-    held = records.withColumn("_body", body)
-    ordered = held.repartition(key).sortWithinPartitions(key, "seq") if key else held.repartition(1).sortWithinPartitions("seq")
+    rows = records.withColumn("_body", body)
+    if held is None:
+        rows = rows.withColumn("_head", F.lit(""))
+    else:
+        rows = rows.join(held.select(key, F.col("hash").alias("_head")), key, "left").select(*names, "_body", F.coalesce("_head", F.lit("")).alias("_head"))
+    ordered = rows.repartition(key).sortWithinPartitions(key, "seq") if key else rows.repartition(1).sortWithinPartitions("seq")
     schema = ", ".join(f"`{c}` {records.schema[c].dataType.simpleString()}" for c in names)
     return ordered.mapInPandas(run, f"{schema}, prev_hash string, hash string")
 
@@ -51,9 +55,18 @@ def append(records: DataFrame) -> DataFrame:
     return _chained(records, None)
 
 
-def append_by_token(records: DataFrame) -> DataFrame:
-    """The same for a chain per token_id, all in parallel."""
-    return _chained(records, "token_id")
+def append_by_token(records: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """The same for a chain per token_id, all in parallel. ``held`` (token_id,
+    hash; see ``heads``) are the heads of an earlier append that these records,
+    all of later seq, go on from; so a run reads no chain again."""
+    return _chained(records, "token_id", held)
+
+
+def moved_heads(held: DataFrame, chains: DataFrame) -> DataFrame:
+    """The heads after an append: those of the tokens that got records take the
+    place of the ones before, and lengths add up."""
+    both = held.select("token_id", "seq", "hash", "n").unionByName(heads(chains))
+    return both.groupBy("token_id").agg(F.max("seq").alias("seq"), F.max_by("hash", "seq").alias("hash"), F.sum("n").alias("n"))
 
 
 def heads(chains: DataFrame) -> DataFrame:
@@ -69,13 +82,17 @@ def merkle_root(chains: DataFrame) -> DataFrame:
     return buckets.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("root"))
 
 
-def verify(chain: DataFrame, key: str | None = None) -> DataFrame:
+def verify(chain: DataFrame, key: str | None = None, held: DataFrame | None = None) -> DataFrame:
     """Faulty records: ``broken`` where prev_hash is not the hash before,
     ``tampered`` where the fields don't give the hash. With ``key`` a chain for
     each of its values; else one, whose lag runs in ranges of seq with their
-    edges joined."""
+    edges joined. ``held``: the heads (key, hash) before these records, where
+    they are the later part of chains."""
     if key:
         rows, before = chain, F.lag("hash").over(Window.partitionBy(key).orderBy("seq"))
+        if held is not None:
+            rows = chain.join(held.select(key, F.col("hash").alias("_head")), key, "left")
+            before = F.coalesce(before, F.col("_head"))
     else:
         ranges = chain.withColumn("_r", (F.col("seq") / 65536).cast("long"))
         edge = ranges.groupBy("_r").agg(F.max_by("hash", "seq").alias("_edge"))

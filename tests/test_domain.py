@@ -375,3 +375,19 @@ def test_retraining_trains_where_it_can(spark):
     seeds = hops.where("f1 % 2 = 0").select("node", (F.col("f1") > 20).cast("double").alias("label"))
     learned = {r["node"]: r["learned"] for r in training.learned_network_risk(hops, seeds, trees=5).collect()}
     assert len(learned) == 60 and learned["token:51"] > learned["token:3"]
+
+
+def test_two_appends_are_one(spark):
+    rows = spark.createDataFrame([(i, f"t{i * i % 3}", f"e{i}", "d", "ALLOW", "C", "", "", 1, i) for i in range(40)], "seq long, token_id string, evaluation_id string, request_digest string, decision string, code string, predicate_failed string, evidence_digest string, policy_version int, ts long")
+    whole = ledger.append_by_token(rows)
+    first = ledger.append_by_token(rows.where("seq < 17"))
+    held = ledger.heads(first)
+    rest = ledger.append_by_token(rows.where("seq >= 17 and token_id <> 't0' or seq > 30"), held)
+    skipped = rows.where("seq >= 17 and token_id = 't0' and seq <= 30").count()
+    assert skipped  # a token can miss an append
+    same = lambda df: sorted((r["seq"], r["prev_hash"], r["hash"]) for r in df.where("token_id <> 't0'").collect())
+    assert same(first.unionByName(rest)) == same(whole)
+    assert sorted(map(tuple, ledger.moved_heads(held, rest).where("token_id <> 't0'").collect())) == sorted(map(tuple, ledger.heads(whole).where("token_id <> 't0'").collect()))
+    assert ledger.verify(rest, "token_id", held).count() == 0
+    assert {r["seq"] for r in ledger.verify(rest.withColumn("code", F.when(F.col("seq") == 20, "X").otherwise(F.col("code"))), "token_id", held).collect()} == {20} - {r["seq"] for r in rows.where("seq = 20 and token_id = 't0'").collect()}
+    assert ledger.verify(rest, "token_id").count() > 0  # without the heads its first links are broken

@@ -45,8 +45,7 @@ def test_the_hot_key_is_cut_and_no_other(log):
     assert set(ranges.values()) == {(1, 0)}
 
 
-@pytest.mark.parametrize("dealing", [{}, SMALL])
-@pytest.mark.parametrize("block", [None, 7])
+@pytest.mark.parametrize(("dealing", "block"), [({}, None), (SMALL, 7)])
 def test_scans_equal_the_fold(log, dealing, block):
     want = fold(log)
     got = {r["seq"]: r for r in behaviour.amounts(log, block=block, **dealing).collect()}
@@ -54,10 +53,11 @@ def test_scans_equal_the_fold(log, dealing, block):
     for k, r in got.items():
         assert r["n_amount"] == want[k][4] and close(r["ewma_mean"], want[k][6]) and close(r["ewma_mad"], want[k][7])
         assert r["z"] == pytest.approx(want[k][2], rel=1e-6, abs=1e-9)
+    got = {r["seq"]: r for r in behaviour.gaps(log, block=block, **dealing).collect()}
+    assert got
+    for k, r in got.items():
+        assert close(r["speed"], want[k][3]) and r["n_gap"] == want[k][5]
     if block is None:
-        got = {r["seq"]: r for r in behaviour.gaps(log, **dealing).collect()}
-        for k, r in got.items():
-            assert close(r["speed"], want[k][3]) and r["n_gap"] == want[k][5]
         last = {r["principal"]: r for r in behaviour.ewma(log, **dealing).collect()}
         assert last["one"]["ewma_mean"] == 7 and last["same"]["ewma_mad"] == 0
 

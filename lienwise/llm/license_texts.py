@@ -66,5 +66,27 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("MIT", "Licensed under MIT."),
+    ("MIT", "This software is licensed under the terms of the MIT license."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("ISC", "Released under the ISC License."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
     ("Proprietary", "All rights reserved."),
 )
+
+#: Identifiers as they stand in files after "SPDX-License-Identifier:".
+IDENTIFIERS = "MIT ISC Apache-2.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later BSD-2-Clause BSD-3-Clause MPL-2.0 BSL-1.0 Unlicense Zlib CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 EPL-2.0 WTFPL".split()
+
+TEMPLATES += tuple((name, f"SPDX-License-Identifier: {name}") for name in IDENTIFIERS)
+
+#: Words that stand for a part of an identifier in wordings.
+SPELLED = {"agpl": "affero", "bsl": "boost", "by": "attribution", "gpl": "gnu general", "lgpl": "lesser", "mpl": "mozilla", "nc": "noncommercial", "nd": "noderivatives", "sa": "sharealike"}

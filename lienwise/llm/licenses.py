@@ -7,13 +7,16 @@ stretches of a text with so many so close together are the candidate blocks,
 whatever lines or sentences they stand in.
 Each block is compressed alone and with every template as a raw zstandard
 dictionary. Templates that make it smaller are taken in the order of their size
-reductions and confirmed by the exact wording: the window of the block that
-agrees best, with the words that it lacks and adds.
+reductions, and the first that the exact wording confirms wins: by the window of
+the block that agrees best, with the words that it lacks and adds. Wordings that
+save as much but for a few bytes, which is one version number against another,
+are told apart by the words in common.
 """
 
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .license_texts import TEMPLATES
+from .license_texts import SPELLED, TEMPLATES
 
 LEVEL = 3
+#: Size reductions so many bytes apart are equal: a literal costs its byte and up to three for its run.
+CLOSE = 4
+#: A shorter wording has to have its license's name, the shortest ones every word.
+NAMED, WHOLE = 20, 4
 _OTHER = np.ones(256, bool)
 _OTHER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -36,7 +43,7 @@ class Scanner:
     def __init__(self, templates: tuple = TEMPLATES, agree: float = 0.8) -> None:
         split = W.split_words(pa.array([text for _, text in templates], pa.large_string()), space=_OTHER)
         hashes, own = split.hashes(), range(len(templates))
-        self.agree, self.names, self.words, self.needs = agree, [], [], []
+        self.agree, self.names, self.words, self.needs, self.key = agree, [], [], [], []
         known: dict[int, int] = {}
         for i in own:
             a, z = split.ptr[i], split.ptr[i + 1]
@@ -46,6 +53,9 @@ class Scanner:
                 known[h] = known.get(h, 0) | 1 << len(self.names)
             self.names.append(templates[i][0])
             self.words.append([split.data[x:y].tobytes() for x, y in zip(split.starts[a:z], split.ends[a:z], strict=True)])
+            parts = re.findall(r"[0-9a-z]+", templates[i][0].lower())
+            named = {w.encode() for part in parts for w in (part, *SPELLED.get(part, "").split())}
+            self.key.append([n for n, w in enumerate(self.words[-1]) if z - a < WHOLE or z - a < NAMED and w in named])
             self.needs.append(int(np.ceil(agree / (2 - agree) * (z - a) - 1e-9)))
         self.keys = np.array(sorted(known), np.uint64)
         self.masks = [known[int(k)] for k in self.keys]
@@ -82,47 +92,55 @@ class Scanner:
                 out.append((low, high))
         return out
 
-    def ranked(self, words: list[bytes]) -> list[tuple[float, int]]:
-        """(size reduction, template) of all templates that make the block
-        smaller, best first, ties in the order of the templates: the share of
-        the block's own compressed size that the template's wording saves."""
+    def ranked(self, words: list[bytes]) -> tuple[int, list[tuple[int, int]]]:
+        """The compressed size of a block, and (bytes that its wording saves,
+        template) of all templates that make it smaller, best first, ties in the
+        order of the templates."""
         block = b" ".join(words)
         base = len(self.alone.compress(block))
-        shares = [(1 - len(c.compress(block)) / base, i) for i, c in enumerate(self.given)]
-        return sorted(((share, i) for share, i in shares if share > 0), key=lambda x: (-x[0], x[1]))
+        saved = [(base - len(c.compress(block)), i) for i, c in enumerate(self.given)]
+        return base, sorted(((x, i) for x, i in saved if x > 0), key=lambda x: (-x[0], x[1]))
 
     def best_window(self, template: int, words: list[bytes]) -> tuple[float, int, int, list] | None:
         """(agreement, first, end, runs in common) of the window of a block
-        that agrees best with a template."""
-        wording = self.words[template]
+        that agrees best with a template and has the words that name it."""
+        wording, key = self.words[template], self.key[template]
         runs = [r for r in difflib.SequenceMatcher(None, wording, words, autojunk=False).get_matching_blocks() if r.size]
+        keys = [sum(r.a <= k < r.a + r.size for k in key) for r in runs]
         best = None
         for i in range(len(runs)):
-            same = 0
+            same = named = 0
             for j in range(i, len(runs)):
                 same += runs[j].size
+                named += keys[j]
                 span = runs[j].b + runs[j].size - runs[i].b
                 score = 2 * same / (len(wording) + span)
-                if best is None or score > best[0]:
+                if named == len(key) and (best is None or score > best[0]):
                     best = (score, runs[i].b, runs[j].b + runs[j].size, runs[i : j + 1])
         return best
 
     def notices(self, words: list[bytes]) -> list[tuple]:
         """(first, end, template, reduction, agreement, lacking, added,
         differences) of the notices of a block that don't overlap: time after
-        time the one that explains most words."""
+        time the one of the greatest reduction that the wording confirms."""
         out, todo = [], [(0, len(words))]
         while todo:
             low, high = todo.pop()
-            best = None
-            for reduction, t in self.ranked(words[low:high]) if high - low >= min(self.needs) else ():
+            if high - low < min(self.needs):
+                continue
+            best, least = None, 1
+            base, order = self.ranked(words[low:high])
+            for saved, t in order:
+                if saved < least:
+                    break
                 if self.needs[t] > high - low:
                     continue
                 window = self.best_window(t, words[low:high])
                 if window and window[0] >= self.agree:
+                    least = max(least, saved - CLOSE)
                     same = sum(r.size for r in window[3])
                     if best is None or (same, window[0]) > best[:2]:
-                        best = (same, window[0], t, reduction, window)
+                        best = (same, window[0], t, saved / base, window)
             if best is None:
                 continue
             same, score, t, reduction, (_, a, z, runs) = best
@@ -146,10 +164,14 @@ def license_notices(docs: DataFrame, templates: tuple = TEMPLATES, agree: float
     """``(id_col, place, license, reduction, agreement, words_lacking,
     words_added, differences)``: one row per notice, at its byte offset in the
     whole text. Agreement is twice the words in common, in order, over the words
-    of both sides; a notice has ``agree`` or more. Of windows that overlap the
-    one with most words in common counts (ties: the higher agreement, then the
-    greater reduction, then the earlier template). Null and empty texts have
-    none; repeated rows repeat their notices; extra columns are ignored."""
+    of both sides; a notice has ``agree`` or more, and of wordings of fewer than
+    ``NAMED`` words the words of the license's name (spelled out or not; all words below ``WHOLE``).
+    ``reduction`` is the share of the block's compressed size that the wording
+    saves. Of windows that overlap the one of the greatest reduction counts;
+    within ``CLOSE`` bytes of it the one with most words in common (ties: the
+    higher agreement, then the greater reduction, then the earlier template).
+    Null and empty texts have none, texts of any length are scanned whole;
+    repeated rows repeat their notices; extra columns are ignored."""
     if not 2 / 3 <= agree <= 1:
         raise ValueError("agreement lies in [2/3, 1]")
 

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from . import words as W
 from .license_texts import SPELLED, TEMPLATES
 
-LEVEL = 3
+#: Levels below 13 index short dictionaries in part and can miss a whole wording of them.
+LEVEL = 19
 #: Size reductions so many bytes apart are equal: a literal costs its byte and up to three for its run.
 CLOSE = 4
 #: A shorter wording has to have its license's name, the shortest ones every word.

@@ -74,6 +74,17 @@ def test_one_line_notices_need_the_name(spark):
     assert names(spark, [prose(3, 20) + ".\n" + t + "\n" + prose(4, 20) for t in texts]) == list(texts.values())
 
 
+def test_short_wordings_between_any_words_make_blocks_smaller():
+    s = licenses.Scanner()
+    for i, wording in enumerate(s.words):
+        for n in range(6):
+            before, after = (words_of(prose(10 * i + n, k)) for k in (n, 2 * n))
+            saved = dict((t, x) for x, t in s.ranked([*before, *wording, *after])[1])
+            assert saved[i] >= max(saved.values()) - licenses.CLOSE, (i, n)
+    for text in ("oneaea is esth eawhha enesnd this that onreathaat the anndea. The. Released under the MIT License.", "Released under the MIT License. Er thntth. Ersteain, erinor asanhetioning the. Is onnd thatat ntat the of"):
+        assert [s.names[n[2]] for n in s.notices(words_of(text))] == ["MIT"]
+
+
 def test_size_reductions_choose(spark, monkeypatch):
     """A wording that saves most wins over a loose one with more words in common, which wins where all reductions are equal."""
     text = "this extraordinarily small file may be redistributed by anyone who acknowledges its two first makers and us as to it no".split()

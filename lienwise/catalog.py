@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import behaviour, blockstate, evaluate, features, graph, intent, ledger, log, predicates, reputation, sketches, training, vault
+from .operators import behaviour, blockstate, evaluate, features, graph, intent, ledger, log, predicates, quantiles, reputation, sketches, training, vault
 from .operators import labels as labelling
 from .params import Params
 from .plans import replay, scenario, verdicts
@@ -372,6 +372,18 @@ def agg_p2_quantile(spark, d):
     return behaviour.signals(_observed(spark, d)).groupBy("principal").agg(F.round(F.max_by("p95", "seq"), 4).alias("p95"))
 
 
+@query(
+    "SELECT principal, seq, n_amount, round(usual, 4) AS usual, round(CASE WHEN x <= usual THEN 0 ELSE 1 - exp(-(x - usual) / (usual + 1e-9)) END, 6) AS d_p95 FROM near",
+    """
+own AS (SELECT token_id AS principal, seq, CAST(amount_paise AS DOUBLE) AS x FROM bus WHERE type IN ('decision.made', 'payment.captured') AND amount_paise > 0),
+past AS (SELECT *, row_number() OVER w - 1 AS n_amount, list_sort(list(x) OVER (PARTITION BY principal ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS xs FROM own WINDOW w AS (PARTITION BY principal ORDER BY seq)),
+exact AS (SELECT *, xs[1 + CAST(least(n_amount - 1, floor(CAST(0.95 AS DOUBLE) * n_amount)) AS BIGINT)] AS e FROM past),
+near AS (SELECT *, CASE WHEN n_amount = 0 THEN 0 ELSE 2 * pow(CAST(1.005 AS DOUBLE) / CAST(0.995 AS DOUBLE), ceil(ln(e) / ln(CAST(1.005 AS DOUBLE) / CAST(0.995 AS DOUBLE)))) / (CAST(1.005 AS DOUBLE) / CAST(0.995 AS DOUBLE) + 1) END AS usual FROM exact)""",
+)
+def win_p95_excess(spark, d):
+    return quantiles.running(_observed(spark, d)).select("principal", "seq", "n_amount", F.round("usual", 4).alias("usual"), F.round("d_over", 6).alias("d_p95"))
+
+
 @query("SELECT round(1 - (1 - d1) * (1 - d2) * (1 - d3), 6) AS risk, count(*) AS n FROM (SELECT (k % 10) / 20.0 AS d1, (k % 7) / 14.0 AS d2, (k % 3) / 6.0 AS d3 FROM bus) GROUP BY 1")
 def agg_noisy_or(spark, d):
     k = F.col("k")

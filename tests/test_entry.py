@@ -28,7 +28,7 @@ def plain(v):
     return round(v, 4) + 0.0 if isinstance(v, float) else str(v) if isinstance(v, str) else v
 
 
-@pytest.mark.parametrize("name", ["win_dedupe_event", "win_consumed_running", "agg_nonce_set", "pred_cascade", "proj_verdict", "agg_feature_merge", "join_stepup_capture", "win_amount_z", "win_velocity", "graph_floor", "graph_network_risk", "graph_hop_features", "led_append", "led_per_token", "led_from_event", "led_verify", "proj_tool_floor", "fn_tokenise", "vlt_reveal", "join_label_pit", "agg_expected_loss"])
+@pytest.mark.parametrize("name", ["win_dedupe_event", "win_consumed_running", "agg_nonce_set", "pred_cascade", "proj_verdict", "agg_feature_merge", "join_stepup_capture", "win_amount_z", "win_p95_excess", "win_velocity", "graph_floor", "graph_network_risk", "graph_hop_features", "led_append", "led_per_token", "led_from_event", "led_verify", "proj_tool_floor", "fn_tokenise", "vlt_reveal", "join_label_pit", "agg_expected_loss"])
 def test_against_oracle(spark, name):
     con = duckdb.connect()
     for t in ("customer", "orders", "lineitem", "events", "documents", "embeddings"):

@@ -11,6 +11,7 @@ one sketch of a principal, whatever its share of all events.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -56,28 +57,49 @@ def _before(counts: DataFrame) -> DataFrame:
     return held.select("principal", F.explode(reach).alias("_block"), "_bin", F.col("_sum").alias("_c"))
 
 
+def _prior(q: float, bins: np.ndarray, counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The bin of the quantile before each event of a block. First come the bins
+    with counts from before the block (n = -1), then its events in their order."""
+    cut = int(np.searchsorted(n, 0))
+    names, at = np.unique(bins, return_inverse=True)
+    base = np.zeros(len(names), np.int64)
+    base[at[:cut]] = counts[:cut]
+    at, n = at[cut:], n[cut:]
+    place = np.minimum(n - 1, np.floor(q * n).astype(np.int64))
+    found, step = np.zeros(len(n), np.int64), max(1, CELLS // len(names))
+    for a in range(0, len(n), step):
+        z = min(a + step, len(n))
+        seen = np.zeros((z - a + 1, len(names)), np.int64)
+        seen[0] = base
+        seen[np.arange(1, z - a + 1), at[a:z]] = 1
+        seen = np.cumsum(seen, axis=0)
+        base = seen[-1]
+        found[a:z] = np.argmax(np.cumsum(seen[:-1], axis=1) > place[a:z, None], axis=1)
+    return names[found]
+
+
 def _finished(q: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        known = rows["_n"].isna().to_numpy()
-        own = rows[~known].sort_values("_n")
-        bins, at = np.unique(np.concatenate([rows["_bin"].to_numpy()[known], own["_bin"].to_numpy()]), return_inverse=True)
-        cut = int(known.sum())
-        base = np.zeros(len(bins), np.int64)
-        base[at[:cut]] = rows["_c"].to_numpy()[known]
-        at, n = at[cut:], own["_n"].to_numpy(np.int64)
-        place = np.minimum(n - 1, np.floor(q * n).astype(np.int64))
-        found, step = np.zeros(len(n), np.int64), max(1, CELLS // len(bins))
-        for a in range(0, len(n), step):
-            z = min(a + step, len(n))
-            seen = np.zeros((z - a + 1, len(bins)), np.int64)
-            seen[0] = base
-            seen[np.arange(1, z - a + 1), at[a:z]] = 1
-            seen = np.cumsum(seen, axis=0)
-            base = seen[-1]
-            found[a:z] = np.argmax(np.cumsum(seen[:-1], axis=1) > place[a:z, None], axis=1)
-        prior = pd.array(bins[found], "Int32")
-        prior[n == 0] = pd.NA
-        return pd.DataFrame({"principal": own["principal"], "seq": own["seq"], "amount_paise": own["amount_paise"], "n_amount": n, "_prior": prior})
+    """Sorted rows of blocks to events; the last block of a batch waits for the next one."""
+
+    def ended(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        n, bins, counts = (rows[c].to_numpy(np.int64) for c in ("_n", "_bin", "_c"))
+        own = n >= 0
+        prior = [_prior(q, bins[a:z], counts[a:z], n[a:z]) for a, z in zip(starts, [*starts[1:], len(rows)], strict=True)]
+        out = rows.loc[own, ["principal", "seq", "amount_paise"]].assign(n_amount=n[own], _prior=np.concatenate(prior))
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            rows = b if held is None else pd.concat([held, b], ignore_index=True)
+            who, block = rows["principal"].to_numpy(object), rows["_block"].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (block[1:] != block[:-1])])) if len(rows) else np.zeros(0, int)
+            if len(starts) > 1:
+                yield ended(rows.iloc[: starts[-1]], starts[:-1])
+                rows = rows.iloc[starts[-1] :].reset_index(drop=True)
+            held = rows
+        if held is not None and len(held):
+            yield ended(held, np.zeros(1, int))
 
     return run
 
@@ -96,9 +118,10 @@ def running(log: DataFrame, q: float = 0.95, error: float = ERROR, block: int =
     rows = scan.numbered(rows, ["principal"], "seq", **dealing)
     rows = settled(rows.withColumn("_block", F.floor(F.col("_n") / block)).withColumn("_bin", bin_of(F.col("amount_paise").cast("double"), error)), "amounts")
     counts = settled(rows.groupBy("principal", "_block", "_bin").agg(F.count(F.lit(1)).alias("_c")), "sketches")
-    empty = F.lit(None).cast("long")
-    both = rows.withColumn("_c", empty).unionByName(_before(counts).withColumns({"seq": empty, "amount_paise": empty, "_n": empty}))
-    out = both.groupBy("principal", "_block").applyInPandas(_finished(q), "principal string, seq long, amount_paise long, n_amount long, _prior int")
-    out = out.withColumn("usual", F.coalesce(middle_of(F.col("_prior"), error), F.lit(0.0)))
+    none = F.lit(0).cast("long")
+    both = rows.withColumn("_c", none).unionByName(_before(counts).withColumns({"seq": none, "amount_paise": none, "_n": none - 1}))
+    both = both.repartition("principal", "_block").sortWithinPartitions("principal", "_block", "_n")
+    out = both.mapInPandas(_finished(q), "principal string, seq long, amount_paise long, n_amount long, _prior long")
+    out = out.withColumn("usual", F.when(F.col("n_amount") > 0, middle_of(F.col("_prior"), error)).otherwise(0.0))
     out = out.withColumn("over", F.greatest(F.lit(0.0), (F.col("amount_paise") - F.col("usual")) / (F.col("usual") + p.epsilon)))
     return out.withColumn("d_over", S.squash(F.col("over"), p.p95_scale)).drop("_prior")

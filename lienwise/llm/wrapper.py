@@ -17,6 +17,7 @@ all pages as pre-aggregated rows.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -33,8 +34,8 @@ from .storage import written
 #: which means on so many different contents.
 SHARE, TIMES = 0.5, 3
 BROADCAST_ROWS = 100_000
-#: Lists of children with more cells than this are matched first come, first served.
-CELLS = 1 << 22
+#: Cells of a table of matches, and weights of pairs, that are held at once; beyond that they are found again.
+CELLS = 1 << 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|title)\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-z][a-z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)/?>|<[!?/a-z][^>]*+>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -163,63 +164,146 @@ def _tree(signature: str) -> tuple[list[str], list[list[int]]]:
     return labels, children
 
 
-def _in_order(x: list[int], y: list[int], la: list[str], lb: list[str]) -> list[tuple[int, int]]:
-    """Children matched first come, first served, a partner at most 64 ahead."""
-    pairs, start = [], 0
-    for u in x:
-        at = next((j for j in range(start, min(len(y), start + 64)) if lb[y[j]] == la[u]), None)
-        if at is not None:
-            pairs.append((u, y[at]))
-            start = at + 1
-    return pairs
-
-
-def _matched(x: list[int], y: list[int], weight: dict[tuple[int, int], int]) -> tuple[int, list[tuple[int, int]]]:
-    """A heaviest order-preserving match of two lists of children."""
-    best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i, u in enumerate(x):
-        row = np.array([weight.get((u, v), 0) for v in y], np.int32)
-        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + row))
-    pairs, i, j = [], len(x), len(y)
-    while i and j:
-        if best[i, j] == best[i - 1, j]:
-            i -= 1
-        elif best[i, j] == best[i, j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((x[i], y[j]))
-    return int(best[-1, -1]), pairs
+def _classes(trees: list[tuple[list[str], list[list[int]]]]) -> tuple[list[str], list[list[int]], list[list[int]]]:
+    """Equal subtrees as one class: the label and the children's classes of each
+    class, and for each tree the class of each node. Children have higher numbers
+    than their parents, and lower classes."""
+    known: dict[tuple, int] = {}
+    labels, inner, out = [], [], []
+    for names, children in trees:
+        own = [0] * len(names)
+        for n in range(len(names) - 1, -1, -1):
+            key = (names[n], tuple(own[c] for c in children[n]))
+            if key not in known:
+                known[key] = len(labels)
+                labels.append(key[0])
+                inner.append(list(key[1]))
+            own[n] = known[key]
+        out.append(own)
+    return labels, inner, out
+
+
+class _Matching:
+    """The heaviest order-preserving match of any two classes of subtrees.
+
+    Exact for lists of any length: a table of matches is kept row by row, and
+    where it is to be read back, in as many rows as need be between kept ones.
+    Weights of pairs are remembered up to ``CELLS`` of them and found again
+    beyond that, so long lists cost time, not memory."""
+
+    def __init__(self, labels: list[str], inner: list[list[int]], cells: int = 0) -> None:
+        self.labels, self.inner, self.cells = labels, inner, cells or CELLS
+        self.known: dict[tuple[int, int], int] = {}
+
+    def weight(self, a: int, b: int) -> int:
+        """The size of the match of two classes of one label. Pairs that wait
+        for those below them are a stack, so deep trees need no recursion."""
+        waiting, value = [self._weigh(a, b)], None
+        while waiting:
+            try:
+                pair = waiting[-1].send(value)
+            except StopIteration as done:
+                waiting.pop()
+                value = done.value
+            else:
+                waiting.append(self._weigh(*pair))
+                value = None
+        return value
+
+    def _weigh(self, a: int, b: int):
+        if not self.inner[a] or not self.inner[b]:
+            return 1
+        if (a, b) not in self.known:
+            last = None
+            rows = self._rows(a, b, None, 0, len(self.inner[a]))
+            value = None
+            while True:
+                try:
+                    got = rows.send(value)
+                except StopIteration:
+                    break
+                value = None
+                if isinstance(got, tuple):
+                    value = yield got
+                else:
+                    last = got
+            if len(self.known) >= self.cells:
+                self.known.clear()
+            self.known[a, b] = int(last[-1]) + 1
+            return int(last[-1]) + 1
+        return self.known[a, b]
+
+    def _rows(self, a: int, b: int, row: np.ndarray | None, start: int, end: int):
+        """The rows of the table after each of the children ``start`` to ``end``
+        of ``a``; pairs whose weight it needs come as tuples."""
+        y, column = np.unique(np.array(self.inner[b]), return_inverse=True)
+        y, by_class = y.tolist(), {}
+        row = np.zeros(len(column) + 1, np.int32) if row is None else row
+        for u in self.inner[a][start:end]:
+            if u not in by_class:
+                if len(by_class) * len(y) >= self.cells:
+                    by_class.clear()
+                found = np.zeros(len(y), np.int32)
+                for n, v in enumerate(y):
+                    if self.labels[u] == self.labels[v]:
+                        found[n] = yield (u, v)
+                by_class[u] = found
+            new = np.zeros_like(row)
+            np.maximum.accumulate(np.maximum(row[1:], row[:-1] + by_class[u][column]), out=new[1:])
+            row = new
+            yield row
+
+    def _table(self, a: int, b: int, row: np.ndarray, start: int, end: int) -> Iterator[np.ndarray]:
+        rows, value = self._rows(a, b, row, start, end), None
+        while True:
+            try:
+                got = rows.send(value)
+            except StopIteration:
+                return
+            value = self.weight(*got) if isinstance(got, tuple) else None
+            if value is None:
+                yield got
+
+    def pairs(self, a: int, b: int) -> list[tuple[int, int]]:
+        """The places of the matched children of two classes, last ones first."""
+        n, m = len(self.inner[a]), len(self.inner[b])
+        if not n or not m:
+            return []
+        step = max(self.cells // (m + 1), math.isqrt(n) + 1)
+        kept = [np.zeros(m + 1, np.int32)]
+        for i, row in enumerate(self._table(a, b, kept[0], 0, (n - 1) // step * step), 1):
+            if i % step == 0:
+                kept.append(row)
+        out, i, j = [], n, m
+        for start in range((n - 1) // step * step, -1, -step):
+            best = [kept[start // step], *self._table(a, b, kept[start // step], start, i)]
+            while i > start and j:
+                if best[i - start][j] == best[i - start - 1][j]:
+                    i -= 1
+                elif best[i - start][j] == best[i - start][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((i, j))
+            i = start
+        return out
 
 
 def align(page: str, wrapper: str) -> list[int]:
     """Simple tree matching: for each node of ``page`` its partner in
     ``wrapper`` (-1: none) in a largest order-preserving match of both trees,
-    level by level without recursion."""
-    la, ca = _tree(page)
+    whatever their size."""
+    trees = [_tree(page), _tree(wrapper)]
+    (la, ca), (_, cb) = trees
     if page == wrapper:
         return list(range(len(la)))
-    lb, cb = _tree(wrapper)
-    met, chosen = [(0, 0)], {}
-    for a, b in met:  # grows while it is read; children come after their parents
-        if len(ca[a]) * len(cb[b]) <= CELLS:
-            met += [(u, v) for u in ca[a] for v in cb[b] if la[u] == lb[v]]
-        else:
-            chosen[a, b] = _in_order(ca[a], cb[b], la, lb)
-            met += chosen[a, b]
-    weight: dict[tuple[int, int], int] = {}
-    for a, b in reversed(met):
-        inner = 0
-        if (a, b) in chosen:
-            inner = sum(weight[x] for x in chosen[a, b])
-        elif ca[a] and cb[b]:
-            inner, chosen[a, b] = _matched(ca[a], cb[b], weight)
-        weight[a, b] = inner + 1
+    labels, inner, (a_class, b_class) = _classes(trees)
+    matching = _Matching(labels, inner)
     out, todo = [-1] * len(la), [(0, 0)]
     while todo:
         a, b = todo.pop()
         out[a] = b
-        todo += chosen.get((a, b), [])
+        todo += [(ca[a][i], cb[b][j]) for i, j in matching.pairs(a_class[a], b_class[b])]
     return out
 
 
@@ -327,8 +411,7 @@ def extract(pages: DataFrame, share: float = SHARE) -> DataFrame:
     main element below it, where three contents or more fill its wrapper node
     and that is no template, or where else nothing of its page would be left. If
     a page has an article or main element with such text, all outside goes.
-    Lists of children are matched exactly up to ``CELLS`` pairs (2048 different
-    children each), longer ones first come, first served. Copies of a page are
+    Lists of children of any length are matched exactly. Copies of a page are
     one content, so a host of one page, or of copies only, has no template, and
     so has the empty host of pages without one. Of equally common trees the
     greatest string is the wrapper. Null html is empty; repeated rows stay; an

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from lienwise.llm import wrapper
@@ -151,3 +153,21 @@ def test_template_goes_and_content_stays(spark):
     assert got[101]["text"] == "Welcome\nThe same page"
     assert (got[200]["text"], got[200]["n_chars"], got[202]["text"]) == ("", 0, "") and got[201]["text"] == "q"
     assert wrapper.extract(df.limit(0)).collect() == []
+
+
+def test_long_lists_are_matched_as_exactly_as_short_ones(monkeypatch):
+    rng = random.Random(3)
+    lists = [" ".join(f"0:{rng.choice('abcde')}" for _ in range(n)) for n in (2300, 2200)]
+    best = [[0] * 2201]
+    for x in lists[0].split(" "):  # the length of the longest common subsequence
+        row = [0]
+        for j, y in enumerate(lists[1].split(" ")):
+            row.append(best[-1][j] + 1 if x == y else max(best[-1][j + 1], row[-1]))
+        best.append(row)
+    assert sum(j >= 0 for j in wrapper.align(*lists)) == best[-1][-1] + 1
+    for _ in range(100):
+        trees = [" ".join(f"{rng.randrange(max(0, i - 5), i)}:{rng.choice('ab')}" for i in range(1, 25)) for _ in range(2)]
+        whole = wrapper.align(*trees)
+        with monkeypatch.context() as m:
+            m.setattr(wrapper, "CELLS", 3)
+            assert wrapper.align(*trees) == whole

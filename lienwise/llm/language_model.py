@@ -12,7 +12,8 @@ The log of the numerator needs what is known about w under its predecessors,
 that of the denominator what is known about v under its predecessor; so one
 shuffle by word brings every occurrence to the shard that counts it, builds its
 part of the trie and scores it, and no shard needs another's counts, but for a
-bounded list of the words seen more than K times, which is broadcast. Words that
+bounded list of the most frequent words, which is broadcast; counts of other
+words seen more than K times come to the shards that ask for them. Words that
 a shard could not hold are split by their predecessor, pairs that it could not
 hold by the word before, and triples by the block; the counts of those, bounded
 lists too, are broadcast. Occurrences travel in packed blocks; what comes back
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -203,6 +204,14 @@ class Model:
     short_counts: np.ndarray
     hot: list[Listed]
 
+    def __post_init__(self) -> None:
+        order = np.lexsort((-self.short_counts, self.short))  # of words of equal bits the most frequent counts
+        self.short, self.short_counts = self.short[order], self.short_counts[order]
+
+    def knowing(self, short: np.ndarray, counts: np.ndarray) -> Model:
+        """The same with more frequent words."""
+        return replace(self, short=np.concatenate([self.short, short]), short_counts=np.concatenate([self.short_counts, counts]))
+
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts - self.discount) / max(self.total, 1)
 
@@ -262,11 +271,28 @@ def score_shard(words: np.ndarray, counts: np.ndarray, previous: np.ndarray, sec
     return c1[word_place], codes[triple_of]
 
 
-def _scores(blocks: DataFrame, held_model, kind: type) -> DataFrame:
-    """Counts and codes by block and shard; rows of texts pass."""
+def _asked(blocks: DataFrame, rest: DataFrame) -> DataFrame:
+    """(shard, x, n): the words of ``rest`` (x: 32 bits of the hash, n) that
+    stand before a word of the shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, previous in zip(b.column("shard").to_pylist(), b.column("previous"), strict=True):
+                x = np.unique(np.frombuffer(previous.as_buffer(), np.uint32)).astype(np.int64)
+                yield pa.record_batch([pa.array(np.full(len(x), shard, np.int32)), pa.array(x)], ["shard", "x"])
+
+    return blocks.where("shard >= 0").select("shard", "previous").mapInArrow(run, "shard int, x long").distinct().join(rest, "x").select("shard", "x", "n")
+
+
+def _scores(blocks: DataFrame, held_model, kind: type, rest: DataFrame | None = None) -> DataFrame:
+    """Counts and codes by block and shard; rows of texts pass. ``rest`` has
+    the frequent words that the model lacks."""
     names = [x.split()[0] for x in _BLOCK.split(", ")]
 
-    def run(group: pa.Table) -> pa.Table:
+    def run(group: pa.Table, more: pa.Table | None = None) -> pa.Table:
+        model = held_model.value
+        if more is not None and more.num_rows:
+            model = model.knowing(more["x"].to_numpy().astype(np.uint32), more["n"].to_numpy())
         rows = [r for b in group.to_batches() for r in zip(*(b.column(x) for x in names), strict=True)]
         if rows[0][0].as_py() < 0:
             return pa.Table.from_batches([_batch([(r[1].as_py(), -1, r[7].as_py(), r[8].as_py(), b"", b"", b"") for r in rows], _FOUND)])
@@ -276,12 +302,14 @@ def _scores(blocks: DataFrame, held_model, kind: type) -> DataFrame:
         train = np.concatenate([np.unpackbits(x, count=n).astype(bool) for x, n in zip(column(2, np.uint8), size, strict=True)])
         second = np.zeros((sum(size), 4), np.uint8)
         second[:, 1:] = np.concatenate(column(6, np.uint8)).reshape(-1, 3)
-        found, codes = score_shard(np.concatenate(words), np.concatenate(counts), np.concatenate(previous), second.view(np.uint32)[:, 0], train, held_model.value)
+        found, codes = score_shard(np.concatenate(words), np.concatenate(counts), np.concatenate(previous), second.view(np.uint32)[:, 0], train, model)
         found = found.astype(kind)
         out = [(r[1].as_py(), r[0].as_py(), b"", b"", c.tobytes(), found[w - len(c) : w].tobytes(), codes[z - n : z].tobytes()) for r, c, n, (w, z) in zip(rows, counts, size, ends, strict=True)]
         return pa.Table.from_batches([_batch(out, _FOUND)])
 
-    return blocks.groupBy("shard").applyInArrow(run, _FOUND)
+    if rest is None:
+        return blocks.groupBy("shard").applyInArrow(lambda group: run(group), _FOUND)
+    return blocks.groupBy("shard").cogroup(_asked(blocks, rest).groupBy("shard")).applyInArrow(lambda group, more: run(group, more), _FOUND)
 
 
 def _totals(found: DataFrame, kind: type) -> DataFrame:
@@ -301,12 +329,14 @@ def _totals(found: DataFrame, kind: type) -> DataFrame:
     return found.groupBy("block").applyInArrow(run, "i long, held_out boolean, n_tokens long, n_known long, base double, score double")
 
 
-def score_texts(docs: DataFrame, is_training, prior: float = PRIOR, paired: float = PAIRED, discount: float = DISCOUNT, often: int = OFTEN, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, is_training, prior: float = PRIOR, paired: float = PAIRED, discount: float = DISCOUNT, often: int = OFTEN, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text", steady: bool = False) -> DataFrame:
     """``(id_col, held_out, n_tokens, n_known, train_tokens, base_score,
     score)`` of every row: log10 probabilities under add-one unigrams and under
     the trigram model, both learnt from the rows where ``is_training`` (a
     Column) holds; null counts as false. ``prior``, ``paired`` and ``often`` are
-    m, A and K; K grows where more than ``LISTED`` words could be above it.
+    m, A and K. If ``steady``, K is ``often`` at any size, and what the list of at
+    most ``LISTED`` words lacks is joined; else K grows where more than ``LISTED``
+    words could be above it.
 
     Predecessors are known by 32 bits within a word, the words before by 24 bits
     within a pair: of a million different predecessors of a word one in 4000 is
@@ -318,19 +348,22 @@ def score_texts(docs: DataFrame, is_training, prior: float = PRIOR, paired: floa
     context = docs.sparkSession.sparkContext
     counts = written(_counts(texts, []), "words")
     total, every, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0))).first()
-    often = max(often, -(-total // LISTED))
-    frequent = _listed(counts.where(F.col("n") > often))  # under LISTED words
+    bound = max(often, -(-total // LISTED))
+    frequent, rest = _listed(counts.where(F.col("n") > bound)), None  # under LISTED words
+    if not steady:
+        often = bound
+    elif bound > often:
+        rest = counts.where((F.col("n") > often) & (F.col("n") <= bound)).groupBy(F.shiftrightunsigned("x", 32).alias("x")).agg(F.max("n").alias("n"))
     ends = counts.where(F.col("x") == F.lit(int(END.view(np.int64)))).select("n").first()
     limit = max(shard_tokens // 4, 1, -(-every // LISTED))
     hot = [_listed(counts.where(F.col("m") > limit))]
     while len(hot) < 3 and len(hot[-1].keys):  # split ones are counted level by level, under LISTED a level
         hot.append(_listed(_counts(texts, hot).where(F.col("m") > limit)))
     short = (frequent.keys >> np.uint64(32)).astype(np.uint32)
-    order = np.argsort(short, kind="stable")
-    model = Model(total, vocabulary, ends["n"] if ends else 0, prior, paired, discount, float(often), short[order], frequent.train[order], hot)
+    model = Model(total, vocabulary, ends["n"] if ends else 0, prior, paired, discount, float(often), short, frequent.train, hot)
     shards = max(1, math.ceil(every / shard_tokens))
     kind = np.uint32 if total < 2**32 else np.uint64
-    rows = _totals(_scores(_blocks(texts, context.broadcast(hot), shards), context.broadcast(model), kind), kind)
+    rows = _totals(_scores(_blocks(texts, context.broadcast(hot), shards), context.broadcast(model), kind, rest), kind)
     return rows.select(
         F.col("i").alias(id_col),
         "held_out",

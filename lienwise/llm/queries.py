@@ -34,7 +34,7 @@ def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
-    return language_model.score_texts(table(spark, sf_dir, "documents"), training)
+    return language_model.score_texts(table(spark, sf_dir, "documents"), training, steady=True)
 
 
 def op7_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lienwise.llm import language_model
+from lienwise.llm import language_model, queries
 from lienwise.llm.eliasfano import EliasFano, encoded, mapped
 
 
@@ -98,3 +98,18 @@ def test_probabilities_of_a_context_sum_to_one():
     below = c_uv + paired * min(c_v, often) / often + m
     known = sum((after_pair.get(w, 0) + paired * after.get(w, 0) / max(c_v, often) + m * (n - d) / total) / below for w, n in c.items())
     assert known + m * d * vocabulary / total / below == pytest.approx(1)
+
+
+def test_the_query_scores_alike_with_a_list_that_is_too_short(spark, odd_docs, monkeypatch, tmp_path):
+    """K doesn't grow with the tokens; frequent words beyond the list are joined."""
+    odd_docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    ask = lambda: sorted(tuple(r) for r in queries.op6_elias_fano(spark, str(tmp_path)).collect())
+    monkeypatch.setattr(language_model, "BLOCK_TOKENS", 5_000)
+    want = ask()
+    monkeypatch.setattr(language_model, "LISTED", 100)
+    got = ask()
+    assert len(want) == 12 and want[0][4] > 100 * language_model.OFTEN
+    assert got == want
+    rows = [(r["doc_id"], r["text"], r["doc_id"] % 3 != 2) for r in odd_docs.collect() if r["doc_id"] is not None]
+    got = sorted(tuple(r) for r in language_model.score_texts(odd_docs, F.col("doc_id") % 3 != 2, shard_tokens=2_000, often=1, steady=True).collect())
+    assert all(abs(g[6] - w[6]) < 2e-3 * w[2] for g, w in zip(got, brute(rows, *ARGS, 1), strict=True))

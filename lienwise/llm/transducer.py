@@ -36,8 +36,8 @@ from .eliasfano import mapped
 #: Words in the transducer, and the bytes of the longest one.
 WORDS, LONGEST = 1 << 17, 48
 #: Distinct words that a task counts before it passes its sums on, and merged words that it remembers.
-HELD, REMEMBERED = 1 << 19, 1 << 18
-BATCH_BYTES = 8 << 20
+HELD, REMEMBERED = 1 << 18, 1 << 16
+BATCH_BYTES = 1 << 20
 #: Code points below this are split by tables; texts with others by the library.
 TABLE = 0x240
 SPACE, LETTER, DIGIT, SIGN = range(4)
@@ -318,6 +318,39 @@ def lexicon(docs: DataFrame, path: str | None = None, text_col: str = "text", wo
     return compiled(zip(found.column("word").to_pylist(), found.column("ids").to_pylist(), strict=True))
 
 
+def coded_batches(v: Vocabulary, lex: dict[str, np.ndarray], batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, ids, decoded) of batches (i, t), ``BATCH_BYTES`` of text at a time."""
+    tokens = pa.array(v.tokens, pa.large_string())
+    kept: dict[bytes, list[int]] = {}
+    for b in W.pieces(batches, "t", BATCH_BYTES):
+        words, ptr = split_texts(v, b.column("t"))
+        coded = words.dictionary_encode()
+        distinct, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        off = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1] if len(distinct) else np.zeros(1, np.int64)
+        data = np.frombuffer(distinct.buffers()[2], np.uint8) if len(distinct) else np.zeros(0, np.uint8)
+        number = numbers(lex, data, off[:-1], np.diff(off))
+        seen = number >= 0
+        first, count = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        first[seen], count[seen] = lex["first"][number[seen]], lex["first"][number[seen] + 1] - lex["first"][number[seen]]
+        more: list[list[int]] = []
+        for i in np.flatnonzero(~seen):
+            w = distinct[int(i)].as_py()
+            ids = [v.special[w[1:].decode()]] if w[0] == 0xFF else kept.get(w) or v.merged(w)
+            if len(w) <= LONGEST:
+                if len(kept) >= REMEMBERED:
+                    kept.clear()
+                kept[w] = ids
+            more.append(ids)
+        count[~seen] = [len(x) for x in more]
+        first[~seen] = len(lex["ids"]) + np.cumsum(count[~seen]) - count[~seen]
+        flat = np.concatenate([lex["ids"], np.fromiter(chain.from_iterable(more), np.int32, sum(map(len, more)))])
+        ids = flat[gathered(first[code], count[code])]
+        bounds = np.concatenate([[0], np.cumsum(count[code])])[ptr]
+        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+        text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds), tokens.take(pa.array(ids))), pa.scalar(" ", pa.large_string()))
+        yield pa.record_batch([b.column("i"), lists, text.cast(pa.string())], ["i", "ids", "decoded"])
+
+
 def encoded(docs: DataFrame, auto: dict[str, np.ndarray] | None = None, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, ids, decoded)`` per row of ``docs``: the ids of the whole text,
     and the text that they decode to.
@@ -331,36 +364,7 @@ def encoded(docs: DataFrame, auto: dict[str, np.ndarray] | None = None, path: st
     shared = docs.sparkSession.sparkContext.broadcast(auto)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, lex = vocabulary(path), mapped(shared.value)
-        tokens = pa.array(v.tokens, pa.large_string())
-        kept: dict[bytes, list[int]] = {}
-        for b in W.pieces(batches, "t", BATCH_BYTES):
-            words, ptr = split_texts(v, b.column("t"))
-            coded = words.dictionary_encode()
-            distinct, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-            off = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1] if len(distinct) else np.zeros(1, np.int64)
-            data = np.frombuffer(distinct.buffers()[2], np.uint8) if len(distinct) else np.zeros(0, np.uint8)
-            number = numbers(lex, data, off[:-1], np.diff(off))
-            seen = number >= 0
-            first, count = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-            first[seen], count[seen] = lex["first"][number[seen]], lex["first"][number[seen] + 1] - lex["first"][number[seen]]
-            more: list[list[int]] = []
-            for i in np.flatnonzero(~seen):
-                w = distinct[int(i)].as_py()
-                ids = [v.special[w[1:].decode()]] if w[0] == 0xFF else kept.get(w) or v.merged(w)
-                if len(w) <= LONGEST:
-                    if len(kept) >= REMEMBERED:
-                        kept.clear()
-                    kept[w] = ids
-                more.append(ids)
-            count[~seen] = [len(x) for x in more]
-            first[~seen] = len(lex["ids"]) + np.cumsum(count[~seen]) - count[~seen]
-            flat = np.concatenate([lex["ids"], np.fromiter(chain.from_iterable(more), np.int32, sum(map(len, more)))])
-            ids = flat[gathered(first[code], count[code])]
-            bounds = np.concatenate([[0], np.cumsum(count[code])])[ptr]
-            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
-            text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds), tokens.take(pa.array(ids))), pa.scalar(" ", pa.large_string()))
-            yield pa.record_batch([b.column("i"), lists, text.cast(pa.string())], ["i", "ids", "decoded"])
+        yield from coded_batches(vocabulary(path), mapped(shared.value), batches)
 
     frame = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     return frame.mapInArrow(run, f"i {frame.schema['i'].dataType.simpleString()}, ids array<int>, decoded string").withColumnRenamed("i", id_col)

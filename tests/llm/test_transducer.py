@@ -1,5 +1,8 @@
 import hashlib
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -88,3 +91,24 @@ def test_query_on_documents(spark, library):
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     got = sorted((repr(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in queries.op12_transducer_bpe(spark, sf).collect())
     assert got == [(d, len(ids), sha(" ".join(map(str, ids))), sha(text)) for d, ids, text in brute(library, rows)]
+
+
+def test_a_batch_of_much_text_takes_little_memory():
+    script = """
+import random, resource
+import pyarrow as pa
+from lienwise.llm import transducer as T
+v, rng = T.vocabulary(T.default_vocabulary()), random.Random(0)
+lex = T.compiled([(w, v.merged(w)) for w in (b"stone", b"river")])
+text = lambda n: " ".join(rng.choice(("stone", "river", "the")) + str(rng.randrange(1000)) for _ in range(n))
+batch = lambda n, k: pa.record_batch([pa.array(range(k)), pa.array([text(n) for _ in range(k)])], ["i", "t"])
+small, large = batch(50, 10), batch(200, 8000)
+list(T.coded_batches(v, lex, [small]))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for _ in T.coded_batches(v, lex, [large]):
+    pass
+print(large.nbytes >> 20, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before >> 10)
+"""
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    size, peak = map(int, out.stdout.split())
+    assert size >= 12 and peak < 120, peak

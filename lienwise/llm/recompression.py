@@ -16,7 +16,9 @@ sorted too: the first row of a group decides, so no group is ever gathered.
 Names that a large share of all texts have are not sorted to one task: a short
 list of them is found beforehand, their rows pass where they are, and of their
 windows each task first takes the smallest id, so a passage that stands in a
-third of all texts is a handful of rows in the shuffle.
+third of all texts is a handful of rows in the shuffle. The different windows among
+them with their smallest ids are a list that tasks hold, up to a bound, so that
+a text passes as one row with all its covered places.
 Texts of equal words are one text: of these, all but the smallest id lose every
 window at once.
 """
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .storage import beside, by_id, written
+from .storage import BROADCAST_IDS, beside, by_id, written
 
 #: Symbols among which a window chooses its anchor, from the level where no more are left.
 FEW = 4
@@ -137,28 +139,67 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("i", "t", "names").mapInArrow(run, "i long, t string, names array<long>, key long")
 
 
+def _found(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of batches (i, t, key, names) with their windows whose anchor is
+    among ``names``: 96 bits of hashes (a, b), row and tag, which holds the place
+    in the low 32 bits and bits of the text's key above."""
+    for b in W.pieces(batches, "t"):
+        words = W.split_words(b.column("t"), lower=False)
+        first = words.hashes(1)
+        starts, names = anchors(first, words.ptr, window)
+        doc = np.searchsorted(words.ptr, starts, side="right") - 1
+        wanted = b.column("names")
+        n = wanted.value_lengths().to_numpy(zero_copy_only=False)
+        mine = W.mix(wanted.flatten().to_numpy().view(np.uint64) + np.repeat(np.arange(len(n)), n).astype(np.uint64) * _LEFT)
+        hit = np.isin(W.mix(names + doc.astype(np.uint64) * _LEFT), mine)
+        starts, doc = starts[hit], doc[hit]
+        tag = (starts - words.ptr[doc]) | (b.column("key").to_numpy()[doc] & 0x7FFFFFFF) << 32
+        x, y = (_window_hash(h, starts, window).view(np.int64) for h in (first, words.hashes(2)))
+        yield b, x, (y >> 32).astype(np.int32), doc, tag
+
+
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """(a, b, i, tag) of the windows whose anchor is among ``names``; tag holds
-    the place in the low 32 bits and bits of the text's key above."""
+    """(a, b, i, tag) of the windows whose anchor is among ``names``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in W.pieces(batches, "t"):
-            words = W.split_words(b.column("t"), lower=False)
-            first = words.hashes(1)
-            starts, names = anchors(first, words.ptr, window)
-            doc = np.searchsorted(words.ptr, starts, side="right") - 1
-            wanted = b.column("names")
-            n = wanted.value_lengths().to_numpy(zero_copy_only=False)
-            mine = W.mix(wanted.flatten().to_numpy().view(np.uint64) + np.repeat(np.arange(len(n)), n).astype(np.uint64) * _LEFT)
-            hit = np.isin(W.mix(names + doc.astype(np.uint64) * _LEFT), mine)
-            starts, doc = starts[hit], doc[hit]
-            tag = (starts - words.ptr[doc]) | (b.column("key").to_numpy()[doc] & 0x7FFFFFFF) << 32
-            a, z = (_window_hash(h, starts, window).view(np.int64) for h in (first, words.hashes(2)))
-            yield pa.record_batch([pa.array(a), pa.array((z >> 32).astype(np.int32)), b.column("i").take(pa.array(doc)), pa.array(tag)], ["a", "b", "i", "tag"])
+        for b, x, y, doc, tag in _found(batches, window):
+            yield pa.record_batch([pa.array(x), pa.array(y), b.column("i").take(pa.array(doc)), pa.array(tag)], ["a", "b", "i", "tag"])
 
     return docs.select("i", "t", "key", "names").mapInArrow(run, "a long, b int, i long, tag long")
 
 
+def _covered(b: pa.RecordBatch, x: np.ndarray, y: np.ndarray, doc: np.ndarray, tag: np.ndarray, a: np.ndarray, z: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
+    """A row (i, bits, tags) for each text with windows (x, y) of which the
+    sorted list (a, z) knows a smaller id."""
+    last = len(a) - 1
+    at = np.searchsorted(a, x)
+    same = (at <= last) & (a[np.minimum(at, last)] == x)
+    while len(go := np.flatnonzero(same & (z[np.minimum(at, last)] != y))):  # the first hash agrees alone
+        at[go] += 1
+        same[go] = (at[go] <= last) & (a[np.minimum(at[go], last)] == x[go])
+    i = b.column("i").to_numpy()
+    same[same] = low[at[same]] < i[doc[same]]
+    doc, tag = doc[same], tag[same]
+    new = np.flatnonzero(np.diff(doc, prepend=-1))
+    tags = pa.ListArray.from_arrays(pa.array(np.append(new, len(tag)), pa.int32()), pa.array(tag))
+    return pa.record_batch([pa.array(i[doc[new]]), pa.array(tag[new] >> 32), tags], ["i", "bits", "tags"])
+
+
+def _later(docs: DataFrame, window: int, first: DataFrame) -> DataFrame:
+    """(i, bits, tags), a row for each text that has any: its windows that are
+    in ``first`` (a, b, low; a list short enough to be held) with a smaller id."""
+    held = first.toArrow()
+    x, y, low = (held[c].to_numpy() for c in ("a", "b", "low"))
+    order = np.lexsort((y, x))
+    shared = first.sparkSession.sparkContext.broadcast((x[order], y[order], low[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _found(batches, window):
+            yield _covered(*found, *shared.value)
+
+    return docs.select("i", "t", "key", "names").mapInArrow(run, "i long, bits long, tags array<long>")
+
+
 def _frequent(once: DataFrame) -> list[int]:
     """The names that make up one in ``FREQUENT`` or more of all rows (i, name)
     and belong to two ids or more; at most twice ``FREQUENT``.
@@ -284,11 +325,19 @@ def repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     chosen = written(_keyed(by_id(texts, wanted, "i", "left_semi").join(wanted, "i")), "chosen")
     found = _windows(chosen.withColumn("names", F.array_except("names", often)).where(F.size("names") > 0) if frequent else chosen, window)
     covered = found.repartition("a", "b").sortWithinPartitions("a", "b", "i").mapInArrow(_after_first, "i long, tag long")
+    whole = None
     if frequent:
-        common = written(_windows(chosen.withColumn("names", F.array_intersect("names", often)).where(F.size("names") > 0), window), "common")
-        first = written(common.groupBy("a", "b").agg(F.min("i").alias("low"), F.max("i").alias("high")).where("low < high").select("a", "b", "low"), "first")
-        covered = covered.unionByName(common.join(beside(first), ["a", "b"]).where("i > low").select("i", "tag"))
-    places = written(covered.groupBy("i", F.shiftright("tag", 32).alias("bits")).agg(F.collect_list("tag").alias("tags")), "places")
+        common = chosen.withColumn("names", F.array_intersect("names", often)).where(F.size("names") > 0)
+        lowest = _windows(common, window).groupBy("a", "b").agg(F.min("i").alias("low"), F.max("i").alias("high"))
+        first = written(lowest.where("low < high").select("a", "b", "low"), "first")
+        if 0 < first.count() <= BROADCAST_IDS:
+            whole = _later(common, window, first)
+        else:  # a row a window, each met by one row of its smallest id
+            covered = covered.unionByName(_windows(common, window).join(first, ["a", "b"]).where("i > low").select("i", "tag"))
+    lists = covered.groupBy("i", F.shiftright("tag", 32).alias("bits")).agg(F.collect_list("tag").alias("tags"))
+    if whole is not None:
+        lists = lists.unionByName(whole).groupBy("i", "bits").agg(F.flatten(F.collect_list("tags")).alias("tags"))
+    places = written(lists, "places")
     losing = by_id(chosen, places, "i", "left_semi").withColumn("bits", F.col("key").bitwiseAND(F.lit(0x7FFFFFFF)))
     cut = written(_cut(losing.join(places, ["i", "bits"]), window), "cut").distinct()
 

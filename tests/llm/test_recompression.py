@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lienwise.llm import recompression
@@ -65,3 +66,27 @@ def test_texts_are_rewritten(odd_docs, no_docs):
     assert texts[2] == "" and texts[1] == before[1] and texts[4] is None and texts[10] == before[10]
     assert len(texts[9].split()) == len(before[9].split()) - 70
     assert recompression.without_repeats(no_docs).collect() == [] and recompression.repeated_passages(no_docs)[0].collect() == []
+
+
+def test_a_passage_of_many_texts_makes_no_row_a_window(spark, monkeypatch):
+    monkeypatch.setattr(recompression, "FREQUENT", 8)
+    rng = np.random.default_rng(4)
+    passage = " ".join(rng.choice(list("abcdef"), 300))
+    rows = [(i, f"x{i} {passage} y{i} " + " ".join(rng.choice(list("abcdef"), 20))) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    made, write = {}, recompression.written
+    monkeypatch.setattr(recompression, "written", lambda frame, name: made.setdefault(name, write(frame, name)))
+    want = brute(rows, 50)
+    assert result(recompression.repeated_passages(df)[0]) == want
+    assert max(t.count() for t in made.values()) < 5 * len(rows)
+    made.clear()
+    monkeypatch.setattr(recompression, "BROADCAST_IDS", 0)  # the list is too long to be held
+    assert result(recompression.repeated_passages(df)[0]) == want
+
+
+def test_windows_that_agree_in_one_hash_alone():
+    held = pa.table({"a": [5, 5, 5, 9], "b": pa.array([1, 2, 3, 1], pa.int32()), "low": [3, 1, 9, 0]})
+    piece = pa.record_batch([pa.array([2, 4]), pa.array(["", ""])], ["i", "t"])
+    a, b, doc, tag = np.array([5, 5, 5, 5, 9, 7]), np.array([3, 2, 1, 4, 1, 1], np.int32), np.array([0, 0, 0, 1, 1, 1]), np.arange(6)
+    out = recompression._covered(piece, a, b, doc, tag, *(held[c].to_numpy() for c in ("a", "b", "low")))
+    assert out.to_pylist() == [{"i": 2, "bits": 0, "tags": [1]}, {"i": 4, "bits": 0, "tags": [4]}]

@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import math
+import time
 
 import numpy as np
 import pytest
@@ -391,3 +392,25 @@ def test_two_appends_are_one(spark):
     assert ledger.verify(rest, "token_id", held).count() == 0
     assert {r["seq"] for r in ledger.verify(rest.withColumn("code", F.when(F.col("seq") == 20, "X").otherwise(F.col("code"))), "token_id", held).collect()} == {20} - {r["seq"] for r in rows.where("seq = 20 and token_id = 't0'").collect()}
     assert ledger.verify(rest, "token_id").count() > 0  # without the heads its first links are broken
+
+
+def test_hmac_of_many_rows_takes_little_time(spark):
+    rows = spark.range(400_000).select(F.col("id").cast("string").alias("m"))
+    spark.range(10).select(S.hmac_sha256(F.lit(b"k"), F.lit(None).cast("string"))).collect()
+    start = time.perf_counter()
+    assert rows.select(S.hmac_sha256(F.concat(F.lit("key"), "m"), F.col("m")).alias("h")).agg(F.count_distinct("h")).first()[0] == 400_000
+    assert time.perf_counter() - start < 20
+
+
+def test_embedding_in_pieces_of_bounded_size(spark, monkeypatch):
+    texts = [" ".join(f"w{i * 40 + j}" for j in range(40)) for i in range(500)] + [None, "", "w1 w1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = {r["doc_id"]: list(r["vector"]) for r in intent.hashed_embedding(df, "text").collect()}
+    monkeypatch.setattr(intent, "PIECE_TOKENS", 100)
+    assert {r["doc_id"]: list(r["vector"]) for r in intent.hashed_embedding(df, "text").collect()} == want
+    for i, t in enumerate(texts):
+        v = np.zeros(len(want[i]))
+        for w in (t or "").split():
+            h = hashlib.blake2b(w.encode(), digest_size=8).digest()
+            v[int.from_bytes(h[:4], "big") % len(v)] += 1 if h[4] & 1 else -1
+        assert np.allclose(want[i], v / max(np.linalg.norm(v), 1e-300) if v.any() else v)

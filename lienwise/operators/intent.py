@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ from ..functions import scalars as S
 from ..params import DEFAULT, Params
 from . import scan
 
+#: Tokens that are held at a time, beyond those of one text.
+PIECE_TOKENS = 1 << 17
+
 
 def envelope_digest(purpose: Column, category: Column, max_amount: Column, merchant: Column, constraints: Column | None = None) -> Column:
     """SHA-256 of the canonical JSON of an envelope: sorted keys, no spaces, all
@@ -40,23 +44,27 @@ def hashed_embedding(frame: DataFrame, text: str, p: Params = DEFAULT) -> DataFr
     """``frame`` with ``vector``: signed token hashes in a unit vector."""
     dim = p.embed_dim
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, tuple[int, float]] = {}
-        for b in batches:
-            vectors = []
-            for words in b["_tokens"]:
-                v = [0.0] * dim
-                for w in words if words is not None else ():
-                    if w not in seen:
-                        h = hashlib.blake2b(w.encode(), digest_size=8).digest()
-                        seen[w] = int.from_bytes(h[:4], "big") % dim, 1.0 if h[4] & 1 else -1.0
-                    v[seen[w][0]] += seen[w][1]
-                norm = math.sqrt(sum(x * x for x in v))
-                vectors.append([x / norm for x in v] if norm else v)
-            yield b.drop(columns="_tokens").assign(vector=vectors)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            ends = np.cumsum(pc.list_value_length(whole.column("_tokens")).to_numpy(zero_copy_only=False))
+            cuts = [0, *(np.flatnonzero(np.diff(ends // PIECE_TOKENS)) + 1).tolist(), whole.num_rows]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                b = whole.slice(at, end - at)
+                lists = b.column("_tokens")
+                coded = lists.flatten().dictionary_encode()
+                digests = [hashlib.blake2b(w.encode(), digest_size=8).digest() for w in coded.dictionary.to_pylist()]
+                cell = np.array([int.from_bytes(h[:4], "big") % dim for h in digests], np.int64)
+                sign = np.array([1.0 if h[4] & 1 else -1.0 for h in digests])
+                code = coded.indices.to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                v = np.bincount(row * dim + cell[code], sign[code], b.num_rows * dim).reshape(b.num_rows, dim)
+                norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * dim, pa.int32()), pa.array((v / np.where(norm > 0, norm, 1)).ravel()))
+                yield pa.record_batch([*(b.column(c) for c in names), vectors], [*names, "vector"])
 
+    names = frame.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
-    return frame.withColumn("_tokens", S.tokenise(F.coalesce(F.col(text), F.lit("")))).mapInPandas(run, f"{schema}, vector array<double>")
+    return frame.withColumn("_tokens", S.tokenise(F.coalesce(F.col(text), F.lit("")))).mapInArrow(run, f"{schema}, vector array<double>")
 
 
 def debit_divergence(similarity: Column, purpose: Column, sealed_purpose: Column, has_envelope: Column, p: Params = DEFAULT) -> Column:

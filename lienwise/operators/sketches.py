@@ -36,9 +36,12 @@ def hash64(value: Column, salt: int = 0) -> Column:
 
 def _dense(cells: DataFrame, key: str, size: int, merge, name: str) -> DataFrame:
     """One array a key from rows (key, cell, n); at most ``size`` of them a key."""
-    rows = cells.groupBy(key, "cell").agg(merge("n").alias("n")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("_m"))
-    every = F.sequence(F.lit(0), F.lit(size - 1))
-    return rows.select(key, F.transform(every, lambda i: F.coalesce(F.col("_m")[i], F.lit(0)).cast("long")).alias(name))
+    rows = cells.groupBy(key, "cell").agg(merge("n").cast("long").alias("n")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("_e"))
+    rows = rows.withColumn("_last", F.concat(F.array(F.lit(-1)), F.transform("_e", lambda e: e["cell"])))
+    nothing = F.lit(0).cast("long")
+    # each cell after as many zeros as there are cells between it and the one before
+    filled = F.zip_with("_e", F.slice("_last", 1, F.size("_e")), lambda e, last: F.concat(F.array_repeat(nothing, e["cell"] - last - 1), F.array(e["n"])))
+    return rows.select(key, F.concat(F.flatten(filled), F.array_repeat(nothing, size - 1 - F.element_at("_last", -1))).alias(name))
 
 
 def _places(value: Column, rows: int, width: int) -> Column:

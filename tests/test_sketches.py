@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -96,3 +97,12 @@ def test_digest_of_envelopes_with_constraints(spark):
     for i, (purpose, category, cap, merchant, more) in enumerate(cases):
         whole = {"purpose": known.get(purpose, ""), "category": (category or "").strip().lower(), "max_amount_paise": cap or 0, "merchant_preference": (merchant or "").strip().lower(), "constraints": more or {}}
         assert got[i] == hashlib.sha256(json.dumps(whole, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def test_arrays_of_many_cells_take_little_time(spark):
+    """A cell is put in its place, not looked up among all others."""
+    rows = spark.range(800_000).selectExpr("concat('t', id % 4000) token_id", "concat('v', id div 4000) value")
+    start = time.perf_counter()
+    got = sketches.frequencies(rows, "token_id", "value").agg(F.count(F.lit(1)), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)), F.min(F.size("counts"))).first()
+    assert tuple(got) == (4000, 4 * 800_000, 1024)
+    assert time.perf_counter() - start < 25

@@ -487,15 +487,17 @@ flo AS (SELECT node, degree, fan_out, coalesce(shared, 0) AS shared, size, 1 - e
 
 @query("SELECT substr(node, strpos(node, ':') + 1) AS key, node, round(greatest(floor, score), 6) AS risk FROM flo JOIN (SELECT node, score FROM prop WHERE i = 30) USING (node) WHERE node NOT LIKE 'device:%'", _GRAPH + _COMP + _FLOOR + _PROP, True)
 def graph_network_risk(spark, d):
-    return graph.network_risk(graph.edges(T.bus(spark, d)), graph.dispute_seeds(T.bus(spark, d))).select("key", "node", r6("risk"))
+    edges = settled(graph.edges(T.bus(spark, d)), "graph")
+    return graph.network_risk(edges, graph.dispute_seeds(T.bus(spark, d))).select("key", "node", r6("risk"))
 
 
 @query()
 def graph_learned_risk(spark, d):
-    edges, seeds = graph.edges(T.bus(spark, d)), labelling.label_set(_labels(spark, d))
+    edges, seeds = settled(graph.edges(T.bus(spark, d)), "graph"), labelling.label_set(_labels(spark, d))
     seeds = training.graph_examples(seeds, graph.neighbours(edges))
-    learned = training.learned_network_risk(graph.hop_features(edges), seeds)
-    return graph.network_risk(edges, graph.dispute_seeds(T.bus(spark, d)), learned=learned).select("key", "node", r6("risk"))
+    parts = settled(graph.components(edges), "graph")
+    learned = training.learned_network_risk(graph.hop_features(edges, parts=parts), seeds)
+    return graph.network_risk(edges, graph.dispute_seeds(T.bus(spark, d)), learned=learned, parts=parts).select("key", "node", r6("risk"))
 
 
 @query("SELECT DISTINCT 'token:' || token_id AS node, 1.0::DOUBLE AS label FROM bus WHERE type = 'payment.disputed'")
@@ -718,7 +720,7 @@ def ml_isolation_floor(spark, d):
 
 @query()
 def ml_retrain(spark, d):
-    edges = graph.edges(T.bus(spark, d))
+    edges = settled(graph.edges(T.bus(spark, d)), "graph")
     hops = graph.hop_features(edges)
     seeds = training.graph_examples(labelling.label_set(_labels(spark, d)), graph.neighbours(edges))
     vectors = hops.select("node", F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in hops.columns if c != "node"]).alias("vector"))

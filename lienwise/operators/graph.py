@@ -159,9 +159,10 @@ def network_risk(edge: DataFrame, seeds: DataFrame, p: Params = DEFAULT, learned
     return risk.where(~S.node_type(F.col("node")).isin(*ATTRIBUTES)).select(S.bare_id(F.col("node")).alias("key"), "node", "risk")
 
 
-def hop_features(edge: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Node features with means over one and two hops, for a learned risk."""
-    base = structural_floor(edge, p).select("node", F.log1p("degree").alias("f0"), F.log1p("fan_out").alias("f1"), F.log1p("shared_attributes").alias("f2"), F.log1p("size").alias("f3"))
+def hop_features(edge: DataFrame, p: Params = DEFAULT, parts: DataFrame | None = None) -> DataFrame:
+    """Node features with means over one and two hops, for a learned risk.
+    ``parts``: the components of the graph, where they are known."""
+    base = structural_floor(edge, p, parts).select("node", F.log1p("degree").alias("f0"), F.log1p("fan_out").alias("f1"), F.log1p("shared_attributes").alias("f2"), F.log1p("size").alias("f3"))
     base, near = settled(base, "graph"), settled(neighbours(edge), "graph")
 
     def mean(of: DataFrame, prefix: str, names: list[str]) -> DataFrame:

@@ -414,3 +414,13 @@ def test_embedding_in_pieces_of_bounded_size(spark, monkeypatch):
             h = hashlib.blake2b(w.encode(), digest_size=8).digest()
             v[int.from_bytes(h[:4], "big") % len(v)] += 1 if h[4] & 1 else -1
         assert np.allclose(want[i], v / max(np.linalg.norm(v), 1e-300) if v.any() else v)
+
+
+def test_the_learned_risk_finds_components_once(spark, monkeypatch):
+    from lienwise import catalog
+
+    calls, whole = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda *a, **k: calls.append(1) or whole(*a, **k))
+    monkeypatch.setattr(training, "fit_scorer", lambda *a, **k: None)
+    assert catalog.graph_learned_risk(spark, "/root/testdata/sf0.001").columns == ["key", "node", "risk"]
+    assert len(calls) == 1

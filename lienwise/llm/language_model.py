@@ -271,14 +271,38 @@ def score_shard(words: np.ndarray, counts: np.ndarray, previous: np.ndarray, sec
     return c1[word_place], codes[triple_of]
 
 
-def _asked(blocks: DataFrame, rest: DataFrame) -> DataFrame:
+def _least_listed(counts: DataFrame, often: int, most: int) -> int:
+    """The least count from ``often`` on that at most ``LISTED`` words exceed;
+    ``most``, which so few do exceed in any case, bounds what is looked at."""
+    held = counts.where(F.col("n") > often).groupBy(F.least("n", F.lit(most + 1)).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect() if most > often else []
+    listed = 0
+    for r in held:
+        listed += r["words"]
+        if listed > LISTED:
+            return r["n"]
+    return often
+
+
+def _mask(rest: DataFrame) -> np.ndarray:
+    """A set bit for the first 26 of the 32 bits of each word of ``rest``: 8 MB
+    at any size, which tells most other words from these."""
+    place = F.shiftrightunsigned("x", 6)
+    held = rest.groupBy(F.shiftrightunsigned(place, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(x, 6) & 63 as int))")).alias("bits")).toArrow()
+    mask = np.zeros(1 << 20, np.uint64)
+    mask[held["at"].to_numpy()] = held["bits"].to_numpy().view(np.uint64)
+    return mask
+
+
+def _asked(blocks: DataFrame, rest: DataFrame, held_mask) -> DataFrame:
     """(shard, x, n): the words of ``rest`` (x: 32 bits of the hash, n) that
-    stand before a word of the shard."""
+    stand before a word of the shard. Words that the mask rules out don't travel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = held_mask.value
         for b in batches:
             for shard, previous in zip(b.column("shard").to_pylist(), b.column("previous"), strict=True):
-                x = np.unique(np.frombuffer(previous.as_buffer(), np.uint32)).astype(np.int64)
+                x = np.frombuffer(previous.as_buffer(), np.uint32)
+                x = np.unique(x[(mask[x >> np.uint32(12)] >> ((x >> np.uint32(6)) & np.uint32(63)).astype(np.uint64)) & np.uint64(1) > 0]).astype(np.int64)
                 yield pa.record_batch([pa.array(np.full(len(x), shard, np.int32)), pa.array(x)], ["shard", "x"])
 
     return blocks.where("shard >= 0").select("shard", "previous").mapInArrow(run, "shard int, x long").distinct().join(rest, "x").select("shard", "x", "n")
@@ -309,7 +333,8 @@ def _scores(blocks: DataFrame, held_model, kind: type, rest: DataFrame | None =
 
     if rest is None:
         return blocks.groupBy("shard").applyInArrow(lambda group: run(group), _FOUND)
-    return blocks.groupBy("shard").cogroup(_asked(blocks, rest).groupBy("shard")).applyInArrow(lambda group, more: run(group, more), _FOUND)
+    asked = _asked(blocks, rest, blocks.sparkSession.sparkContext.broadcast(_mask(rest)))
+    return blocks.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(lambda group, more: run(group, more), _FOUND)
 
 
 def _totals(found: DataFrame, kind: type) -> DataFrame:
@@ -334,8 +359,8 @@ def score_texts(docs: DataFrame, is_training, prior: float = PRIOR, paired: floa
     score)`` of every row: log10 probabilities under add-one unigrams and under
     the trigram model, both learnt from the rows where ``is_training`` (a
     Column) holds; null counts as false. ``prior``, ``paired`` and ``often`` are
-    m, A and K. If ``steady``, K is ``often`` at any size, and what the list of at
-    most ``LISTED`` words lacks is joined; else K grows where more than ``LISTED``
+    m, A and K. If ``steady``, K is ``often`` at any size, and what the list of the
+    ``LISTED`` most frequent words lacks is joined; else K grows where more than ``LISTED``
     words could be above it.
 
     Predecessors are known by 32 bits within a word, the words before by 24 bits
@@ -349,7 +374,9 @@ def score_texts(docs: DataFrame, is_training, prior: float = PRIOR, paired: floa
     counts = written(_counts(texts, []), "words")
     total, every, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0))).first()
     bound = max(often, -(-total // LISTED))
-    frequent, rest = _listed(counts.where(F.col("n") > bound)), None  # under LISTED words
+    if steady:
+        bound = _least_listed(counts, often, bound)
+    frequent, rest = _listed(counts.where(F.col("n") > bound)), None  # at most LISTED words
     if not steady:
         often = bound
     elif bound > often:

@@ -113,3 +113,23 @@ def test_the_query_scores_alike_with_a_list_that_is_too_short(spark, odd_docs, m
     rows = [(r["doc_id"], r["text"], r["doc_id"] % 3 != 2) for r in odd_docs.collect() if r["doc_id"] is not None]
     got = sorted(tuple(r) for r in language_model.score_texts(odd_docs, F.col("doc_id") % 3 != 2, shard_tokens=2_000, often=1, steady=True).collect())
     assert all(abs(g[6] - w[6]) < 2e-3 * w[2] for g, w in zip(got, brute(rows, *ARGS, 1), strict=True))
+
+
+def test_words_are_asked_for_only_where_the_list_is_full(spark, monkeypatch):
+    """Beyond K times LISTED tokens the list still holds all frequent words if
+    these are few; of those it lacks, only words that are in question travel."""
+    rows = spark.range(400).selectExpr("id doc_id", "concat_ws(' ', repeat('a b c d e ', 10), 'f', id, id + 1, id + 2) text")
+    ask = lambda: sorted(tuple(r) for r in language_model.score_texts(rows, F.lit(True), often=64, steady=True).collect())
+    want = ask()
+    assert want[0][4] > 100 * 64
+    travelled, asked = [], language_model._asked
+    monkeypatch.setattr(language_model, "_asked", lambda *a: travelled.append(asked(*a)) or travelled[-1])
+    monkeypatch.setattr(language_model, "LISTED", 100)
+    assert ask() == want and not travelled
+    monkeypatch.setattr(language_model, "LISTED", 3)
+    assert ask() == want and len(travelled) == 1
+    mask = language_model._mask(spark.createDataFrame([(0, 5), (77, 5), (2**32 - 1, 5)], "x long, n long"))
+    sent = spark.createDataFrame([(1, np.array([0, 77, 1 << 20, 2**32 - 1, 123_456_789], np.uint32).tobytes())], "shard int, previous binary")
+    rest = spark.range(0, 1).selectExpr("cast(id as long) x", "9L n").unionByName(spark.createDataFrame([(1 << 20, 7)], "x long, n long"))
+    got = asked(sent, rest, spark.sparkContext.broadcast(mask)).collect()
+    assert [tuple(r) for r in got] == [(1, 0, 9)]

@@ -52,12 +52,13 @@ class _Lien(StatefulProcessor):
         out = pd.DataFrame({"token_id": key[0], "seq": rows["seq"].to_numpy(), "consumed_today": np.where(began >= 0, sums[1:] - sums[began], sums[1:] + today), "consumed_total": sums[1:] + total, "last_computed_at": when, "captured": rows["captured"].to_numpy()})
         if place[-1] >= 0:
             self.spent.update((int(out["consumed_today"].iloc[-1]), int(out["consumed_total"].iloc[-1]), int(when[-1])))
-        new = []
-        for nonce, seq in zip(rows["nonce"], rows["seq"], strict=True):
-            first = bool(nonce) and not self.nonces.containsKey((nonce,))
-            if first:
-                self.nonces.updateValue((nonce,), (int(seq),))
-            new.append(nonce if first else None)
+        # each call of the state is a trip to the JVM: one for each different nonce, none to ask an empty map
+        new, some = np.full(len(rows), None, object), self.nonces.exists()
+        for i in np.flatnonzero((rows["nonce"] != "") & ~rows["nonce"].duplicated()):
+            nonce = rows["nonce"].iloc[i]
+            if not (some and self.nonces.containsKey((nonce,))):
+                self.nonces.updateValue((nonce,), (int(rows["seq"].iloc[i]),))
+                new[i] = nonce
         yield out.assign(nonce=new)
 
     def close(self) -> None:
@@ -78,6 +79,8 @@ def lien_states(stream: DataFrame, snapshot: DataFrame | None = None, p: Params
     captured = (F.col("type") == "payment.captured") & (F.col("amount_paise") > 0)
     kept = stream.where((F.coalesce("token_id", F.lit("")) != "") & (allowed | captured))
     rows = kept.select("token_id", "seq", F.coalesce(captured, F.lit(False)).alias("captured"), F.coalesce("amount_paise", F.lit(0)).cast("long").alias("amount_paise"), F.coalesce("occurred_at", F.lit(0)).cast("long").alias("occurred_at"), F.coalesce("nonce", F.lit("")).alias("nonce"))
+    if snapshot is not None and not stream.isStreaming:  # in a batch no later rows can ask for the state of other tokens
+        snapshot = snapshot.join(rows.select("token_id").distinct(), "token_id", "left_semi")
     start = snapshot.groupBy("token_id") if snapshot is not None else None
     return rows.groupBy("token_id").transformWithStateInPandas(_Lien(p.day_seconds), OUT, "Append", "None", start)
 

@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,34 @@ def test_keyed_sinks_hold_the_last_row(spark, parts):
     second = rows.where("seq % 2 = 1").unionByName(rows.join(rows.where("seq % 2 = 1").select("token"), "token", "left_anti"))
     want = second.groupBy("token").agg(F.max_by(F.struct("seq", "type", "k"), "seq").alias("r")).select("token", "r.*")
     assert sorted(map(tuple, table.read().select("token", "seq", "type", "k").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_fold_asks_its_state_once_for_each_different_nonce():
+    calls = []
+
+    class Held(dict):
+        def exists(self):
+            return bool(self)
+
+        def get(self):
+            return self[0]
+
+        def update(self, value):
+            self[0] = value
+
+        def containsKey(self, key):  # noqa: N802
+            calls.append(key)
+            return key in self
+
+        def updateValue(self, key, value):  # noqa: N802
+            calls.append(key)
+            self[key] = value
+
+    fold = liens._Lien(86_400)
+    fold.spent, fold.nonces = Held(), Held()
+    rows = pd.DataFrame({"seq": range(60, 0, -1), "captured": True, "amount_paise": 5, "occurred_at": 1_000_000, "nonce": ["a", "b", ""] * 20})
+    first = pd.concat(fold.handleInputRows(("t",), iter([rows]), None))
+    assert [(r.seq, r.nonce) for r in first.itertuples() if r.nonce] == [(2, "b"), (3, "a")] and len(calls) == 2
+    assert fold.nonces == {("a",): (3,), ("b",): (2,)} and first["consumed_total"].iloc[-1] == 300
+    second = pd.concat(fold.handleInputRows(("t",), iter([rows.assign(seq=rows["seq"] + 60, nonce=["a", "c", "c"] * 20)]), None))
+    assert [(r.seq, r.nonce) for r in second.itertuples() if r.nonce] == [(61, "c")] and len(calls) == 5

@@ -233,5 +233,6 @@ def score(docs: DataFrame, model: Ordinal, text_col: str = "text", names: tuple[
 def select_good(docs: DataFrame, rated: DataFrame, least: float = 0.5, **options) -> DataFrame:
     """The documents, all columns, whose probability of the top grade is
     ``least`` or more. Repeated rows stay repeated."""
-    names = ("_expected", "_top")
-    return score(docs, train(docs, rated, **options), names=names).where(F.col(names[1]) >= least).select(docs.columns)
+    names, model = ("_expected", "_top"), train(docs, rated, **options)
+    pa.default_memory_pool().release_unused()  # the sample's features, on the driver
+    return score(docs, model, names=names).where(F.col(names[1]) >= least).select(docs.columns)

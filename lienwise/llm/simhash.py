@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .components import components
+from .components import _roots, components
 from .storage import beside, by_id, written
 
 HOT = 1024
@@ -68,24 +68,6 @@ def xxh64_fingerprints(docs: DataFrame, k: int = 3, seed: int = 42, id_col: str
     return frame.mapInArrow(run, f"i {frame.schema['i'].dataType.simpleString()}, fp long").withColumnRenamed("i", id_col)
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest connected node of each of ``n`` nodes."""
-    label = np.arange(n)
-    while True:
-        la, lb = label[a], label[b]
-        differ = la != lb
-        if not differ.any():
-            return label
-        a, b, la, lb = a[differ], b[differ], la[differ], lb[differ]
-        high, low = np.maximum(la, lb), np.minimum(la, lb)
-        order = np.lexsort((low, high))
-        high, low = high[order], low[order]
-        first = np.concatenate([[True], high[1:] != high[:-1]])
-        label[high[first]] = low[first]
-        while not np.array_equal(label, jumped := label[label]):
-            label = jumped
-
-
 def _blocks(alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """(first start, pairs, second width, second start) of the pairs of ranges,
     in blocks of a bounded number of pairs; a large pair is cut over several."""

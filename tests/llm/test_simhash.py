@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from lienwise.llm import components as module
 from lienwise.llm import simhash
 from lienwise.llm.components import components
 
@@ -88,6 +89,19 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
 
 
+def test_components_in_one_block_equal_those_of_rounds(spark, monkeypatch):
+    """Few edges take two tables, not one a round."""
+    rng = np.random.default_rng(5)
+    edges = [(i, i + 1) for i in range(-60, 60)] + [(int(a), int(b)) for a, b in rng.integers(1000, 1400, (250, 2))] + [(7, 7), (9000, 9000), (-(2**63), 2**62)]
+    rows, made, put = spark.createDataFrame(edges, "a long, b long"), [], module.written
+    monkeypatch.setattr(module, "written", lambda df, name: made.append(name) or put(df, name))
+    ask = lambda: sorted(tuple(r) for r in components(rows).collect())
+    got, few = ask(), len(made)
+    monkeypatch.setattr(module, "BLOCK_EDGES", 0)
+    assert ask() == got and few == 2 < len(made) - few
+    assert dict(got)[9000] == 9000 and dict(got)[2**62] == -(2**63)
+
+
 def test_one_of_each_keeps_clean_documents(odd_docs):
     kept = simhash.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns

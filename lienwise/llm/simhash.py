@@ -30,8 +30,6 @@ COMMON = 1 << 12
 #: Two nodes with so few pairs of fingerprints are leaves: their pairs are compared at once.
 LEAF = 1024
 SKETCH = tuple(f"s{n}" for n in range(4))
-#: Words of the sharper sketch of nodes whose group is open after the first check.
-WIDE = tuple(f"s{n}" for n in range(16))
 #: Sets below so many shingles differ in up to 0.19 of the bits, not 0.16, at a similarity of 0.8.
 FEW = 10
 #: Sets of similarity 0.8 agree in one of so many bands of so many minima but once in 2800.
@@ -176,39 +174,30 @@ def _near_sizes(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
     return np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
 
 
-def _candidates(rows: pa.Table, budget: int, limit: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes of some sub-tries, both within the budget and with
-    sketches that differ in ``limit`` or fewer bits (more for sets of few
-    shingles), and of sizes that allow the similarity: those between different
-    groups if rows have a group, else a spanning forest, nearest sketches first."""
+def _candidates(rows: pa.Table, budget: int, limit: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, nearest sketches first, of the pairs of nodes of some
+    sub-tries that are within the budget, have sketches that differ in
+    ``limit`` or fewer bits (more for sets of few shingles) and sizes that
+    allow the similarity."""
     order, fp, bucket = _sorted(rows)
     unique, own = np.unique(rows["node"].to_numpy()[order], return_inverse=True)
-    sketch = [rows[c].to_numpy().view(np.uint64)[order] for c in WIDE if c in rows.column_names]
-    group = rows["group"].to_numpy()[order] if "group" in rows.column_names else None
+    sketch = [rows[c].to_numpy().view(np.uint64)[order] for c in SKETCH]
     size = rows["size"].to_numpy()[order].astype(np.float64)
     most = np.where(size < FEW, limit + 64 * len(sketch) // 25, limit)
     kept, waiting, held = [np.zeros(0, np.int64)] * 3, [], 0
     for i, j in trie_links(fp, bucket, budget):
         able = (own[i] != own[j]) & _near_sizes(size[i], size[j], similarity)
-        if group is not None:
-            able &= group[i] != group[j]
         i, j = i[able], j[able]
         away = np.zeros(len(i), np.int64)
         for word in sketch:
             away += np.bitwise_count(word[i] ^ word[j])
         near = away <= np.maximum(most[i], most[j])
-        i, j, away = own[i[near]], own[j[near]], away[near]
-        if group is not None:
-            both = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
-            yield unique[both[0]], unique[both[1]]
-            continue
-        waiting.append((i, j, away))
-        held += len(i)
+        waiting.append((own[i[near]], own[j[near]], away[near]))
+        held += int(near.sum())
         if held > 4 * FRONTIER:
             kept, waiting, held = _kept(len(unique), kept, waiting), [], 0
-    if group is None:
-        i, j, _ = _kept(len(unique), kept, waiting)
-        yield unique[np.minimum(i, j)], unique[np.maximum(i, j)]
+    i, j, _ = _kept(len(unique), kept, waiting)
+    return unique[np.minimum(i, j)], unique[np.maximum(i, j)]
 
 
 def _kept(n: int, kept: list, waiting: list) -> list:
@@ -387,19 +376,68 @@ def _sets_of(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int) -> Da
     return written(_shingle_sets(by_id(texts, some, "i", "left_semi"), k), "sets")
 
 
-def _wide(sets: DataFrame) -> DataFrame:
-    """(node, s0 to s15): 1024 bits of each set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                lists = b.column("set")
-                ptr = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-                bits = W.majority(_salted(lists.flatten().to_numpy().view(np.uint64), len(WIDE)), ptr)
-                yield pa.record_batch([b.column("node"), *(pa.array(np.ascontiguousarray(bits[:, c]).view(np.int64)) for c in range(len(WIDE)))], ["node", *WIDE])
-
-    return sets.mapInArrow(run, "node long, " + ", ".join(f"{c} long" for c in WIDE))
+def _differences(sets: DataFrame, similarity: float) -> DataFrame:
+    """``sets`` (node, root, set) as (node, root, size, diff, n, off): the
+    shingles, ``n`` of them, in which a set differs from the consensus of its
+    root, which is what more than half of the root's sets hold.
+
+    A pair is alike enough if its sets differ in ``share * (size + size)`` or
+    fewer shingles. With ``off = n - share * size`` that is so if the two
+    ``off`` are 0 or less in sum; else if the two differences have at least
+    half of that sum in common. A consensus has less than twice the shingles of
+    its root's average set."""
+    share = (1 - similarity) / (1 + similarity)
+    whole = sets.groupBy("root").agg(F.count(F.lit(1)).alias("whole"))
+    held = sets.select("root", F.explode("set").alias("s")).groupBy("root", "s").agg(F.count(F.lit(1)).alias("held"))
+    most = held.where("held > 1").join(whole, "root").where("2 * held > whole").groupBy("root").agg(F.collect_list("s").alias("most"))
+    both = sets.join(most, "root", "left").withColumn("most", F.coalesce("most", F.array().cast("array<long>")))
+    diff = both.select("node", "root", F.size("set").alias("size"), F.concat(F.array_except("set", "most"), F.array_except("most", "set")).alias("diff"))
+    return diff.withColumn("n", F.size("diff")).withColumn("off", F.col("n") - F.lit(share) * F.col("size"))
+
+
+def _open_pairs(marked: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: pairs of one root and different groups that hold all those
+    alike enough. ``marked``: differences with ``group``, whether the node is
+    one of the ``star`` around the root's node of least ``off``, ``low`` (that)
+    and ``next`` (the least ``off`` outside the star).
+
+    Two differences with ``k`` shingles in common have one in common among the
+    first ``n - k + 1`` of each, in any order; rare ones come first. A star is
+    in one group, so only the others are matched, with it and with each other."""
+
+    def first(n: str, off: F.Column) -> F.Column:
+        return F.col(n) + 1 - F.greatest(F.lit(1), F.ceil(off / 2 - 1e-6))
+
+    each = marked.select("root", "node", F.explode("diff").alias("s"))
+    times = each.groupBy("root", "s").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    shared = each.join(times, ["root", "s"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "s"))).alias("shared"))
+    # what one node alone has comes first and matches nothing
+    placed = marked.drop("diff").join(shared, "node").select("*", F.posexplode("shared").alias("at", "e")).withColumn("at", F.col("at") + 1 + F.col("n") - F.size("shared"))
+    ways = F.when(F.col("star"), F.array(F.struct(F.lit(0).alias("way"), F.col("next").alias("least")))).otherwise(F.array(F.struct(F.lit(0).alias("way"), F.col("low").alias("least")), F.struct(F.lit(1).alias("way"), F.col("next").alias("least"))))
+    placed = placed.select("root", F.col("e.s").alias("s"), "node", "group", "size", "n", "off", "star", "at", F.inline(ways)).where(F.col("at") <= first("n", F.col("off") + F.col("least")))
+    placed = written(placed.drop("least"), "placed-shingles")
+    keys = ["root", "s", "way"]
+    x = placed.where("star or way = 1").select(*keys, *(F.col(c).alias(f"{c}_x") for c in ("node", "group", "size", "n", "off", "at")))
+    y = placed.where("not star").select(*keys, *(F.col(c).alias(f"{c}_y") for c in ("node", "group", "size", "n", "off", "at")))
+    off = F.col("off_x") + F.col("off_y")
+    sizes = F.least("size_x", "size_y") >= F.lit(similarity) * F.greatest("size_x", "size_y") - 1e-9
+    meet = [x[k] == y[k] for k in keys]
+    able = (F.col("group_x") != F.col("group_y")) & ((x["way"] == 0) | (F.col("node_x") < F.col("node_y"))) & sizes & (F.col("at_x") <= first("n_x", off)) & (F.col("at_y") <= first("n_y", off))
+    found = x.join(y, meet[0] & meet[1] & meet[2] & able)
+    return found.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
+def _crossing(sets: DataFrame, links: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links and pairs to check, both (a, b), that with ``links`` join all nodes
+    of a root that are alike enough. ``sets``: (node, root, set)."""
+    diffs = written(_differences(sets, similarity), "differences")
+    centre = diffs.groupBy("root").agg(F.min(F.struct("off", "node")).alias("c")).select("root", F.col("c.off").alias("low"), F.col("c.node").alias("centre"))
+    marked = diffs.join(centre, "root").withColumn("star", (F.col("node") == F.col("centre")) | (F.col("off") + F.col("low") <= 1e-9))
+    star = written(marked.where("star and node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")), "star")
+    sure = written(components(links.unionByName(star)).select("node", F.col("root").alias("group")), "sure")
+    after = marked.where("not star").groupBy("root").agg(F.min("off").alias("next"))
+    marked = written(marked.drop("centre").join(after, "root").join(sure, "node", "left").withColumn("group", F.coalesce("group", "node")), "marked")
+    return star, written(_open_pairs(marked, similarity), "crossing")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -411,10 +449,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return written(both.select("a", "b", sure.alias("same")).distinct(), "verified")
 
 
-def similar_documents(docs: DataFrame, k: int = 5, tables: int = 5, budget: int = 4, limit: int = 60, wide_limit: int = 206, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+def similar_documents(docs: DataFrame, k: int = 5, tables: int = 5, budget: int = 4, limit: int = 60, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """``(id_col, component_id)``: groups of documents that chains of pairs join
     whose sets of ``k``-word shingles are ``similarity`` or more alike in
-    Jaccard's measure; every such link is checked over the sets themselves.
+    Jaccard's measure; every such link is exact over the sets themselves.
 
     Candidates differ in ``budget`` or fewer bits in one of ``tables``
     fingerprints of the distinct words, found by the trie join, or agree in one
@@ -422,31 +460,25 @@ def similar_documents(docs: DataFrame, k: int = 5, tables: int = 5, budget: int
     ``limit`` bits or fewer (a similarity of 0.8 gives 39 on average, with a
     deviation of 5.7) and their sizes allow the similarity. Spanning
     forests of the candidates are checked first; where one of their links
-    fails, all candidates between the groups so far are checked whose 1024-bit
-    SimHashes, made of the same sets, differ in ``wide_limit`` bits or fewer
-    (156 on average, deviation 11.5). Texts without
+    fails, the nodes that candidates join are searched for all links, by what
+    their sets differ in from what most of them hold. Texts without
     words are copies of each other. Rows without an id are left out; the
     smallest id names a group."""
 
-    def pairs(nodes: DataFrame, limit: int, name: str) -> DataFrame:
-        more = [c for c in ("size", *WIDE, "group") if c in nodes.columns]
-        tries = sub_tries(nodes.select(F.posexplode("fps").alias("table", "fp"), "node", *more), budget, hot)
-        bands = nodes.select((F.posexplode("bands")).alias("table", "fp"), "node", *more)
-        bands = bands.select((F.col("table") + tables).alias("table"), "fp", "node", *more, F.lit(-1).cast("long").alias("mask"), F.col("fp").alias("part"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = list(batches)
-            if held:
-                for a, b in _candidates(pa.Table.from_batches(held), budget, limit, similarity):
-                    yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
-
-        rows = tries.unionByName(bands).repartition("table", "mask", "part")
-        return written(rows.mapInArrow(run, "a long, b long").distinct(), name)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            a, b = _candidates(pa.Table.from_batches(held), budget, limit, similarity)
+            yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     own = written(_sketches(texts, k, tables), "sketches")
     nodes = written(own.groupBy("node").agg(F.min("i").alias("low"), *(F.first(c).alias(c) for c in ("size", "fps", "bands", *SKETCH))), "nodes")
-    forest = pairs(nodes, limit, "forest")
+    tries = sub_tries(nodes.select(F.posexplode("fps").alias("table", "fp"), "node", "size", *SKETCH), budget, hot)
+    bands = nodes.select((F.posexplode("bands")).alias("table", "fp"), "node", "size", *SKETCH)
+    bands = bands.select((F.col("table") + tables).alias("table"), "fp", "node", "size", *SKETCH, F.lit(-1).cast("long").alias("mask"), F.col("fp").alias("part"))
+    rows = tries.unionByName(bands).repartition("table", "mask", "part")
+    forest = written(rows.mapInArrow(run, "a long, b long").distinct(), "forest")
     sets = _sets_of(forest, nodes, texts, k)
     first = _verified(forest, sets, similarity)
     links = first.where("same").select("a", "b")
@@ -454,11 +486,10 @@ def similar_documents(docs: DataFrame, k: int = 5, tables: int = 5, budget: int
     if failed.head(1):
         roots = written(components(first.select("a", "b")), "candidate-roots")
         open_roots = failed.join(roots, F.col("a") == F.col("node")).select("root").distinct()
-        sure = components(links).select("node", F.col("root").alias("group"))
-        open_nodes = written(roots.join(open_roots, "root", "left_semi").join(sure, "node", "left").select("node", F.coalesce("group", "node").alias("group")), "open")
-        sharp = _wide(sets.join(beside(open_nodes), "node").select("node", "set"))
-        rest = pairs(written(nodes.drop(*SKETCH).join(beside(open_nodes), "node").join(sharp, "node"), "open-nodes"), wide_limit, "crossing")
-        links = links.unionByName(_verified(rest.join(failed, ["a", "b"], "left_anti"), sets, similarity).where("same").select("a", "b"))
+        open_nodes = written(roots.join(open_roots, "root", "left_semi"), "open")
+        star, rest = _crossing(sets.join(beside(open_nodes), "node"), links, similarity)
+        more = _verified(rest.join(failed, ["a", "b"], "left_anti"), sets, similarity)
+        links = links.unionByName(star).unionByName(more.where("same").select("a", "b"))
     roots = written(components(written(links, "links")), "roots")
     placed = written(nodes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "placed")
     lows = placed.groupBy("root").agg(F.min("low").cast("long").alias("component_id"))

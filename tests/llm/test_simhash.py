@@ -139,3 +139,40 @@ def test_equal_fingerprints_are_walked_in_blocks(monkeypatch):
     monkeypatch.setattr(simhash, "FRONTIER", 64)
     blocks = [len(i) for i, _ in simhash.trie_links(np.zeros(1000, np.uint64), np.zeros(1000, int), 3)]
     assert sum(blocks) == 1000 * 999 // 2 and max(blocks) <= 1000
+
+
+def near_copies(rng, base, n, most=12):
+    """Texts with up to ``most`` single words of ``base`` replaced by new ones."""
+    out = []
+    for c in range(n):
+        words = list(base)
+        for at in rng.choice(len(base), int(rng.integers(0, most + 1)), replace=False):
+            words[at] = f"n{c}x{at}x{rng.integers(1 << 40)}"
+        out.append(" ".join(words))
+    return out
+
+
+def exact_groups(docs, similarity=0.8):
+    sets, root = [shingle_set(x) for x in docs], list(range(len(docs)))
+    for j in range(len(docs)):
+        for i in range(j):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return dict(enumerate(root))
+
+
+@pytest.mark.parametrize("families", [1, 2])
+def test_checked_pairs_follow_the_number_of_near_copies(spark, monkeypatch, families):
+    """Near copies of one text (or of two that are 0.75 alike), most of them
+    less than 0.8 alike: few pairs are checked, no link is lost."""
+    rng, check, found = np.random.default_rng(3), simhash._verified, []
+    base = [f"w{x}" for x in range(150)]
+    other = base[:131] + [f"o{x}" for x in range(19)]
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *more: found.append(pairs.count()) or check(pairs, *more))
+    for n in (80, 240):
+        docs = [x for b in (base, other)[:families] for x in near_copies(rng, b, n // families)]
+        got = simhash.similar_documents(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == exact_groups(docs)
+        assert len(found) == 2 and found[1] <= n
+        found.clear()
